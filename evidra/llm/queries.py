@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, simhash, sstable
+from . import decontaminate, packing, pii, quality, quality_rules, sharding, simhash, sstable, token_counts, url_filter
 from .common import documents
 
 
@@ -20,12 +20,41 @@ def op2_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_decontaminate_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir))
+
+
+def op6_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.attribute(documents(spark, sf_dir), field_cols=("lang", "source"), rule="most")
+
+
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_pack_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(documents(spark, sf_dir), end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(documents(spark, sf_dir)))
+
+
+def op10_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shard_minimax, op2_sstable_tokens, op7_simhash_golay)}
+    return {f.__name__: f for f in (op1_shard_minimax, op2_sstable_tokens, op3_quality_bayes, op4_decontaminate_minhash, op5_line_frequency, op6_token_attribution, op7_simhash_golay, op8_pack_differencing, op9_pii_spans, op10_url_markov)}
 
 
 def oracle_sql() -> dict[str, str]:
