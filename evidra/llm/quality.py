@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import kept, small_join, text_of
 from .quality_rules import NO_HOST
@@ -32,7 +33,9 @@ SAMPLE_ROWS = 20_000
 #: Features: hashed words below WORD_BITS, then shape features.
 WORD_BITS, SHAPES, LEVELS = 17, 6, 16
 #: Strengths of the penalty on weights, steps of the fit.
-PENALTY, STEPS = 2.0, 60
+PENALTY, STEPS = 2.0, 200
+#: Labelled documents that must hold a word for it to be a feature.
+LEAST_ROWS = 5
 #: Strengths of a prior in documents, least and most.
 STRENGTH = (2.0, 10_000.0)
 THRESHOLD = 0.5
@@ -45,6 +48,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     of symbols, of capitals, of marks of exclamation and bars, of distinct words,
     the mean length of words and the number of words, each in LEVELS steps.
     """
+    texts = pc.fill_null(texts, "")
     offsets, words = words_of(texts)
     n, per = len(texts), np.diff(offsets)
     owner = np.repeat(np.arange(n), per)
@@ -88,6 +92,8 @@ def fit(rows: list[np.ndarray], good: np.ndarray, penalty: float = PENALTY, step
     weights, bias = np.zeros(width), 0.0
     if not len(rows) or good.min() == good.max():
         return Model(weights, 0.0 if not len(rows) else (4.0 if good.max() else -4.0))
+    often = np.bincount(np.concatenate(rows), minlength=width) >= min(LEAST_ROWS, 1 + len(rows) // 100)
+    rows = [r[often[r]] for r in rows]
     number, offsets = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     owner = np.repeat(np.arange(len(rows)), np.diff(offsets))
     # classes weigh alike
@@ -132,17 +138,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample
     return fit([number[a:b] for a, b in zip(offsets[:-1], offsets[1:])], found.column("good").to_numpy().astype(float))
 
 
-def evidence(docs: DataFrame, model: Model, id_col: str, host_col: str, path_col: str, text_col: str, *more: str) -> DataFrame:
-    """id, host, path and log odds of every row, and the columns in more."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), *[F.coalesce(F.col(c).cast("string"), F.lit(NO_HOST)).alias(n) for c, n in ((host_col, "host"), (path_col, "path"))], text_of(text_col).alias("text"), *more)
+def evidence(docs: DataFrame, model: Model, id_col: str, host_col: str, path_col: str, text_col: str, whole: bool = False) -> DataFrame:
+    """doc_id, host, path and log odds of every row; with whole, its columns as the struct row."""
+    site = [F.coalesce(F.col(c).cast("string"), F.lit(NO_HOST)).alias(n) for c, n in ((host_col, "host"), (path_col, "path"))]
+    rows = docs.select(F.col(id_col).alias("doc_id"), *site, F.struct(*docs.columns).alias("row") if whole else F.struct(F.col(text_col)).alias("row"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**WORD_BITS weights
-    schema = rows.drop("text").schema.add("log_odds", "double")
+    schema = StructType([*(rows if whole else rows.drop("row")).schema.fields, StructField("log_odds", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=8 << 20):
-            odds = shared.value.log_odds(*features(batch.column("text")))
-            at = batch.schema.get_field_index("text")
-            yield batch.remove_column(at).append_column("log_odds", pa.array(np.round(odds, 6)))
+        for batch in batches:
+            texts = pa.record_batch([batch.column("row").field(text_col)], ["text"])
+            odds = np.concatenate([shared.value.log_odds(*features(part.column("text"))) for part in slices(iter([texts]), limit=8 << 20)] or [np.zeros(0)])
+            batch = batch if whole else batch.remove_column(batch.schema.get_field_index("row"))
+            yield batch.append_column("log_odds", pa.array(np.round(odds, 6)))
 
     return rows.mapInArrow(run, schema)
 
@@ -160,28 +168,55 @@ def strength(groups: DataFrame, mean) -> float:
     return float(np.clip(m["all"] / (m["seen"] - m["within"]) - 1, *STRENGTH))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", host_col: str = "source", path_col: str = "lang", text_col: str = "text", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, fitted_on: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, host, path, log_odds, path_share, score and kept of every row.
+CHANCE = "1 / (1 + exp(-log_odds))"
 
-    The documents' host is their source; below it they are grouped by path_col.
-    labels has doc_id, quality and toxic; those of fitted_on's documents (docs by
-    default) are used. Without usable labels all evidence is even and all rows are
-    kept. A null host or path is a site of its own, a null or empty text is judged
-    as one without words; repeated rows count and are judged each.
-    """
-    model = train(docs if fitted_on is None else fitted_on, labels, id_col, text_col, sample_rows)
-    rows = kept(evidence(docs, model, id_col, host_col, path_col, text_col, *keep))
-    chance = 1 / (1 + F.exp(-F.col("log_odds")))
-    paths = kept(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.round(F.sum(chance), 6).alias("s")))
+
+@dataclass
+class Sites:
+    """Sums and prior of every path, the strength of a path's prior and the share of all documents."""
+
+    paths: DataFrame
+    strength: float
+    mean: float
+
+    def judge(self, rows: DataFrame, threshold: float) -> DataFrame:
+        """rows with path_share, score and kept: a document's own chance is left out of its path's share."""
+        own = (self.strength * F.col("host_share") + F.col("s") - F.expr(CHANCE)) / (self.strength + F.col("n") - 1)
+        share = F.least(F.greatest(own, F.lit(1e-6)), F.lit(1 - 1e-6))
+        score = 1 / (1 + F.exp(-(F.col("log_odds") + F.log(share / (1 - share)) - float(np.log(self.mean / (1 - self.mean))))))
+        joined = small_join(rows, self.paths, ["host", "path"]).withColumn("path_share", F.round(share, 6)).withColumn("score", F.round(score, 6))
+        return joined.withColumn("kept", F.col("score") >= threshold)
+
+
+def sites(rows: DataFrame) -> Sites:
+    paths = kept(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.round(F.sum(F.expr(CHANCE)), 6).alias("s")))
     hosts = kept(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
     all_ = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = min(max((all_["s"] + 1) / (all_["n"] + 2), 1e-6), 1 - 1e-6) if all_["n"] else 0.5
     k = strength(hosts, F.lit(mean))
     hosts = hosts.select("host", ((k * mean + F.col("s")) / (k + F.col("n"))).alias("host_share"))
     paths = kept(paths.join(hosts, "host"))
-    below = strength(paths, F.col("host_share"))
-    joined = small_join(rows, paths, ["host", "path"])
-    own = (below * F.col("host_share") + F.col("s") - chance) / (below + F.col("n") - 1)
-    share = F.least(F.greatest(own, F.lit(1e-6)), F.lit(1 - 1e-6))
-    score = 1 / (1 + F.exp(-(F.col("log_odds") + F.log(share / (1 - share)) - float(np.log(mean / (1 - mean))))))
-    return joined.select("doc_id", "host", "path", "log_odds", F.round(share, 6).alias("path_share"), F.round(score, 6).alias("score"), (score >= threshold).alias("kept"), *keep)
+    return Sites(paths, strength(paths, F.col("host_share")), mean)
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", host_col: str = "source", path_col: str = "lang", text_col: str = "text", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id, host, path, log_odds, path_share, score and kept of every row.
+
+    The documents' host is their source; below it path_col groups them. labels has
+    doc_id, quality and toxic. Without usable labels all evidence is even and all
+    rows are kept. Null hosts (paths) are one site, a null or empty text is judged
+    as one without words; repeated rows count and are judged each.
+    """
+    rows = kept(evidence(docs, train(docs, labels, id_col, text_col, sample_rows), id_col, host_col, path_col, text_col))
+    return sites(rows).judge(rows, threshold).select("doc_id", "host", "path", "log_odds", "path_share", "score", "kept")
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", host_col: str = "source", path_col: str = "lang", text_col: str = "text", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs that classify keeps, all columns as they were.
+
+    Evidence is worked out once for the sites and once more beside the texts: no
+    text is shuffled or written.
+    """
+    model = train(docs, labels, id_col, text_col, sample_rows)
+    found = sites(kept(evidence(docs, model, id_col, host_col, path_col, text_col)))
+    return found.judge(evidence(docs, model, id_col, host_col, path_col, text_col, whole=True), threshold).where("kept").select("row.*")

@@ -178,3 +178,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = kept(classed.groupBy("label").agg(F.min("least").alias("component_id")))
     table = classed.select("fp", "label").join(least, "label").select("fp", "component_id")
     return small_join(rows, kept(table), ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near duplicates: that of the least identifier.
+
+    Rows without identifier come after all others of their group, the one of
+    least text hash first. Of rows that share an identifier one stays.
+    """
+    key = F.coalesce(F.col(id_col), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text_of(text_col)), 3))
+    rows = docs.withColumn("evidra_key", key)
+    found = kept(near_duplicates(rows.select("evidra_key", F.col(text_col).alias("evidra_text")), "evidra_key", "evidra_text").select(F.col("doc_id").alias("evidra_key"), "component_id"))
+    gone = kept(found.where(F.col("evidra_key") != F.col("component_id")).select("evidra_key").distinct())
+    out = small_join(rows, gone, ["evidra_key"], "left_anti")
+    if found.groupBy("evidra_key").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["evidra_key"])
+    return out.select(*docs.columns)
