@@ -143,7 +143,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         number = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
         offset = np.concatenate([np.cumsum(sizes[w]) - sizes[w] for w in windows]) if windows else row
         out = block.iloc[row].reset_index(drop=True)
-        out["sequence_id"] = (out.pop("block").astype("int64") << 32) + number
+        out["sequence_id"] = (out.pop("block").to_numpy(np.int64) << 32) + number
         out["offset"] = offset
         two = out["ids"].map(len) == 2 * out["length"]
         out["ids"] = [np.frombuffer(x, "<u2").astype("<u4").tobytes() if t else x for x, t in zip(out["ids"], two)]
