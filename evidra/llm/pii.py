@@ -84,7 +84,7 @@ def _digits(text: str) -> str:
 def base_spans(text: str, kinds: tuple[str, ...] = BASE) -> list[tuple[str, int, int]]:
     found = [("email", a, b) for a, b in emails(text)] if "email" in kinds else []
     if "ip" in kinds:
-        found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+        found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p) < 4 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split(".")))]
     if "card" in kinds:
         found += [("card", *m.span()) for m in CARD.finditer(text) if 16 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
     if "phone" in kinds:
