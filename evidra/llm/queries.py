@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality, quality_rules, sharding, simhash, sstable, token_counts, url_filter
+from . import decontaminate, packing, pii, quality, quality_rules, sharding, simhash, sql, sstable, token_counts, url_filter
 from .common import documents
 
 
@@ -58,4 +58,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only what SQL can express: no CRC-32, token ids, XXH64, fitted models or match positions there."""
+    return {"op4_decontaminate_minhash": sql.DECONTAMINATE, "op5_line_frequency": sql.LINES, "op10_url_markov": sql.URLS}
