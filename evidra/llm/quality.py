@@ -1,7 +1,8 @@
 """Document quality: a classifier's evidence, shrunk towards what its site is like.
 
-A logistic model on hashed words and shape features gives each document the
-chance to be good, from a bounded sample of labelled rows. A site is a host and,
+Two logistic models on hashed words and shape features, one of quality and one of
+being clean of toxic text, give each document the chance to be both, from a
+bounded sample of labelled rows. A site is a host and,
 below it, a path. By empirical Bayes, a host's share of good documents has a Beta
 prior whose mean is the share of all documents and whose strength is fitted to
 how much hosts differ (method of moments); a path's share has its host's
@@ -36,6 +37,10 @@ WORD_BITS, SHAPES, LEVELS = 17, 6, 16
 PENALTY, STEPS = 2.0, 200
 #: Labelled documents that must hold a word for it to be a feature.
 LEAST_ROWS = 5
+#: ... and by how many standard errors its share must differ between the classes.
+LEAST_ERRORS = 3.5
+#: Log odds of a class that has all labels, or of both if there are none.
+SURE = 4.0
 #: Strengths of a prior in documents, least and most.
 STRENGTH = (2.0, 10_000.0)
 THRESHOLD = 0.5
@@ -86,14 +91,36 @@ class Model:
         return self.bias + sums[offsets[1:]] - sums[offsets[:-1]]
 
 
+@dataclass
+class Both:
+    """The chance that every model says yes, as if they were independent."""
+
+    parts: list[Model]
+
+    def log_odds(self, offsets: np.ndarray, number: np.ndarray) -> np.ndarray:
+        against = sum(np.log1p(np.exp(-np.clip(m.log_odds(offsets, number), -30, 30))) for m in self.parts)
+        return -np.log(np.expm1(against))
+
+
+def telling(rows: list[np.ndarray], good: np.ndarray, width: int) -> np.ndarray:
+    """Which features are frequent enough and differ enough between the classes."""
+    owner = np.repeat(good, [len(r) for r in rows])
+    number = np.concatenate(rows)
+    yes, no = (np.bincount(number[owner == x], minlength=width) for x in (1, 0))
+    n_yes, n_no = good.sum(), len(good) - good.sum()
+    share = (yes + no) / len(good)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_yes + 1 / n_no))
+    return (yes + no >= min(LEAST_ROWS, 1 + len(rows) // 100)) & (np.abs(yes / n_yes - no / n_no) >= LEAST_ERRORS * error)
+
+
 def fit(rows: list[np.ndarray], good: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> Model:
     """Penalised logistic regression by accelerated gradient steps scaled by each feature's count."""
     width = (1 << WORD_BITS) + SHAPES * LEVELS
     weights, bias = np.zeros(width), 0.0
     if not len(rows) or good.min() == good.max():
-        return Model(weights, 0.0 if not len(rows) else (4.0 if good.max() else -4.0))
-    often = np.bincount(np.concatenate(rows), minlength=width) >= min(LEAST_ROWS, 1 + len(rows) // 100)
-    rows = [r[often[r]] for r in rows]
+        return Model(weights, SURE if not len(rows) or good.max() else -SURE)
+    told = telling(rows, good, width)
+    rows = [r[told[r]] for r in rows]
     number, offsets = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     owner = np.repeat(np.arange(len(rows)), np.diff(offsets))
     # classes weigh alike
@@ -107,7 +134,7 @@ def fit(rows: list[np.ndarray], good: np.ndarray, penalty: float = PENALTY, step
     b = last_b = 0.0
     for i in range(steps):
         ahead, ahead_b = z + i / (i + 3) * (z - last), b + i / (i + 3) * (b - last_b)
-        sums = np.add.reduceat(np.append((ahead / root)[number], 0.0), offsets[:-1])
+        sums = np.bincount(owner, weights=(ahead / root)[number], minlength=len(rows))
         off = weigh * (1 / (1 + np.exp(-np.clip(sums + ahead_b, -30, 30))) - good)
         slope = np.bincount(number, weights=off[owner], minlength=width) / root + penalty * ahead / root**2
         last, last_b = z, b
@@ -115,34 +142,40 @@ def fit(rows: list[np.ndarray], good: np.ndarray, penalty: float = PENALTY, step
     return Model(z / root, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample_rows: int = SAMPLE_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample_rows: int = SAMPLE_ROWS) -> Both:
     """Fit on at most sample_rows labelled documents; good ones have quality 1 and aren't toxic.
 
     The sample is of the identifiers with the least hash, so it is a random one
-    and always the same. Only its feature numbers reach the driver.
+    and always the same. Only its feature numbers reach the driver. A label
+    without quality tells of toxic text alone; one without toxic counts as clean.
     """
-    marks = labels.select(F.col("doc_id").alias("id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")).where(F.col("good").isNotNull() & F.col("id").isNotNull())
-    marks = kept(marks.groupBy("id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("id"), "id").limit(sample_rows))
+    marks = labels.select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("fine"), (F.coalesce("toxic", F.lit(0)) == 0).alias("clean")).where("id is not null and (fine is not null or not clean)")
+    marks = kept(marks.groupBy("id").agg(F.min("fine").alias("fine"), F.min("clean").alias("clean")).orderBy(F.xxhash64("id"), "id").limit(sample_rows))
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(marks), "id")  # at most sample_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=8 << 20):
             offsets, number = features(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("good"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(number, pa.int32()))], ["id", "good", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fine"), batch.column("clean"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(number, pa.int32()))], ["id", "fine", "clean", "features"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.select("id", "good", "text").mapInArrow(run, f"id {kind}, good boolean, features array<int>").dropDuplicates(["id"]).toArrow().sort_by("id")
+    found = rows.select("id", "fine", "clean", "text").mapInArrow(run, f"id {kind}, fine boolean, clean boolean, features array<int>").dropDuplicates(["id"]).toArrow().sort_by("id")
     lists = found.column("features").combine_chunks()
     lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
     offsets, number = lists.offsets.to_numpy(), lists.values.to_numpy()
-    return fit([number[a:b] for a, b in zip(offsets[:-1], offsets[1:])], found.column("good").to_numpy().astype(float))
+    rows, parts = [number[a:b] for a, b in zip(offsets[:-1], offsets[1:])], []
+    for name in ("fine", "clean"):
+        marked = found.column(name).to_pylist()
+        own = [i for i, m in enumerate(marked) if m is not None]
+        parts.append(fit([rows[i] for i in own], np.array([marked[i] for i in own], float)))
+    return Both(parts)
 
 
-def evidence(docs: DataFrame, model: Model, id_col: str, host_col: str, path_col: str, text_col: str, whole: bool = False) -> DataFrame:
+def evidence(docs: DataFrame, model: Both, id_col: str, host_col: str, path_col: str, text_col: str, whole: bool = False) -> DataFrame:
     """doc_id, host, path and log odds of every row; with whole, its columns as the struct row."""
     site = [F.coalesce(F.col(c).cast("string"), F.lit(NO_HOST)).alias(n) for c, n in ((host_col, "host"), (path_col, "path"))]
     rows = docs.select(F.col(id_col).alias("doc_id"), *site, F.struct(*docs.columns).alias("row") if whole else F.struct(F.col(text_col)).alias("row"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**WORD_BITS weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # twice 2**WORD_BITS weights
     schema = StructType([*(rows if whole else rows.drop("row")).schema.fields, StructField("log_odds", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +236,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", host_co
     """doc_id, host, path, log_odds, path_share, score and kept of every row.
 
     The documents' host is their source; below it path_col groups them. labels has
-    doc_id, quality and toxic. Without usable labels all evidence is even and all
+    doc_id, quality and toxic. Without usable labels all evidence is alike and all
     rows are kept. Null hosts (paths) are one site, a null or empty text is judged
     as one without words; repeated rows count and are judged each.
     """
