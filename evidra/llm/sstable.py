@@ -132,8 +132,9 @@ class Reader:
         self.file, end = file, file.size()
         magic, self.width = struct.unpack(HEADER, self._read(0, struct.calcsize(HEADER)))
         bloom_at, bloom_n, index_at, blocks, self.entries, self.tokens, hashes, crc, tail = struct.unpack(FOOTER, self._read(end - struct.calcsize(FOOTER), struct.calcsize(FOOTER)))
-        meta = self._read(bloom_at, end - struct.calcsize(FOOTER) - bloom_at)
-        if magic != MAGIC or tail != MAGIC or zlib.crc32(meta) != crc:
+        whole = magic == tail == MAGIC and bloom_at + bloom_n == index_at <= end - struct.calcsize(FOOTER)
+        meta = self._read(bloom_at, end - struct.calcsize(FOOTER) - bloom_at) if whole else b""
+        if not whole or zlib.crc32(meta) != crc:
             raise ValueError("not a whole shard")
         self.bloom = Bloom(np.frombuffer(meta[:bloom_n], np.uint8), hashes)
         self.index, at = [], bloom_n
