@@ -80,8 +80,9 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     widths = [r["width"] for r in table.select("width").distinct().collect()]
     size_class = F.floor(F.log2("n")).cast("int")
     sketch = table.where(F.col("rank") <= F.col("n") - F.col("needed") + 1).select("item_id", "width", "hash", "needed", size_class.alias("size_class"))
-    sketch = sketch.withColumn("least_words", F.min(F.col("needed") + F.col("width") - 1).over(Window.partitionBy("width", "size_class")))
-    entries = sketch.select("hash", "width", "least_words", "item_id")
+    least = sketch.groupBy("width", "size_class").agg(F.min(F.col("needed") + F.col("width") - 1).alias("least_words"))
+    # one row per width and power of two
+    entries = sketch.join(F.broadcast(least), ["width", "size_class"]).select("hash", "width", "least_words", "item_id")
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("digest", F.xxhash64("text"))
     if not widths:
