@@ -146,7 +146,7 @@ def closure_reverse(spark, d):
     return graph.closure(support(spark, d), T.units(spark, d).where("kind = 'observation'"), reverse=True)
 
 
-@query(sql("select r.uid from reached r join units using (uid)", "pairs as (select distinct src, dst from edges where kind in ('grounds','deps','rebuts'))", REACH.format(roots=CUSTOMERS, next="dst", at="src")))
+@query(sql("select uid from walk join units using (uid)", "pairs as (select distinct src, dst from edges where kind in ('grounds','deps','rebuts'))", f"walk(uid) as (select uid from units where {CUSTOMERS} union select dst from walk join pairs on src = walk.uid)"))
 def membership(spark, d):
     kinds = ("grounds", "deps", "rebuts")
     return graph.closure(T.edges(spark, d, kinds), customers(spark, d), kinds).select("uid").join(T.units(spark, d).select("uid"), "uid", "left_semi")
