@@ -170,7 +170,7 @@ def supersession_depth(spark, d):
     return graph.chains(T.edges(spark, d, ("supersedes",)))
 
 
-NEWEST = "up(uid, last, n) as (select a, a, 0 from by_date where a not in (select b from by_date where b is not null) union all select y.b, x.last, n+1 from up x join by_date y on y.a = x.uid where y.b is not null)"
+NEWEST = "up(uid, last, n) as (select a, a, 0 from by_date where a not in (select b from by_date where b is not null) union all select y.b, x.last, x.n+1 from up x join by_date y on y.a = x.uid where y.b is not null)"
 
 
 @query(sql("select uid, last successor, cast(n as bigint) depth from up where n > 0", NEWEST))
