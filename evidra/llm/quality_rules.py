@@ -16,9 +16,10 @@ from .tokens import slices, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: A line of a host goes if it stands in more distinct texts than this many ...
+#: A line of a host goes if it stands in more distinct texts than this many.
 LINE_DOCUMENTS = 50
-#: ... and in more than this share of the host's distinct texts.
+#: With a lower limit, it must also stand in more than this share of the host's
+#: distinct texts, but never in more than LINE_DOCUMENTS of them.
 LINE_SHARE = 0.01
 #: A document is depleted if less than this share of its words is left.
 LEFT_SHARE = 0.3
@@ -100,19 +101,25 @@ def statistics(docs: DataFrame, id_col: str, host_col: str, text_col: str) -> Da
 
 
 def frequent_lines(stats: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE) -> DataFrame:
-    """(host, hash) of the lines in more distinct texts of their host than both limits."""
+    """(host, hash) of the lines in more than `documents` distinct texts of their host.
+
+    The share can ask for more texts in a host only up to LINE_DOCUMENTS, so that
+    the number needed does not grow with the host.
+    """
     copies = stats.select("host", "digest", "lines").dropDuplicates(["host", "digest"])
-    texts = stats.groupBy("host").agg(F.countDistinct("digest").alias("texts"))
     lines = copies.select("host", F.explode("lines.hash").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > documents)
-    return lines.join(texts, "host").where(F.col("n") > share * F.col("texts")).select("host", "hash")
+    if documents >= LINE_DOCUMENTS:
+        return lines.select("host", "hash")
+    texts = stats.groupBy("host").agg(F.countDistinct("digest").alias("texts"))
+    return lines.join(texts, "host").where(F.col("n") > F.least(share * F.col("texts"), F.lit(LINE_DOCUMENTS))).select("host", "hash")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE, left: float = LEFT_SHARE) -> DataFrame:
     """One row per document: the counts, base_failed, words_left and kept.
 
-    Lines that stand in more than `documents` distinct texts of a host, and more
-    than `share` of them, are removed; a document that keeps less than `left` of
-    its words is rejected. Exact copies count as one text, so a text is not
+    Lines that stand in more than `documents` distinct texts of a host are removed
+    (below LINE_DOCUMENTS, see frequent_lines for `share`); a document that keeps
+    less than `left` of its words is rejected. Exact copies count as one text, so a text is not
     rejected for being copied. A null text has no words and fails the base rules;
     null hosts are one host; repeated rows are judged each; no rows give none.
     """
