@@ -47,18 +47,18 @@ def _joined(array: Column, width: int) -> Column:
     return shingles(array, width, lambda ws: F.concat_ws(" ", *ws))
 
 
-def items_of(items: DataFrame, item_col: str, text_col: str, width: int, contained: float) -> DataFrame:
-    """One row per item and distinct shingle: its width, hash, number of shingles, how many are needed, rank by hash."""
-    rows = items.select(F.col(item_col).alias("item_id"), words(text_of(text_col)).alias("words")).where(F.size("words") > 0)
+def items_of(items: DataFrame, text_col: str, width: int, contained: float) -> DataFrame:
+    """One row per item text (item, its hash) and distinct shingle: its width, hash, number of shingles, how many are needed, rank by hash."""
+    rows = items.select(F.xxhash64(text_of(text_col)).alias("item"), words(text_of(text_col)).alias("words")).where(F.size("words") > 0)
     parts = [
-        rows.where(F.size("words") == w if w < width else F.size("words") >= w).select("item_id", F.lit(w).alias("width"), F.explode(_joined(F.col("words"), w)).alias("shingle"))
+        rows.where(F.size("words") == w if w < width else F.size("words") >= w).select("item", F.lit(w).alias("width"), F.explode(_joined(F.col("words"), w)).alias("shingle"))
         for w in range(1, width + 1)
     ]
     table = parts[0]
     for part in parts[1:]:
         table = table.union(part)
     table = table.distinct()
-    item = Window.partitionBy("item_id")
+    item = Window.partitionBy("item")
     # as in search(): the hash of the words' hashes
     coded = F.transform(F.split("shingle", " "), lambda w: F.xxhash64(w))
     by_width = F.lit(None).cast("long")
@@ -74,15 +74,18 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     without words is in no document, as is any item in a null or empty text.
     Repeated rows give repeated results, equal identifiers with different texts
     are judged each, a null identifier is kept. No documents or no items give no
-    rows. Items of one identifier and several rows count as one set of shingles.
+    rows. Items are searched by text, so rows of one identifier with different
+    texts are items each, as are those without identifier (item_id is null in the
+    result); rows of equal identifier and text are one item.
     """
-    table = kept(items_of(items, item_col, item_text_col, width, contained))
+    table = kept(items_of(items, item_text_col, width, contained))
+    names = items.select(F.xxhash64(text_of(item_text_col)).alias("item"), F.col(item_col).alias("item_id")).distinct()
     widths = [r["width"] for r in table.select("width").distinct().collect()]
     size_class = F.floor(F.log2("n")).cast("int")
-    sketch = table.where(F.col("rank") <= F.col("n") - F.col("needed") + 1).select("item_id", "width", "hash", "needed", size_class.alias("size_class"))
+    sketch = table.where(F.col("rank") <= F.col("n") - F.col("needed") + 1).select("item", "width", "hash", "needed", size_class.alias("size_class"))
     least = sketch.groupBy("width", "size_class").agg(F.min(F.col("needed") + F.col("width") - 1).alias("least_words"))
     # one row per width and power of two
-    entries = sketch.join(F.broadcast(least), ["width", "size_class"]).select("hash", "width", "least_words", "item_id")
+    entries = sketch.join(F.broadcast(least), ["width", "size_class"]).select("hash", "width", "least_words", "item")
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("digest", F.xxhash64("text"))
     if not widths:
@@ -98,7 +101,7 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     candidates = None
     for w in sorted(widths):
         own = entries.where(F.col("width") == w).drop("width")
-        met = small_join(probe(w), own, ["hash"], rows=n_entries).where(F.col("n_words") >= F.col("least_words")).select("digest", "item_id")
+        met = small_join(probe(w), own, ["hash"], rows=n_entries).where(F.col("n_words") >= F.col("least_words")).select("digest", "item")
         candidates = met if candidates is None else candidates.union(met)
     candidates = kept(candidates.distinct())
 
@@ -107,10 +110,11 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     held = None
     for w in sorted(widths):
         part = texts.select("digest", F.explode(F.array_distinct(_joined(F.col("words"), w))).alias("shingle"))
-        part = small_join(part, table.where(F.col("width") == w).select("item_id", "shingle", "n", "needed"), ["shingle"])
+        part = small_join(part, table.where(F.col("width") == w).select("item", "shingle", "n", "needed"), ["shingle"])
         held = part if held is None else held.union(part)
-    counted = held.groupBy("digest", "item_id", "n", "needed").agg(F.count("*").alias("n_found")).where(F.col("n_found") >= F.col("needed"))
-    found = kept(counted.join(candidates, ["digest", "item_id"], "left_semi").select("digest", "item_id", F.col("n").alias("n_shingles"), "n_found"))
+    counted = held.groupBy("digest", "item", "n", "needed").agg(F.count("*").alias("n_found")).where(F.col("n_found") >= F.col("needed"))
+    held_items = counted.join(candidates, ["digest", "item"], "left_semi")
+    found = kept(small_join(held_items, kept(names), ["item"]).select("digest", "item_id", F.col("n").alias("n_shingles"), "n_found"))
     return small_join(rows.select("doc_id", "digest"), found, ["digest"]).select("doc_id", "item_id", "n_shingles", "n_found")
 
 
