@@ -184,9 +184,11 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row of each group of near duplicates: that of the least identifier.
 
     Rows without identifier come after all others of their group, the one of
-    least text hash first. Of rows that share an identifier one stays.
+    least text hash first; so do rows of one identifier among themselves. Rows that
+    share an identifier but not a text are judged each by its own text. Of rows
+    that share both one stays.
     """
-    key = F.coalesce(F.col(id_col), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text_of(text_col)), 3))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("hash"))
     rows = docs.withColumn("evidra_key", key)
     found = kept(near_duplicates(rows.select("evidra_key", F.col(text_col).alias("evidra_text")), "evidra_key", "evidra_text").select(F.col("doc_id").alias("evidra_key"), "component_id"))
     gone = kept(found.where(F.col("evidra_key") != F.col("component_id")).select("evidra_key").distinct())
