@@ -11,7 +11,12 @@ similarity of a short item and a long document is near zero.
 k depends on the item's size, and so does the least length of a document that can
 hold it: items are in partitions by the power of two of their size, each with the
 least length of its members, and a document meets only those it is long enough
-for. Candidates are then verified on the shingles themselves.
+for. That length is all a partition sets; sketches are as long as their item needs.
+Candidates are then verified on the shingles themselves.
+
+The documents' shingles pass a bitmap of the sketches' hashes before they meet the
+sketches, so few are shuffled where those are too many to broadcast. Texts are told
+apart by their MD5.
 
 Only built-in functions run here.
 """
@@ -22,9 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import kept, small_join, text_of
+from .common import kept, measured, small_join, text_of
 
 WIDTH, CONTAINED = 5, 0.8
+#: Bits of the bitmap for each sketch entry, and least and most in all, as powers of two.
+BITS_EACH, LEAST_BITS, MOST_BITS = 64, 12, 27
 
 
 def words(text: Column) -> Column:
@@ -47,9 +54,28 @@ def _joined(array: Column, width: int) -> Column:
     return shingles(array, width, lambda ws: F.concat_ws(" ", *ws))
 
 
+def text_id(text: Column) -> Column:
+    """16 bytes that tell texts apart."""
+    return F.unhex(F.md5(text))
+
+
+def bitmap(hashes: DataFrame, n: int):
+    """Which of n rows' hashes may be there: a function from a column of hashes to a condition.
+
+    One bit for each value of the hash's last bits, in an array of longs of 16 MB at most.
+    """
+    bits = 1 << min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * max(1, n) - 1).bit_length()))
+    at = lambda h: h.bitwiseAND(F.lit(bits - 1))
+    word, bit = (lambda h: F.shiftright(at(h), 6)), (lambda h: h.bitwiseAND(F.lit(63)).cast("int"))
+    set_ = hashes.groupBy(word(F.col("hash")).alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("hash")))).alias("set"))
+    every = hashes.sparkSession.range(bits >> 6).join(set_, "id", "left").select(F.struct("id", F.coalesce("set", F.lit(0).cast("long")).alias("set")).alias("x"))
+    words = every.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["set"]).alias("words")).scalar()
+    return lambda h: F.getbit(F.get(words, word(h).cast("int")), bit(h)) == 1
+
+
 def items_of(items: DataFrame, text_col: str, width: int, contained: float) -> DataFrame:
-    """One row per item text (item, its hash) and distinct shingle: its width, hash, number of shingles, how many are needed, rank by hash."""
-    rows = items.select(F.xxhash64(text_of(text_col)).alias("item"), words(text_of(text_col)).alias("words")).where(F.size("words") > 0)
+    """One row per item text (item, its MD5) and distinct shingle: its width, hash, number of shingles, how many are needed, rank by hash."""
+    rows = items.select(text_id(text_of(text_col)).alias("item"), words(text_of(text_col)).alias("words")).where(F.size("words") > 0)
     parts = [
         rows.where(F.size("words") == w if w < width else F.size("words") >= w).select("item", F.lit(w).alias("width"), F.explode(_joined(F.col("words"), w)).alias("shingle"))
         for w in range(1, width + 1)
@@ -79,7 +105,7 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     result); rows of equal identifier and text are one item.
     """
     table = kept(items_of(items, item_text_col, width, contained))
-    names = items.select(F.xxhash64(text_of(item_text_col)).alias("item"), F.col(item_col).alias("item_id")).distinct()
+    names = items.select(text_id(text_of(item_text_col)).alias("item"), F.col(item_col).alias("item_id")).distinct()
     widths = [r["width"] for r in table.select("width").distinct().collect()]
     size_class = F.floor(F.log2("n")).cast("int")
     sketch = table.where(F.col("rank") <= F.col("n") - F.col("needed") + 1).select("item", "width", "hash", "needed", size_class.alias("size_class"))
@@ -87,21 +113,23 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     # one row per width and power of two
     entries = sketch.join(F.broadcast(least), ["width", "size_class"]).select("hash", "width", "least_words", "item")
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("digest", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("digest", text_id(F.col("text")))
     if not widths:
         return rows.limit(0).select("doc_id", F.lit(0).alias("item_id").cast(items.schema[item_col].dataType), F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("n_found"))
     coded = rows.select("digest", words(F.col("text")).alias("words")).select("digest", F.size("words").alias("n_words"), F.transform("words", lambda w: F.xxhash64(w)).alias("coded"))
 
+    entries = kept(entries)
+    size = measured(entries)
+    may_meet = bitmap(entries, size[0])
+
     # The documents' shingle hashes are made from their words' hashes; so are the items'.
     def probe(w: int) -> DataFrame:
-        return coded.where(F.col("n_words") >= w).select("digest", "n_words", F.lit(w).alias("width"), F.explode(_hashed(F.col("coded"), w)).alias("hash"))
+        return coded.where(F.col("n_words") >= w).select("digest", "n_words", F.explode(_hashed(F.col("coded"), w)).alias("hash")).where(may_meet(F.col("hash")))
 
-    entries = kept(entries)
-    n_entries = entries.count()
     candidates = None
     for w in sorted(widths):
         own = entries.where(F.col("width") == w).drop("width")
-        met = small_join(probe(w), own, ["hash"], rows=n_entries).where(F.col("n_words") >= F.col("least_words")).select("digest", "item")
+        met = small_join(probe(w), own, ["hash"], size=size).where(F.col("n_words") >= F.col("least_words")).select("digest", "item")
         candidates = met if candidates is None else candidates.union(met)
     candidates = kept(candidates.distinct())
 
@@ -120,7 +148,7 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 def without_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that hold no item; null texts hold none."""
-    digest = F.xxhash64(text_of(text_col))
+    digest = text_id(text_of(text_col))
     texts = docs.select(digest.alias("evidra_digest"), F.col(text_col))
     found = search(texts, items, id_col="evidra_digest", text_col=text_col, **options).select(F.col("doc_id").alias("evidra_digest")).distinct()
     return small_join(docs.withColumn("evidra_digest", digest), kept(found), ["evidra_digest"], "left_anti").select(*docs.columns)
