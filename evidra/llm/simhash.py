@@ -11,10 +11,14 @@ If two fingerprints differ in two bits or fewer, one of three segments is equal
 next one. Candidates meet by a join on the key and are verified by the bit count.
 No link is lost.
 
-Keys that many distinct fingerprints share are not paired: their fingerprints are
-joined through the 65 words within one bit of each, which two fingerprints share
-just if they differ in two bits or fewer. Each word links its at most 65
-fingerprints to the least of them, so the links grow in proportion.
+A key that many distinct fingerprints share is split by what else the decoder
+returns. Where it decodes a neighbour of the word it gives the codeword, which is
+the key, and the error pattern; both together name the neighbour. With codeword and
+error pattern of the third segment's word beside them (of its neighbours, where the
+second segment's word was taken as it is), the split key names a word within one bit
+of the fingerprint. Fingerprints that differ in two bits or fewer share the word
+between them, and a split key has 46 fingerprints at most, all true links of each
+other; they are linked to the least of them, so the links grow in proportion.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from .tokens import slices
 #: Generator of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 (fixed value).
 GENERATOR = 0b101011100011
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Distinct fingerprints of one key up to which they are paired.
+#: Distinct fingerprints of one key up to which they are paired; a fuller key is split.
 PAIRED = 6
 
 
@@ -127,8 +131,7 @@ def golay_keys(fps: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             fp = batch.column("fp").to_numpy()
-            u = fp.view(np.uint64)
-            part = [((u >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
+            part = _segments(fp)
             out = []
             for i in range(3):
                 near = np.sort(code.keys(part[(i + 1) % 3]), axis=1)
@@ -141,13 +144,46 @@ def golay_keys(fps: DataFrame) -> DataFrame:
     return fps.select("fp").mapInArrow(made, "fp long, key long")
 
 
+def _segments(fp: np.ndarray) -> list[np.ndarray]:
+    u = fp.view(np.uint64)
+    return [((u >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
+
+
+def split_keys(full: DataFrame) -> DataFrame:
+    """(fp, key, split) for (fp, key): codeword and error patterns of the words within one bit that decode to the key."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = Golay()
+        flips = lambda n: np.concatenate([[0], 1 << np.arange(n)])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fp, key = batch.column("fp").to_numpy(), batch.column("key").to_numpy()
+            part, out = _segments(fp), []
+            for i in range(3):
+                (j, k), own = ((i + 1) % 3, (i + 2) % 3), np.flatnonzero(key & 3 == i)
+                near = part[j][own][:, None] ^ flips(SEGMENTS[j][1])
+                row, col = np.nonzero(code.index(near.ravel()).reshape(near.shape) == ((key[own] >> 2) & 0xFFF)[:, None])
+                word, third = near[row, col], part[k][own][row]
+                # where the second segment is as it is, the third one's neighbours count too
+                free = np.flatnonzero(col == 0)
+                more = third[free][:, None] ^ flips(SEGMENTS[k][1])[1:]
+                at = np.concatenate([np.arange(len(row)), np.repeat(free, more.shape[1])])
+                word, third = word[at], np.concatenate([third, more.ravel()])
+                out.append((own[row[at]], (_remainder(word) << 23) | (code.index(third) << 11) | _remainder(third)))
+            at, split = np.concatenate([r for r, _ in out]), np.concatenate([x for _, x in out])
+            yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(key[at]), pa.array(split)], ["fp", "key", "split"])
+
+    return full.select("fp", "key").mapInArrow(made, "fp long, key long, split long")
+
+
 def links(fps: DataFrame, paired: int = PAIRED) -> DataFrame:
     """(a, b) among distinct fingerprints: links that join all that differ in two bits or fewer.
 
-    Pairs of a key with at most `paired` fingerprints come as they are. The
-    fingerprints of fuller keys are linked through shared neighbour words, whose
-    links are all true ones too (two words within one bit of a third). Together
-    they connect just what the links of all pairs connect.
+    Pairs of a key with at most `paired` fingerprints come as they are. Fuller keys
+    are split and the fingerprints of a split key linked to the least of them; all
+    those links are true ones too. Together they connect just what the links of all
+    pairs connect, whatever `paired` is.
     """
     keys = kept(golay_keys(fps))
     sizes = kept(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
@@ -155,10 +191,8 @@ def links(fps: DataFrame, paired: int = PAIRED) -> DataFrame:
     few = shared.where(F.col("n") <= paired)
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 2
     pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where((F.col("a") < F.col("b")) & near("a", "b")).select("a", "b")
-    full = shared.where(F.col("n") > paired).select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *(F.lit(-(1 << 63) if i == 63 else 1 << i).cast("long") for i in range(64)))
-    words = full.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"))
-    stars = words.withColumn("a", F.min("fp").over(Window.partitionBy("word"))).where("a < fp").select("a", F.col("fp").alias("b"))
+    split = split_keys(shared.where(F.col("n") > paired))
+    stars = split.withColumn("a", F.min("fp").over(Window.partitionBy("key", "split"))).where("a < fp").select("a", F.col("fp").alias("b"))
     return pairs.union(stars).distinct()
 
 
