@@ -1,16 +1,17 @@
 """Packing of token ids into windows by Karmarkar-Karp multiway differencing.
 
 Documents are encoded whole and cut into pieces: full windows, then what is left.
-A piece of a full window is a sequence of its own. The others are dealt to blocks
-by a hash and each block is divided among k windows by the multiway differencing
+A piece of a full window is a sequence of its own and is not shuffled. The others are
+dealt to blocks by a hash of the piece's number and each block is divided among k windows by the multiway differencing
 method: every piece starts as a partition with that piece in one window; the two
 partitions of largest imbalance are merged, the fullest window of one with the
 emptiest of the other, until one partition is left. k begins at the least number
 that could hold the block and rises whenever a window exceeds the capacity.
 
 Nearly equal windows need small pieces to even them out, so a fixed share of the
-rests, chosen by a hash of the identifier, is cut into ever finer pieces. The cuts
-depend on the document alone.
+rests, chosen by a hash of the ids, is cut into ever finer pieces. The cuts depend
+on the text alone; which pieces meet in a block also on how the input lies in tasks,
+so rows that repeat one identifier or text a million times still fill many blocks.
 """
 
 from __future__ import annotations
@@ -20,21 +21,19 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept, text_of
-from .tokens import WordEncoder, default_vocabulary, slices, with_end
+from .tokens import default_vocabulary, encoder_of, slices, with_end
 
 CAPACITY = 2048
 #: Windows in a block, about: bounds a task's memory and the differencing's cost.
 BLOCK_WINDOWS = 192
 #: One document in this many has its rest cut fine: a quarter of what is left at a time, and this many tokens at most.
 FINE_EVERY, FINE_TOKENS = 8, 128
-#: UTF-8 bytes a token, about: only sets how many blocks there are.
-TOKEN_BYTES = 2.7
 
 
 def fine_starts(start: int, end: int) -> list[int]:
@@ -93,61 +92,85 @@ def windows_of(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         k += 1
 
 
+def _binary(data: bytes, ends: np.ndarray) -> pa.Array:
+    """Values that lie one behind the other in data, each ending where ends says."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes()), pa.py_buffer(data)])
+
+
 def pieces_of(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
-    """doc_id, start, length, doc_tokens, ids (little-endian, two bytes where the vocabulary allows) of every piece."""
+    """doc_id, start, length, doc_tokens, ids, number and whole of every piece.
+
+    ids are little-endian, of two bytes where the vocabulary allows, else of four.
+    number is unlike any other piece's; a task that runs again gives the same ones.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        number = TaskContext.get().partitionId() << 36
         for batch in slices(batches, limit=12 << 20):
-            encoder = encoder or WordEncoder(vocabulary)
+            encoder = encoder_of(vocabulary)
             ids, offsets = with_end(*encoder.ids(batch.column("text")), end_id)
             ids = ids.astype("<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-            width, data = ids.itemsize, memoryview(ids.tobytes())
-            out = ([], [], [], [], [])
-            for row, (doc, a, b) in enumerate(zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist())):
+            width, data = ids.itemsize, ids.tobytes()
+            view, row, starts = memoryview(data), [], []
+            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
                 full = (b - a) // capacity * capacity
-                fine = zlib.crc32(str(doc).encode()) % FINE_EVERY == 0
-                starts = [*range(0, full, capacity), *(fine_starts(full, b - a) if fine else [full] if full < b - a else [])]
-                for s, e in zip(starts, [*starts[1:], b - a]):
-                    for column, x in zip(out, (row, s, e - s, b - a, bytes(data[(a + s) * width : (a + e) * width]))):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], ["doc_id", "start", "length", "doc_tokens", "ids"])
-
-    return rows.mapInArrow(cut, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary")
+                fine = zlib.crc32(view[a * width : b * width]) % FINE_EVERY == 0
+                own = [*range(0, full, capacity), *(fine_starts(full, b - a) if fine else [full] if full < b - a else [])]
+                starts += own
+                row += [i] * len(own)
+            row, starts = np.array(row, np.int64), np.array(starts, np.int64)
+            first = offsets[:-1][row] + starts
+            length = np.diff(first, append=len(ids))
+            numbers = np.arange(number, number + len(row))
+            number += len(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(row)), *map(pa.array, (starts, length, np.diff(offsets)[row])), _binary(data, (first + length) * width), pa.array(numbers), pa.array(length == capacity)],
+                ["doc_id", "start", "length", "doc_tokens", "ids", "number", "whole"],
+            )
+
+    return rows.mapInArrow(cut, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, number long, whole boolean")
+
+
+def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ids of two bytes made ids of four."""
+    for batch in batches:
+        ids, length = batch.column("ids"), batch.column("length").to_numpy()
+        sizes = np.diff(np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1])
+        if len(ids) and (sizes == 2 * length).all():
+            data = np.frombuffer(b"".join(ids.to_pylist()), "<u2").astype("<u4").tobytes()
+            batch = batch.set_column(batch.schema.get_field_index("ids"), "ids", _binary(data, np.cumsum(4 * length)))
+        yield batch
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 1, capacity: int = CAPACITY, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset.
 
-    Pieces of a sequence stand in the order of doc_id and start. A null text has
-    the end id alone. Repeated rows are packed each; identifiers are only carried,
-    null ones too. Blocks take pieces by a hash of identifier and start, so
-    neither a very long document nor a hot source fills one. No rows give none.
+    Pieces of a sequence stand in the order of their numbers, that of the input in
+    each task. A null text has the end id alone. Repeated rows are packed each;
+    identifiers are only carried, null ones too. Blocks take pieces by a hash of
+    their numbers, so no identifier, text or source fills one. No rows give none.
     """
     vocabulary = vocabulary or default_vocabulary()
-    total = docs.agg(F.coalesce(F.sum(F.octet_length(text_of(text_col)) + 1), F.lit(0))).first()[0]
-    blocks = max(1, round(total / TOKEN_BYTES / capacity / block_windows))
-    pieces = pieces_of(docs, id_col, text_col, vocabulary, end_id, capacity)
+    pieces = kept(pieces_of(docs, id_col, text_col, vocabulary, end_id, capacity), by="whole")
+    rest = pieces.where("not whole")
+    left = rest.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    blocks = max(1, round(left / capacity / block_windows))
     kind = pieces.schema["doc_id"].dataType.simpleString()
+    columns = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     schema = f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
-    def packed(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["doc_id", "start", "length", "doc_tokens", "ids"], kind="stable").reset_index(drop=True)
-        sizes = block["length"].to_numpy()
-        whole = np.flatnonzero(sizes == capacity)
-        rest = np.flatnonzero(sizes < capacity)
-        windows = [[i] for i in whole.tolist()] + [rest[w].tolist() for w in windows_of(sizes[rest].tolist(), capacity)]
+    def packed(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks().sort_by("number")
+        sizes = block.column("length").to_numpy()
+        windows = windows_of(sizes.tolist(), capacity)
         row = np.array([i for w in windows for i in w], np.int64)
         number = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
-        offset = np.concatenate([np.cumsum(sizes[w]) - sizes[w] for w in windows]) if windows else row
-        out = block.iloc[row].reset_index(drop=True)
-        out["sequence_id"] = (out.pop("block").to_numpy(np.int64) << 32) + number
-        out["offset"] = offset
-        two = out["ids"].map(len) == 2 * out["length"]
-        out["ids"] = [np.frombuffer(x, "<u2").astype("<u4").tobytes() if t else x for x, t in zip(out["ids"], two)]
-        return out[["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]]
-
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens"), F.lit(blocks)))
-    return dealt.groupBy("block").applyInPandas(packed, schema)
+        offset = np.concatenate([np.cumsum(sizes[w]) - sizes[w] for w in windows])
+        sequence = (block.column("block").to_numpy()[0] << 32) + number
+        return block.take(pa.array(row)).append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64())).select(columns)
+
+    dealt = rest.withColumn("block", F.pmod(F.xxhash64("number"), F.lit(blocks)).cast("long")).drop("whole")
+    alone = pieces.where("whole").withColumn("sequence_id", -1 - F.col("number")).withColumn("offset", F.lit(0).cast("long"))
+    return alone.select(*columns).union(dealt.groupBy("block").applyInArrow(packed, schema)).mapInArrow(_widened, schema)

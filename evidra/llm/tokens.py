@@ -7,6 +7,8 @@ encoded once and their ids laid out for every occurrence with numpy.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -16,8 +18,10 @@ import pyarrow.compute as pc
 
 #: Text bytes encoded at a time: bounds a task's memory whatever a batch holds.
 BATCH_BYTES = 24 << 20
-#: Words whose ids a task remembers; beyond it the memory starts afresh.
-REMEMBERED = 800_000
+#: Words whose ids a worker remembers (about 50 bytes each); beyond it the memory starts afresh.
+REMEMBERED = 1_000_000
+#: Lower-case letters of the Latin alphabet and of western Europe, each one code point.
+LETTERS = "".join(map(chr, [*range(ord("a"), ord("z") + 1), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
 #: Stands between words encoded in one call. Its byte occurs in no other character, so its id splits the ids again.
 MARK = "\x01"
 
@@ -54,44 +58,55 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 class WordEncoder:
-    """ids(texts) gives flat uint32 ids and the offsets of each text in them."""
+    """ids(texts) gives flat uint32 ids and the offsets of each text in them.
+
+    The ids of a word are kept beside it in Arrow and numpy arrays, so a batch
+    looks all its distinct words up at once and only new ones become Python strings.
+    """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[str, int] = {}
         self.mark = self._plain(MARK)
+        # Letters that normalising leaves as they are; a word of such letters alone is one part for the model.
+        self.letters = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in LETTERS}
         self._clear()
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _clear(self) -> None:
-        self.known.clear()
+        self.known = pa.array([], pa.large_string())
         self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        odd = [w for w in words if MARK in w or "<|" in w] if len(self.mark) == 1 else words
-        if odd:
-            held = set(odd)
-            words = [w for w in words if w not in held]
-        parts, lengths = [], []
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of words, many to a call."""
+        parts, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for at in range(0, len(words), 4096):
-            block = words[at : at + 4096]
-            [found] = self.tokenizer.encode_batch_fast([f" {MARK} ".join([*block, ""])], add_special_tokens=False)
+            [found] = self.tokenizer.encode_batch_fast([f" {MARK} ".join([*words[at : at + 4096], ""])], add_special_tokens=False)
             ids = np.array(found.ids, np.uint32)
             ends = np.flatnonzero(ids == self.mark[0])
             lengths.append(np.diff(ends, prepend=-1) - 1)
             parts.append(np.delete(ids, ends))
-        for w in odd:
-            parts.append(np.array(self._plain(w), np.uint32))
-            lengths.append(np.array([len(parts[-1])]))
-        n, lengths = len(self.starts), np.concatenate(lengths)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.flat, self.lengths = np.concatenate([self.flat, *parts]), np.concatenate([self.lengths, lengths])
-        self.known.update(zip([*words, *odd], range(n, len(self.starts))))
+        return np.concatenate(parts), np.concatenate(lengths)
+
+    def _singly(self, words: list[str], encoded) -> tuple[np.ndarray, np.ndarray]:
+        found = [encoded(w) for w in words]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
+    def _learn(self, words: pa.Array) -> None:
+        odd = pc.or_(pc.match_substring(words, MARK), pc.match_substring(words, "<|")).to_numpy(zero_copy_only=False) | (len(self.mark) != 1)
+        plain = pc.match_substring_regex(words, f"^[{LETTERS}]+$").to_numpy(zero_copy_only=False) & ~odd
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        for chosen, encode in ((plain, lambda w: self._singly(w, lambda x: [t.id for t in tokenize(x if x.isascii() else x.translate(letters))])), (~plain & ~odd, self._together), (odd, lambda w: self._singly(w, self._plain))):
+            own = words.filter(pa.array(chosen))
+            ids, lengths = encode(own.to_pylist())
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.flat, self.lengths = np.concatenate([self.flat, ids]), np.concatenate([self.lengths, lengths])
+            self.known = pa.concat_arrays([self.known, own])
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         # A token never spans a letter and the punctuation after it; parting them leaves fewer distinct words.
@@ -99,18 +114,25 @@ class WordEncoder:
         # The vocabulary is lower-case; folding A-Z first only merges words. Words that may hold a special token stay as they are.
         words = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
         coded = words.dictionary_encode()
-        names = coded.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
             self._clear()
-        if new := [w for w in names if w not in self.known]:
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()] if names else np.zeros(0, np.int64)
+        at = pc.index_in(coded.dictionary, value_set=self.known)
+        if at.null_count:
+            self._learn(coded.dictionary.filter(pc.is_null(at)))
+            at = pc.index_in(coded.dictionary, value_set=self.known)
+        at = at.to_numpy(zero_copy_only=False).astype(np.int64)[coded.indices.to_numpy()]
         lengths = self.lengths[at]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.flat[np.repeat(self.starts[at] - ends[:-1], lengths) + np.arange(ends[-1])]
         return ids, ends[offsets]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(vocabulary: str) -> WordEncoder:
+    """The process's encoder: a worker's later tasks start with the words of earlier ones."""
+    return WordEncoder(vocabulary)
+
+
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Each text's ids followed by end_id."""
     out = np.insert(ids, offsets[1:], np.uint32(end_id))
