@@ -1,6 +1,7 @@
 """Sorted-string-table shards of token ids, keyed by document identifier.
 
-A shard holds a contiguous range of identifiers in ascending order::
+A shard holds a contiguous range of identifiers in ascending order (a range may begin
+or end inside the rows of one identifier)::
 
     header   magic "EVSST1\\0\\0", id width (u8: 2 or 4), 7 zero bytes
     blocks   entries: shared u8, suffix length u8, value length u32, key suffix, value
@@ -23,12 +24,14 @@ Ids are stored little-endian in two bytes where the vocabulary allows, else four
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 from pyspark import TaskContext
@@ -36,10 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept, shared_dir, text_of
-from .tokens import WordEncoder, default_vocabulary, slices, with_end
+from .tokens import default_vocabulary, encoder_of, slices, with_end
 
 MAGIC = b"EVSST1\0\0"
 HEADER, ENTRY, BLOCK_REF, FOOTER = "<8sB7x", "<BBI", "<QQQ", "<6QII8s"
+#: UTF-8 bytes of text that a shard is made from, about.
+SHARD_BYTES = 24 << 20
+#: Keys that set the shards' ranges: so many for each shard, and in all, at most.
+SAMPLED, SAMPLED_IN_ALL = 60, 1_000_000
 MANIFEST = "part int, path string, entries long, tokens long, bytes long, first_id long, last_id long"
 
 
@@ -93,18 +100,17 @@ class Writer:
     def _open(self) -> None:
         self.block, self.size, self.restarts, self.n, self.last, self.before = [], 0, [], 0, b"", self.tokens
 
-    def add(self, key: bytes, ids: np.ndarray) -> None:
-        value = ids.astype("<u2" if self.width == 2 else "<u4").tobytes()
+    def add(self, key: bytes, value: bytes | pa.Buffer, tokens: int) -> None:
         shared = 0
         if self.n % self.restart_every == 0:
             self.restarts.append(self.size)
         else:
             while shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
                 shared += 1
-        entry = struct.pack(ENTRY, shared, len(key) - shared, len(value)) + key[shared:]
+        entry = struct.pack(ENTRY, shared, len(key) - shared, tokens * self.width) + key[shared:]
         self.block += [entry, value]
-        self.size += len(entry) + len(value)
-        self.n, self.last, self.tokens = self.n + 1, key, self.tokens + len(ids)
+        self.size += len(entry) + tokens * self.width
+        self.n, self.last, self.tokens = self.n + 1, key, self.tokens + tokens
         self.keys.append(key)
         if self.size >= self.block_bytes:
             self._flush()
@@ -195,42 +201,96 @@ def opened(path: str) -> Reader:
     return Reader(fs.open_input_file(name))
 
 
-def write_shards(docs: DataFrame, out: str | None = None, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 2, block_bytes: int = 64 << 10, restart_every: int = 16, bits_per_key: int = 10) -> DataFrame:
+def _ranges(rows: DataFrame, shard_bytes: int) -> np.ndarray:
+    """Lower ends of all shards but the first, as (not null, id, digest, serial) records in ascending order.
+
+    They cut a sample of keys, whose size depends on the number of shards and is
+    bounded, into parts of equal bytes.
+    """
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    shards = max(1, -(-total // shard_bytes))
+    sample = rows.drop("text").sample(min(1.0, min(SAMPLED * shards, SAMPLED_IN_ALL) / max(1, n)), seed=1).toArrow()
+    keys, order = _keys(sample)
+    sizes = np.cumsum(sample.column("bytes").to_numpy()[order])
+    at = np.searchsorted(sizes, sizes[-1] * np.arange(1, shards) / shards) if len(sizes) else []
+    return np.unique(keys[order][at])
+
+
+def _keys(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Records of a batch's keys, and their ascending order."""
+    there = pc.is_valid(table.column("id")).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else pc.is_valid(table.column("id")).to_numpy()
+    keys = np.zeros(table.num_rows, [("there", "?"), ("id", "<i8"), ("digest", "<i8"), ("serial", "<i8")])
+    keys["there"], keys["id"] = there, pc.fill_null(table.column("id"), 0).to_numpy()
+    keys["digest"], keys["serial"] = table.column("digest").to_numpy(), table.column("serial").to_numpy()
+    return keys, np.lexsort([keys[c] for c in reversed(keys.dtype.names)])
+
+
+def write_shards(docs: DataFrame, out: str | None = None, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 2, block_bytes: int = 64 << 10, restart_every: int = 16, bits_per_key: int = 10, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode every text, append end_id, write shards below out; returns their manifest.
 
-    Documents are dealt by ranges of the identifier and each task writes one
-    shard, under a name of its attempt that is renamed when whole, so a task that
-    runs again leaves one file. A null text has the end id alone; a null
-    identifier sorts first; repeated identifiers are kept, ordered by text. No
-    rows give an empty manifest.
+    Texts are encoded where they are read and their ids are dealt by ranges of
+    (identifier, text hash, place in the input), so rows without identifier or with
+    one much repeated still fill many shards. A task writes each of its shards
+    under a name of its own attempt; the manifest, which Spark commits once, names
+    the file of the attempt that counts, and other attempts' files are deleted. A
+    null text has the end id alone; a null identifier sorts first; repeated
+    identifiers are kept, ordered by text hash. No rows give an empty manifest.
     """
     spark = docs.sparkSession
-    out, vocabulary = out or shared_dir(spark), vocabulary or default_vocabulary()
+    out, vocabulary, run = out or shared_dir(spark), vocabulary or default_vocabulary(), uuid.uuid4().hex[:8]
+    text = text_of(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("digest"), F.monotonically_increasing_id().alias("serial"), (F.octet_length(text) + 1).alias("bytes"), text.alias("text"))
+    ranges = _ranges(rows, shard_bytes)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=12 << 20):
+            encoder = encoder_of(vocabulary)
+            ids, offsets = with_end(*encoder.ids(batch.column("text")), end_id)
+            data = ids.astype("<u2" if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
+            ids = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((offsets * data.itemsize).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+            part = np.searchsorted(ranges, _keys(batch)[0], side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(batch.column(c) for c in ("id", "digest", "serial")), ids], ["part", "id", "digest", "serial", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        part, name, encoder, writer, first, key = task.partitionId(), None, None, None, None, None
+        attempt, encoder, part, writer, first, key = TaskContext.get().taskAttemptId(), None, None, None, None, None
         fs, root = pafs.FileSystem.from_uri(out)
-        for batch in slices(batches):
-            if writer is None:
-                encoder = WordEncoder(vocabulary)
-                fs.create_dir(root, recursive=True)
-                name = f"{root}/part-{part:06d}.sst"
-                sink = fs.open_output_stream(f"{name}.{task.taskAttemptId()}")
-                writer = Writer(sink, 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4, block_bytes, restart_every, bits_per_key)
-            ids, offsets = with_end(*encoder.ids(batch.column("text")), end_id)
-            for i, doc in enumerate(batch.column("id").to_pylist()):
-                key = key_of(doc)
-                first = first or key
-                writer.add(key, ids[offsets[i] : offsets[i + 1]])
-        if writer is not None:
+        name = lambda: f"part-{part:06d}-{run}-{attempt}.sst"
+        schema = pa.schema([("part", pa.int32()), ("path", pa.string()), *((c, pa.int64()) for c in ("entries", "tokens", "bytes", "first_id", "last_id"))])
+
+        def closed() -> pa.RecordBatch:
             writer.close()
             sink.close()
-            fs.move(f"{name}.{task.taskAttemptId()}", name)
-            yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{out}/part-{part:06d}.sst", "entries": len(writer.keys), "tokens": writer.tokens, "bytes": writer.at, "first_id": identifier_of(first), "last_id": identifier_of(key)}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), *((c, pa.int64()) for c in ("entries", "tokens", "bytes", "first_id", "last_id"))]))
+            return pa.RecordBatch.from_pylist([{"part": part, "path": f"{out}/{name()}", "entries": len(writer.keys), "tokens": writer.tokens, "bytes": writer.at, "first_id": identifier_of(first), "last_id": identifier_of(key)}], schema=schema)
+
+        for batch in batches:
+            encoder = encoder or encoder_of(vocabulary)
+            width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+            for own, doc, ids in zip(batch.column("part").to_pylist(), batch.column("id").to_pylist(), batch.column("ids")):
+                key = key_of(doc) if own == part else key
+                if own != part:
+                    if writer is not None:
+                        yield closed()
+                    fs.create_dir(root, recursive=True)
+                    part, key = own, key_of(doc)
+                    first, sink = key, fs.open_output_stream(f"{root}/{name()}")
+                    writer = Writer(sink, width, block_bytes, restart_every, bits_per_key)
+                writer.add(key, ids.as_buffer(), ids.as_buffer().size // width)
+        if writer is not None:
+            yield closed()
+
+    coded = rows.mapInArrow(encode, "part int, id long, digest long, serial long, ids binary")
+    dealt = coded.repartitionById(len(ranges) + 1, "part").sortWithinPartitions("part", "id", "digest", "serial")
+    manifest = kept(dealt.select("part", "id", "ids").mapInArrow(write, MANIFEST))
+    _tidy(out, run, {r.path.rsplit("/", 1)[1] for r in manifest.select("path").collect()})
+    return manifest
+
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return kept(rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(write, MANIFEST))
+def _tidy(out: str, run: str, named: set[str]) -> None:
+    """Delete the files of this run that its manifest (one row per shard) does not name."""
+    fs, root = pafs.FileSystem.from_uri(out)
+    for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if f"-{run}-" in f.base_name and f.base_name not in named:
+            fs.delete_file(f.path)
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:

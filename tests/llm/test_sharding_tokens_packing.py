@@ -1,3 +1,4 @@
+import os
 import struct
 import zlib
 from collections import defaultdict
@@ -5,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from fixtures import docs, rows
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -25,6 +27,10 @@ def crc(values):
     return zlib.crc32(struct.pack(f"<{len(values)}I", *values))
 
 
+def text_hash(text):
+    return int(np.uint64(xxhash.xxh64_intdigest((text or "").encode(), 42)).view(np.int64))
+
+
 def least_capacity(sizes, shards):
     """By trying every capacity."""
     for capacity in range(max(sizes), sum(sizes) + 1):
@@ -65,7 +71,7 @@ def test_shards(spark):
 def test_sstable_round_trip(spark, tokenizer):
     manifest = sstable.write_shards(docs(spark), end_id=2, block_bytes=256, restart_every=3)
     got = sstable.read_shards(manifest).orderBy("start").collect()
-    want = sorted(((r[0] is not None, r[0] or 0, r[1] or ""), r) for r in rows())
+    want = sorted(((r[0] is not None, r[0] or 0, text_hash(r[1])), r) for r in rows())
     at = 0
     for g, (_, r) in zip(got, want, strict=True):
         own = ids(tokenizer, r[1], 2)
@@ -78,6 +84,33 @@ def test_sstable_round_trip(spark, tokenizer):
     assert sstable.read_shards(sstable.write_shards(docs(spark, []))).count() == 0
 
 
+def test_one_identifier_fills_many_shards(spark, tokenizer):
+    """Rows without identifier and of one identifier, equal ones too, are spread; the order stays."""
+    some = [(None, "same words here") if i % 3 else (7, f"text {i % 5} of seven") for i in range(600)] + [(i, f"own {i}") for i in range(40)]
+    table = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+    manifest = sstable.write_shards(table, shard_bytes=600)
+    sizes = [r.entries for r in manifest.collect()]
+    assert len(sizes) > 10 and max(sizes) < 200 and sum(sizes) == len(some)
+    got = sstable.read_shards(manifest).orderBy("start").collect()
+    assert [g.doc_id for g in got] == sorted((i for i, _ in some), key=lambda i: (i is not None, i))
+    assert [g.start for g in got] == np.cumsum([0, *(g.n_tokens for g in got)])[:-1].tolist()
+    held = lambda rs: sorted(((i is not None, i or 0), bytes(b)) for i, b in rs)
+    assert held((g.doc_id, g.ids) for g in got) == held((i, struct.pack(f"<{len(x)}I", *x)) for i, x in ((i, ids(tokenizer, t, 2)) for i, t in some))
+    found = sstable.lookup(manifest, [7, 11, -1])
+    assert set(found) == {7, 11} and found[11].tolist() == ids(tokenizer, "own 11", 2)
+
+
+def test_other_attempts_files_go(spark):
+    manifest = sstable.write_shards(docs(spark))
+    path = manifest.first().path.removeprefix("file:")
+    run = path.rsplit("/", 1)[1].split("-")[2]
+    stale, other = path.replace(path.rsplit("-", 1)[1], "999999.sst"), path.replace(run, "otherrun")
+    for f in (stale, other):
+        open(f, "wb").write(b"half")
+    sstable._tidy(path.rsplit("/", 1)[0], run, {r.path.rsplit("/", 1)[1] for r in manifest.collect()})
+    assert not os.path.exists(stale) and os.path.exists(other) and os.path.exists(path)
+
+
 def test_sstable_keys_order():
     some = [None, -(1 << 63), -5, -1, 0, 1, 255, 256, (1 << 63) - 1]
     keys = [sstable.key_of(i) for i in some]
@@ -116,6 +149,19 @@ def test_packing(spark, tokenizer):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_one_identifier_fills_many_blocks(spark):
+    table = spark.range(3000).selectExpr("cast(null as long) doc_id", "'one two three four' text").repartition(4)
+    got = packing.pack(table, capacity=64, block_windows=4).select("sequence_id", "length").collect()
+    blocks = defaultdict(int)
+    for p in got:
+        blocks[p.sequence_id >> 32] += 1
+    assert len(got) == 3000 and len(blocks) > 30 and max(blocks.values()) < 200
+    used = defaultdict(int)
+    for p in got:
+        used[p.sequence_id] += p.length
+    assert max(used.values()) <= 64
+
+
 def test_differencing():
     rng = np.random.default_rng(3)
     for _ in range(30):
