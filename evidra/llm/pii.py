@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -102,23 +102,44 @@ PROPOSED = {
 }
 
 
+class Taken:
+    """Disjoint stretches of a text in ascending order."""
+
+    def __init__(self, found: list[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for a, b in sorted(found):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def take(self, a: int, b: int) -> bool:
+        """Whether the stretch was free; it is taken then."""
+        at = bisect_left(self.starts, b)
+        if at and self.ends[at - 1] > a:
+            return False
+        self.starts.insert(at, a)
+        self.ends.insert(at, b)
+        return True
+
+
 def spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by kind, then start; starts and ends count code points."""
     text = text or ""
-    found, taken = [], []
+    found = []
 
     def near(kind: str, a: int, b: int) -> bool:
         return kind in CONTEXT and bool(CONTEXT[kind].search(text, max(0, a - BEFORE), a) or CONTEXT[kind].search(text, b, b + AFTER))
 
     for kind, a, b in base_spans(text):
         found.append((kind, a, b, min(1.0, 0.7 + 0.2 * (kind == "card") + 0.1 * near(kind, a, b))))
-        taken.append((a, b))
+    taken = Taken([s[1:3] for s in found])
     for kind, (pattern, prior, valid, check, context) in PROPOSED.items():
         for m in pattern.finditer(text):
             score = prior + (check * (1 if valid(m[0]) else -1) if valid else 0)
-            if score + context >= threshold and (score := score + context * near(kind, *m.span())) >= threshold - 1e-9 and all(m.end() <= a or m.start() >= b for a, b in taken):
+            if score + context >= threshold and (score := score + context * near(kind, *m.span())) >= threshold - 1e-9 and taken.take(*m.span()):
                 found.append((kind, *m.span(), round(min(1.0, score), 3)))
-                taken.append(m.span())
     return found
 
 
@@ -127,10 +148,10 @@ MAY_HOLD = r"@|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){8}|\+[0-9]|[A-Z]
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
-def _mapped(docs: DataFrame, made, schema: str) -> DataFrame:
+def _mapped(docs: DataFrame, made, schema: str, column: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts = batch.column("text")
+        for batch in slices(batches, column):
+            texts = batch.column(column)
             maybe = pc.match_substring_regex(texts, MAY_HOLD).to_pylist()
             yield made(batch, [spans(t.as_py()) if m else [] for t, m in zip(texts, maybe)])
 
@@ -161,15 +182,13 @@ def masked(text: str, found: list[tuple[str, int, int, float]]) -> str:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span of its texts masked; null texts and all other columns stay as they are."""
-    rows = docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs
 
     def made(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
-        texts = [t if not f else masked(t, f) for t, f in zip(batch.column("text").to_pylist(), found)]
-        at = batch.schema.get_field_index("text")
+        at = batch.schema.get_field_index(text_col)
+        texts = [t if not f else masked(t, f) for t, f in zip(batch.column(at).to_pylist(), found)]
         return pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, batch.schema.field(at).type), *batch.columns[at + 1 :]], schema=batch.schema)
 
-    out = _mapped(rows, made, rows.schema)
-    return out.withColumnRenamed("text", text_col) if text_col != "text" else out
+    return _mapped(docs, made, docs.schema, text_col)
 
 
 def digest(found: DataFrame) -> DataFrame:
