@@ -46,7 +46,8 @@ def _rest(url: Column) -> Column:
 def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     """Adds rule and its verdict (null where none fits); the longest rule wins, the first of equal ones."""
     rule = verdict = F.lit(None).cast("string")
-    for said, host, path in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    # later ones override, so the first of equally long ones comes last
+    for said, host, path in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
         rule, verdict = F.when(fits, F.lit(host + path)).otherwise(rule), F.when(fits, F.lit(said)).otherwise(verdict)
     return pages.withColumn("rule", rule).withColumn("rule_verdict", verdict)
@@ -99,11 +100,11 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     held = F.substring(F.md5("line"), 1, 1).isin(*HELD_OUT)
     tables = learned(rows.where(F.col("rule").isNotNull() & ~held).select("line", F.col("rule_verdict").alias("label")), order)
 
-    lines = rows.where(F.col("rule").isNull() | held).select("line").distinct()
-    placed = kept(grams(lines.withColumn("key", F.col("line")), order))
-    table = kept(ratios(placed.select("gram").distinct(), tables))
-    scored = small_join(placed, table, ["gram"]).groupBy("key").agg(F.sum("ratio").alias("total"), F.count("*").alias("n"))
-    scores = kept(scored.select(F.col("key").alias("line"), F.floor(F.col("total") / F.col("n")).cast("long").alias("score")))
+    # each line has a number, so that its places carry eight bytes and not the line
+    lines = kept(rows.where(F.col("rule").isNull() | held).select("line").distinct().withColumn("key", F.monotonically_increasing_id()))
+    table = kept(ratios(grams(lines, order).select("gram").distinct(), tables))
+    scored = small_join(grams(lines, order), table, ["gram"]).groupBy("key").agg(F.sum("ratio").alias("total"), F.count("*").alias("n"))
+    scores = kept(lines.join(scored, "key").select("line", F.floor(F.col("total") / F.col("n")).cast("long").alias("score")))
 
     joined = kept(small_join(rows.where(F.col("rule").isNull() | held), scores, ["line"]))
     means = joined.where(F.col("rule").isNotNull()).agg(*[F.sum(F.when(F.col("rule_verdict") == c, F.col("score"))).alias(c) for c in ("allow", "block")], *[F.count(F.when(F.col("rule_verdict") == c, 1)).alias(f"n_{c}") for c in ("allow", "block")]).first()
