@@ -16,13 +16,12 @@ from .tokens import slices, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: A line of a host goes if it stands in more distinct texts than this many.
+#: A line of a host goes if it stands in more documents of the host than this many ...
 LINE_DOCUMENTS = 50
-#: With a lower limit, it must also stand in more than this share of the host's
-#: distinct texts, but never in more than LINE_DOCUMENTS of them.
-LINE_SHARE = 0.01
-#: A document is depleted if less than this share of its words is left.
-LEFT_SHARE = 0.3
+#: ... or, in a smaller host, than this share of its documents, but in more than the least at any rate.
+LINE_SHARE, LINE_LEAST = 0.1, 3
+#: A document is depleted if less than this share of its words is left, or fewer words than the base rules ask for.
+LEFT_SHARE, LEAST_WORDS = 0.3, 50
 #: Stands for a null host, so that joins and groups treat it as any other.
 NO_HOST = "\0"
 
@@ -54,12 +53,22 @@ def _in_repeats(owner: np.ndarray, words: np.ndarray) -> np.ndarray:
     return out
 
 
-def statistics(docs: DataFrame, id_col: str, host_col: str, text_col: str) -> DataFrame:
-    """id, host, the counts of each text, its digest and, per distinct line, hash and words.
+def _lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The \\n-split lines of all texts, offsets of each text in them, and of each line its words and hash.
 
-    A line's hash is of its words in lower case, single spaces between.
+    A line's hash is of its words in lower case, single spaces between; one without words has no meaningful hash.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit(NO_HOST)).alias("host"), text_of(text_col).alias("text")).withColumn("digest", F.xxhash64("text"))
+    split = pc.split_pattern(texts.cast(pa.large_string()), "\n")
+    lines, at = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+    offsets, words = words_of(lines)
+    plain = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pc.utf8_lower(words).cast(pa.string())), " ").dictionary_encode()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(x) for x in plain.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(plain.dictionary)).view(np.int64)
+    return lines, at - at[0], np.diff(offsets), hashes[plain.indices.to_numpy()]
+
+
+def statistics(docs: DataFrame, id_col: str, host_col: str, text_col: str) -> DataFrame:
+    """doc_id, host, the counts of each text and, per distinct line, hash and words in all its places."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit(NO_HOST)).alias("host"), text_of(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     long = lambda x: pa.array(x, pa.int64())
 
@@ -73,91 +82,81 @@ def statistics(docs: DataFrame, id_col: str, host_col: str, text_col: str) -> Da
             codes = words.dictionary_encode().indices.to_numpy().astype(np.int64)
             repeats = np.bincount(owner[_in_repeats(owner, codes)], minlength=n)
 
-            split = pc.split_pattern(texts.cast(pa.large_string()), "\n")
-            lines, at = split.flatten(), split.offsets.to_numpy().astype(np.int64)
-            line_owner = np.repeat(np.arange(n), np.diff(at))
-            line_offsets, line_words = words_of(lines)
-            full = np.diff(line_offsets) > 0
+            lines, at, line_words, whole = _lines(texts)
+            line_owner, full = np.repeat(np.arange(n), np.diff(at)), line_words > 0
             line_codes = lines.dictionary_encode().indices.to_numpy().astype(np.int64)
             dup = np.bincount(line_owner[full][_seen_before(line_owner[full], line_codes[full])], minlength=n)
 
-            plain = pc.binary_join(pa.ListArray.from_arrays(pa.array(line_offsets, pa.int32()), pc.utf8_lower(line_words).cast(pa.string())), " ").dictionary_encode()
-            hashes = np.fromiter((xxhash.xxh64_intdigest(x) for x in plain.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(plain.dictionary)).view(np.int64)
-            whole = hashes[plain.indices.to_numpy()]
-            # per document, each distinct line once, with the words of all its places
-            o, h, w = line_owner[full], whole[full], np.diff(line_offsets)[full]
+            o, h, w = line_owner[full], whole[full], line_words[full]
             order = np.lexsort((h, o))
             o, h, w = o[order], h[order], w[order]
             first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (h[1:] != h[:-1])])) if len(o) else np.zeros(0, np.int64)
             sums = np.add.reduceat(w, first) if len(o) else w
             ends = np.concatenate([[0], np.cumsum(np.bincount(o[first], minlength=n))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("host"), long(per), long(chars[offsets[1:]] - chars[offsets[:-1]]), pc.cast(pc.count_substring_regex(texts, SYMBOLS), pa.int64()), long(dup), long(repeats), batch.column("digest")]
+                [batch.column("doc_id"), batch.column("host"), long(per), long(chars[offsets[1:]] - chars[offsets[:-1]]), pc.cast(pc.count_substring_regex(texts, SYMBOLS), pa.int64()), long(dup), long(repeats)]
                 + [pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([long(h[first]), pa.array(sums, pa.int32())], ["hash", "words"]))],
-                ["doc_id", "host", *STATS, "digest", "lines"],
+                ["doc_id", "host", *STATS, "lines"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, host string, " + "".join(f"{c} long, " for c in STATS) + "digest long, lines array<struct<hash:long,words:int>>")
+    return rows.mapInArrow(run, f"doc_id {kind}, host string, " + "".join(f"{c} long, " for c in STATS) + "lines array<struct<hash:long,words:int>>")
 
 
-def frequent_lines(stats: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE) -> DataFrame:
-    """(host, hash) of the lines in more than `documents` distinct texts of their host.
+def frequent_lines(stats: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE, least: int = LINE_LEAST) -> DataFrame:
+    """(host, hash) of the lines in more than `documents` documents of their host.
 
-    The share can ask for more texts in a host only up to LINE_DOCUMENTS, so that
-    the number needed does not grow with the host.
+    Every row is a document, and a line counts once in it. In a host of fewer than
+    documents / share documents the share is the limit, but `least` at the lowest.
+    The counts are summed where the rows lie before they are shuffled.
     """
-    copies = stats.select("host", "digest", "lines").dropDuplicates(["host", "digest"])
-    lines = copies.select("host", F.explode("lines.hash").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > documents)
-    if documents >= LINE_DOCUMENTS:
-        return lines.select("host", "hash")
-    texts = stats.groupBy("host").agg(F.countDistinct("digest").alias("texts"))
-    return lines.join(texts, "host").where(F.col("n") > F.least(share * F.col("texts"), F.lit(LINE_DOCUMENTS))).select("host", "hash")
+    lines = stats.select("host", F.explode("lines.hash").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > min(least, documents))
+    hosts = stats.groupBy("host").agg(F.count("*").alias("documents"))
+    limit = F.least(F.lit(documents), F.greatest(F.lit(least), share * F.col("documents")))
+    return small_join(lines, kept(hosts), ["host"]).where(F.col("n") > limit).select("host", "hash")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE, left: float = LEFT_SHARE) -> DataFrame:
     """One row per document: the counts, base_failed, words_left and kept.
 
-    Lines that stand in more than `documents` distinct texts of a host are removed
-    (below LINE_DOCUMENTS, see frequent_lines for `share`); a document that keeps
-    less than `left` of its words is rejected. Exact copies count as one text, so a text is not
-    rejected for being copied. A null text has no words and fails the base rules;
-    null hosts are one host; repeated rows are judged each; no rows give none.
+    The lines of frequent_lines are removed; a document that keeps less than `left`
+    of its words, or fewer than the LEAST_WORDS of the base rules, is rejected. All
+    rows are documents, copies too, so a text is rejected for standing in one host
+    too often. A null text has no words and fails the base rules; null hosts are one
+    host; repeated rows count and are judged each; no rows give none.
     """
     stats = kept(statistics(docs, id_col, host_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     flagged = kept(frequent_lines(stats, documents, share))
     lines = stats.select("row", "host", F.explode("lines").alias("line")).select("row", "host", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
     removed = small_join(lines, flagged, ["host", "hash"]).groupBy("row").agg(F.sum("words").alias("removed"))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     words_left = F.col("n_words") - F.coalesce("removed", F.lit(0))
-    out = stats.drop("lines").join(removed, "row", "left")
-    return out.select("doc_id", *STATS, failed.alias("base_failed"), words_left.alias("words_left"), (~failed & (words_left >= left * F.col("n_words"))).alias("kept"))
+    out = stats.drop("lines").join(removed, "row", "left").withColumn("words_left", words_left).withColumn("base_failed", failed)
+    return out.select("doc_id", *STATS, "base_failed", "words_left", (~F.col("base_failed") & (F.col("words_left") >= left * F.col("n_words")) & (F.col("words_left") >= LEAST_WORDS)).alias("kept"))
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE) -> DataFrame:
     """docs with the too frequent lines of each host removed from the text; other columns stay.
 
-    A null text stays null; a text of such lines alone becomes empty.
+    A null text stays null; a text of such lines alone becomes empty. Lines of
+    other texts stay as they are, those without words too.
     """
-    stats = kept(statistics(docs, id_col, host_col, text_col))
-    flagged = kept(frequent_lines(stats, documents, share))
-    lines = stats.select("host", "digest", F.explode("lines.hash").alias("hash")).distinct()
-    gone = kept(small_join(lines, flagged, ["host", "hash"]).groupBy("host", "digest").agg(F.collect_set("hash").alias("evidra_gone")))
-    host, digest = F.coalesce(F.col(host_col).cast("string"), F.lit(NO_HOST)), F.xxhash64(text_of(text_col))
-    rows = docs.withColumn("evidra_host", host).withColumn("evidra_digest", digest)
-    rows = small_join(rows, gone.withColumnsRenamed({"host": "evidra_host", "digest": "evidra_digest"}), ["evidra_host", "evidra_digest"], "left")
+    flagged = kept(frequent_lines(kept(statistics(docs, id_col, host_col, text_col)), documents, share))
+    gone = kept(flagged.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("evidra_gone")))  # a host's limit bounds its lines: each takes more than LINE_LEAST documents
+    rows = docs.withColumn("evidra_host", F.coalesce(F.col(host_col).cast("string"), F.lit(NO_HOST)))
+    rows = small_join(rows, gone.withColumnRenamed("host", "evidra_host"), ["evidra_host"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t if not gone else "\n".join(x for x in t.split("\n") if _line_hash(x) not in set(gone)) for t, gone in zip(batch.column(text_col).to_pylist(), batch.column("evidra_gone").to_pylist())]
-            at = batch.schema.get_field_index(text_col)
-            whole = pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, batch.schema.field(at).type), *batch.columns[at + 1 :]], schema=batch.schema)
-            yield whole.select(docs_columns)
+        for batch in slices(batches, text_col, 8 << 20):
+            texts, gone = batch.column(text_col), batch.column("evidra_gone")
+            lines, at, words, hashes = _lines(pc.fill_null(texts, ""))
+            lines, out = lines.to_pylist(), texts.to_pylist()
+            for i in np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)):
+                own = slice(at[i], at[i + 1])
+                away = (words[own] > 0) & np.isin(hashes[own], gone[int(i)].values.to_numpy())
+                if out[i] is not None and away.any():
+                    out[i] = "\n".join(x for x, a in zip(lines[own], away) if not a)
+            k = batch.schema.get_field_index(text_col)
+            yield batch.set_column(k, batch.schema.field(k), pa.array(out, texts.type)).select(docs_columns)
 
     docs_columns = docs.columns
     return rows.select(*docs_columns, "evidra_gone").mapInArrow(run, docs.schema)
-
-
-def _line_hash(line: str) -> int | None:
-    _, words = words_of(pa.array([line]))
-    h = xxhash.xxh64_intdigest(" ".join(pc.utf8_lower(words).to_pylist())) if len(words) else None
-    return h - (1 << 64) if h is not None and h >> 63 else h

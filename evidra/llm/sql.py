@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import CONTAINED, WIDTH
-from .quality_rules import LEFT_SHARE, LINE_DOCUMENTS, LINE_SHARE
+from .quality_rules import LEAST_WORDS, LEFT_SHARE, LINE_DOCUMENTS, LINE_LEAST, LINE_SHARE
 from .url_filter import BASE, HELD_OUT, ORDER, RULES
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
@@ -24,12 +24,13 @@ with docs as (select row_number() over () r, doc_id, coalesce(source, chr(1)) ho
 base as (select *, regexp_extract_all(t, '{_WORD}') w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) lines from docs),
 windows as (select r, i, count(*) over (partition by r, s) n from (select r, i, w[i]||' '||w[i+1]||' '||w[i+2] s from (select r, w, unnest(range(1, len(w) - 1)) i from base where len(w) > 2))),
 repeats as (select r, count(distinct i + d) n from windows, (select unnest([0, 1, 2]) d) where n > 1 group by r),
-line as (select r, host, t, lower(array_to_string(regexp_extract_all(x, '{_WORD}'), ' ')) x, len(regexp_extract_all(x, '{_WORD}')) n from (select r, host, t, unnest(lines) x from base)),
-often as (select host, x from line group by host, x having count(distinct t) > {LINE_DOCUMENTS} and count(distinct t) > {LINE_SHARE}::double * (select count(distinct t) from docs d where d.host = line.host)),
+line as (select r, host, lower(array_to_string(regexp_extract_all(x, '{_WORD}'), ' ')) x, len(regexp_extract_all(x, '{_WORD}')) n from (select r, host, unnest(lines) x from base)),
+hosts as (select host, count(*) d from docs group by host),
+often as (select host, x from line join hosts using (host) group by host, x, d having count(distinct r) > least({LINE_DOCUMENTS}, greatest({LINE_LEAST}, {LINE_SHARE}::double * d))),
 removed as (select r, sum(n) n from line join often using (host, x) group by r),
 counted as (select doc_id, len(w) n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) n_symbols, len(lines) - len(list_distinct(lines)) n_dup_lines, coalesce(p.n, 0) n_repeat_words, len(w) - coalesce(q.n, 0)::bigint words_left
   from base left join repeats p using (r) left join removed q using (r))
-select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and words_left >= {LEFT_SHARE}::double * n_words kept from counted"""
+select *, n_words < {LEAST_WORDS} or 100 * n_repeat_words > 50 * n_words base_failed, not (n_words < {LEAST_WORDS} or 100 * n_repeat_words > 50 * n_words) and words_left >= {LEFT_SHARE}::double * n_words and words_left >= {LEAST_WORDS} kept from counted"""
 
 
 def _urls() -> str:
