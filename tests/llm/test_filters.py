@@ -1,9 +1,12 @@
 import hashlib
+import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from fixtures import docs, rows, words
@@ -120,31 +123,37 @@ def test_decontamination(spark):
 def judged(some, documents, share, left):
     lines = lambda t: [x for x in (t or "").split("\n") if words(x)]
     norm = lambda x: " ".join(words(x)).lower()
-    hosts, seen = defaultdict(set), defaultdict(set)
+    hosts, seen = Counter(r[3] for r in some), Counter()
     for r in some:
-        hosts[r[3]].add(r[1] or "")
-        for x in lines(r[1]):
-            seen[r[3], norm(x)].add(r[1])
+        seen.update({(r[3], norm(x)) for x in lines(r[1])})
+    limit = {h: min(documents, max(quality_rules.LINE_LEAST, share * n)) for h, n in hosts.items()}
     out = []
     for r in some:
         w, own = words(r[1]), lines(r[1])
         triples = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
         repeated = {i + d for i in range(len(w) - 2) if triples[tuple(w[i : i + 3])] > 1 for d in range(3)}
-        gone = sum(len(words(x)) for x in own if len(seen[r[3], norm(x)]) > documents and len(seen[r[3], norm(x)]) > share * len(hosts[r[3]]))
+        gone = sum(len(words(x)) for x in own if seen[r[3], norm(x)] > limit[r[3]])
         failed = len(w) < 50 or 100 * len(repeated) > 50 * len(w)
-        out.append((r[0], len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", r[1] or "")), len(own) - len(set(own)), len(repeated), failed, len(w) - gone, not failed and len(w) - gone >= left * len(w)))
+        out.append((r[0], len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", r[1] or "")), len(own) - len(set(own)), len(repeated), failed, len(w) - gone, not failed and len(w) - gone >= max(50, left * len(w))))
     return Counter(out)
 
 
 def test_quality_rules(spark):
     boiler = "Subscribe  to OUR list\nall rights reserved by them"
     texts = [t for t, *_ in [(r[1],) for r in rows()]][:-3] + [f"{boiler.lower() if i % 2 else boiler}\n" + " ".join(f"v{i}x{k}" for k in range(60 if i % 3 else 2)) for i in range(25)] + ["\n".join([boiler] * 10)]
-    got = quality_rules.judge(docs(spark, texts), documents=2, share=0.05)
     columns = ["doc_id", *("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), "base_failed", "words_left", "kept"]
-    assert Counter(tuple(r[c] for c in columns) for r in got.collect()) == judged(rows(texts), 2, 0.05, quality_rules.LEFT_SHARE)
+    for documents, share in ((2, 0.05), (50, 0.2), (8, 0.3)):
+        got = quality_rules.judge(docs(spark, texts), documents=documents, share=share).collect()
+        assert Counter(tuple(r[c] for c in columns) for r in got) == judged(rows(texts), documents, share, quality_rules.LEFT_SHARE)
+        assert any(r.words_left < r.n_words for r in got)
     assert quality_rules.judge(docs(spark, [])).count() == 0
     cleaned = {r.doc_id: r.text for r in quality_rules.cleaned(docs(spark, texts), documents=2, share=0.05).collect()}
     assert cleaned[0] is None and "rights" not in (cleaned[len(texts) - 3] or "")
+    norm = lambda x: " ".join(words(x)).lower()
+    seen = Counter(k for r in rows(texts) for k in {(r[3], norm(x)) for x in (r[1] or "").split("\n") if words(x)})
+    host = {r[0]: r[3] for r in rows(texts)}
+    for i, t in enumerate(texts):
+        assert cleaned[i] == (t if t is None else "\n".join(x for x in t.split("\n") if seen[host[i], norm(x)] <= 2))
 
 
 # Personal data
@@ -188,6 +197,25 @@ def test_checksums_and_context():
     assert pii.masked("x a@b.co y", pii.spans("x a@b.co y")) == "x <EMAIL> y"
 
 
+def test_many_spans_in_a_long_text():
+    """The spans of a long text are found in time in proportion, and are those of its parts."""
+    one = "call (202) 555-0148 or a@b.co, 1.2.3.4; "
+    took = []
+    for n in (500, 8000):
+        began = time.perf_counter()
+        found = pii.spans(one * n)
+        took.append(time.perf_counter() - began)
+        assert [(k, a % len(one), b - a) for k, a, b, _ in found if k == "phone_local"] == [("phone_local", 5, 14)] * n
+    assert took[1] < 16 * 6 * max(took[0], 0.01)
+    taken = pii.Taken([(5, 9), (7, 12), (20, 22)])
+    assert [taken.take(*x) for x in ((11, 13), (12, 15), (0, 5), (15, 20), (21, 30), (14, 16), (22, 23))] == [False, True, True, True, False, False, True]
+
+
+def test_redaction_beside_a_column_named_text(spark):
+    table = spark.createDataFrame([(1, "keep a@b.co", "mail a@b.co"), (2, None, None)], "doc_id long, text string, body string")
+    assert [tuple(r) for r in pii.redact(table, "body").orderBy("doc_id").collect()] == [(1, "keep a@b.co", "mail <EMAIL>"), (2, None, None)]
+
+
 def test_redaction_keeps_the_rest(spark):
     table = docs(spark, [None, "", "to a@b.co", "plain"])
     got = pii.redact(table)
@@ -251,9 +279,87 @@ def test_urls(spark):
     assert [r.verdict for r in bare] == ["allow"]
 
 
+def test_first_of_equally_long_rules_wins(spark):
+    pages = spark.createDataFrame([(1, "http://x.org/abcd"), (2, "http://x.org/ab")], "page_id long, url string")
+    for rules in (((("allow", "x.org", "/ab"), ("block", "org", "/abcd"))), (("block", "org", "/abcd"), ("allow", "x.org", "/ab"))):
+        got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, rules=rules).collect()}
+        assert got == {1: (rules[0][1] + rules[0][2], rules[0][0]), 2: ("x.org/ab", "allow")}
+
+
 # Quality classifier
 
 
+def posteriors(evidence):
+    """Shares and scores of (host, path, log_odds) rows by sums in plain Python."""
+    chance = lambda x: 1 / (1 + math.exp(-x))
+    paths, hosts = defaultdict(list), defaultdict(list)
+    for h, p, x in evidence:
+        paths[h, p].append(chance(x))
+        hosts[h].append(chance(x))
+
+    def strength(groups):
+        many = [(len(c), sum(c) / len(c), m) for c, m in groups if len(c) > 1]
+        seen, within, whole = (sum(x) for x in zip(*((n * (s - m) ** 2, m * (1 - m), n * m * (1 - m)) for n, s, m in many))) if many else (0, 0, 0)
+        return min(max(whole / (seen - within) - 1, quality.STRENGTH[0]), quality.STRENGTH[1]) if whole and seen > within else quality.STRENGTH[1]
+
+    everything = [c for x in hosts.values() for c in x]
+    mean = (sum(everything) + 1) / (len(everything) + 2)
+    k = strength([(c, mean) for c in hosts.values()])
+    host_share = {h: (k * mean + sum(c)) / (k + len(c)) for h, c in hosts.items()}
+    j = strength([(c, host_share[h]) for (h, _), c in paths.items()])
+    out = []
+    for h, p, x in evidence:
+        c = paths[h, p]
+        share = (j * host_share[h] + sum(c) - chance(x)) / (j + len(c) - 1)
+        out.append((share, chance(x + math.log(share / (1 - share)) - math.log(mean / (1 - mean)))))
+    return out
+
+
+def test_posteriors_by_force(spark):
+    """Every row of op3's query: its site's posterior and its score from the evidence, worked out anew."""
+    from evidra.llm import queries
+
+    got = queries.op3_quality_bayes(spark, "/root/testdata/sf0.01").collect()
+    docs_ = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    assert len(got) == len(docs_) and all((r.host, r.path) == (docs_[r.doc_id].source, docs_[r.doc_id].lang) for r in got)
+    for r, (share, score) in zip(got, posteriors([(r.host, r.path, r.log_odds) for r in got])):
+        assert abs(r.path_share - share) < 2e-5 and abs(r.score - score) < 2e-5 and (r.kept == (score >= 0.5) or abs(score - 0.5) < 2e-5)
+    assert 0 < sum(r.kept for r in got) < len(got)
+
+
+def test_evidence_by_force(spark):
+    """The two models' log odds of each text, from its words and shapes one text at a time."""
+    table = docs(spark)
+    labels = spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = quality.train(table, labels, "doc_id", "text")
+    got = Counter((r.doc_id, r.log_odds) for r in quality.evidence(table, model, "doc_id", "source", "lang", "text").collect())
+    want = Counter()
+    for r in rows():
+        offsets, number = quality.features(pa.array([r[1]], pa.string()))
+        against = sum(math.log1p(math.exp(-min(30, max(-30, m.bias + sum(m.weights[n] for n in number))))) for m in model.parts)
+        want[r[0], round(-math.log(math.expm1(against)), 6)] += 1
+    ordered = lambda x: sorted(((i is None, i or 0), odds) for i, odds in x.elements())
+    for (i, x), (j, y) in zip(ordered(got), ordered(want), strict=True):
+        assert i == j and abs(x - y) < 1e-5
+
+
+def test_sample_is_of_labelled_documents_that_are_there(spark):
+    """Labels without a document take no place, and each text of an identifier is a row of its own."""
+    table = spark.createDataFrame([(1, "good words"), (1, "other words"), (2, "bad words"), (2, "bad words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, 1) for i in range(100, 400)] + [(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    original, quality.fit = quality.fit, lambda rows, good, **_: seen.append(sorted(good)) or original(rows, good)
+    try:
+        for n in (3, 20):
+            quality.train(table, labels, "doc_id", "text", sample_rows=n)
+    finally:
+        quality.fit = original
+    assert seen == [[0, 1, 1], [1, 1, 1]] * 2
+
+
+# Hierarchies
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
