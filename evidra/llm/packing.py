@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept, text_of
-from .tokens import default_vocabulary, encoder_of, slices, with_end
+from .tokens import ENCODED_BYTES, default_vocabulary, encoder_of, slices, with_end
 
 CAPACITY = 2048
 #: Windows in a block, about: bounds a task's memory and the differencing's cost.
@@ -108,7 +108,7 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
-        for batch in slices(batches, limit=12 << 20):
+        for batch in slices(batches, limit=ENCODED_BYTES):
             encoder = encoder_of(vocabulary)
             ids, offsets = with_end(*encoder.ids(batch.column("text")), end_id)
             ids = ids.astype("<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")

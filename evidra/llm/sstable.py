@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept, shared_dir, text_of
-from .tokens import default_vocabulary, encoder_of, slices, with_end
+from .tokens import ENCODED_BYTES, default_vocabulary, encoder_of, slices, with_end
 
 MAGIC = b"EVSST1\0\0"
 HEADER, ENTRY, BLOCK_REF, FOOTER = "<8sB7x", "<BBI", "<QQQ", "<6QII8s"
@@ -243,7 +243,7 @@ def write_shards(docs: DataFrame, out: str | None = None, id_col: str = "doc_id"
     ranges = _ranges(rows, shard_bytes)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=12 << 20):
+        for batch in slices(batches, limit=ENCODED_BYTES):
             encoder = encoder_of(vocabulary)
             ids, offsets = with_end(*encoder.ids(batch.column("text")), end_id)
             data = ids.astype("<u2" if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")

@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Text bytes encoded at a time: bounds a task's memory whatever a batch holds.
-BATCH_BYTES = 24 << 20
-#: Words whose ids a worker remembers (about 50 bytes each); beyond it the memory starts afresh.
-REMEMBERED = 1_000_000
+#: Text bytes of a batch, and of one that is encoded: bounds a task's memory whatever a batch holds.
+BATCH_BYTES, ENCODED_BYTES = 24 << 20, 6 << 20
+#: Words whose ids a worker remembers (about 50 bytes each); beyond it only those of the last batch stay.
+REMEMBERED = 400_000
 #: Lower-case letters of the Latin alphabet and of western Europe, each one code point.
 LETTERS = "".join(map(chr, [*range(ord("a"), ord("z") + 1), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
 #: Stands between words encoded in one call. Its byte occurs in no other character, so its id splits the ids again.
@@ -72,15 +72,12 @@ class WordEncoder:
         self.mark = self._plain(MARK)
         # Letters that normalising leaves as they are; a word of such letters alone is one part for the model.
         self.letters = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in LETTERS}
-        self._clear()
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _clear(self) -> None:
-        self.known = pa.array([], pa.large_string())
-        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
     def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and lengths of words, many to a call."""
         parts, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
@@ -108,19 +105,28 @@ class WordEncoder:
             self.flat, self.lengths = np.concatenate([self.flat, ids]), np.concatenate([self.lengths, lengths])
             self.known = pa.concat_arrays([self.known, own])
 
+    def _keep(self, at: np.ndarray) -> np.ndarray:
+        """Forget all words but those at these places; their new places."""
+        lengths = self.lengths[at]
+        starts = np.cumsum(lengths) - lengths
+        self.flat = self.flat[np.repeat(self.starts[at] - starts, lengths) + np.arange(lengths.sum())]
+        self.known, self.starts, self.lengths = self.known.take(pa.array(at)), starts, lengths
+        return np.arange(len(at))
+
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         # A token never spans a letter and the punctuation after it; parting them leaves fewer distinct words.
         offsets, words = words_of(pc.replace_substring_regex(texts, r"([A-Za-z])([.,;:!?#*$%&])", r"\1 \2"))
         # The vocabulary is lower-case; folding A-Z first only merges words. Words that may hold a special token stay as they are.
         words = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
         coded = words.dictionary_encode()
-        if len(self.known) > REMEMBERED:
-            self._clear()
         at = pc.index_in(coded.dictionary, value_set=self.known)
         if at.null_count:
             self._learn(coded.dictionary.filter(pc.is_null(at)))
             at = pc.index_in(coded.dictionary, value_set=self.known)
-        at = at.to_numpy(zero_copy_only=False).astype(np.int64)[coded.indices.to_numpy()]
+        at = at.to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(self.known) > REMEMBERED:
+            at = self._keep(at)
+        at = at[coded.indices.to_numpy()]
         lengths = self.lengths[at]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.flat[np.repeat(self.starts[at] - ends[:-1], lengths) + np.arange(ends[-1])]
