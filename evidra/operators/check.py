@@ -79,14 +79,82 @@ def undeclared_kinds(edges: DataFrame, declared: tuple[str, ...]) -> DataFrame:
     return edges.select("kind").distinct().where(~F.col("kind").isin(*declared)).select(F.lit("W013").alias("code"), F.col("kind").alias("uid"), F.lit("").alias("detail"))
 
 
-def all_rows(units: DataFrame, edges: DataFrame, attestations: DataFrame, texts: DataFrame) -> DataFrame:
-    return union(
-        rows(rule_m(units, edges), "E030", F.col("ground")),
-        rows(rule_t(units, attestations), "E033", F.col("ceiling")),
-        rows(measured_not_imported(units, attestations), "W035"),
-        rows(graph.dangling(edges, units), "E060", F.col("missing")),
-        shape(units, edges), granularity(texts), gist_openers(texts),
-    )
+def detail_without_body(texts: DataFrame) -> DataFrame:
+    return rows(texts.where("detail is not null and body is null"), "E023")
+
+
+def mentions(texts: DataFrame, marker: str = "b3:") -> DataFrame:
+    """(uid, token): what a body may refer to units by: tokens with a slash (labels) or that begin with the marker (names)."""
+    tokens = F.filter(F.split("body", r"[^A-Za-z0-9:/\-_.]"), lambda t: t.contains("/") | t.startswith(marker))
+    trimmed = F.transform(tokens, lambda t: F.regexp_replace(t, r"^[.\-_]+|[.\-_]+$", ""))
+    return texts.where("body is not null").select("uid", F.explode(F.array_distinct(F.filter(trimmed, lambda t: F.length(t) > 0))).alias("token"))
+
+
+def resolved(prefixes: DataFrame, units: DataFrame) -> DataFrame:
+    """(prefix, n, uid): how many units begin with each prefix, and which if it is one.
+
+    Names are cut to each length that the prefixes have, few different ones, and
+    joined by equality.
+    """
+    wanted = prefixes.select("prefix").distinct()
+    lengths = sorted(r[0] for r in wanted.where("prefix <> ''").select(F.length("prefix").alias("n")).distinct().collect())
+    cut = units.select("uid").distinct().select("uid", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")).alias("n")).where(F.length("uid") >= F.col("n"))
+    found = wanted.join(cut.select("uid", F.expr("substring(uid, 1, n)").alias("prefix")), "prefix", "left").groupBy("prefix").agg(F.count("uid").alias("n"), F.min("uid").alias("uid"))
+    return found.select("prefix", "n", F.when(F.col("n") == 1, F.col("uid")).alias("uid"))
+
+
+def body_closure(texts: DataFrame, edges: DataFrame, units: DataFrame, labels: DataFrame, marker: str = "b3:") -> DataFrame:
+    """E020: a body mentions a unit that is neither a dep nor a ground; E072: a name in it fits several units."""
+    said = mentions(texts, marker)
+    names = resolved(said.where(F.col("token").startswith(marker)).select(F.col("token").alias("prefix")), units)
+    by_name = said.join(names.withColumnRenamed("uid", "meant"), F.col("token") == F.col("prefix"))
+    by_label = said.where(~F.col("token").startswith(marker)).join(labels.select(F.col("label").alias("token"), F.col("uid").alias("meant")), "token")
+    meant = by_name.where("n = 1").select("uid", "meant").union(by_label.select("uid", "meant")).where("uid <> meant").distinct()
+    declared = edges.where("kind in ('deps', 'grounds')").select(F.col("src").alias("uid"), F.col("dst").alias("meant")).distinct()
+    return union(rows(meant.join(declared, ["uid", "meant"], "left_anti"), "E020", F.col("meant")), rows(by_name.where("n > 1"), "E072", F.col("token")))
+
+
+def unknown_kinds(units: DataFrame, known: tuple[str, ...], implemented: tuple[str, ...] | None = None) -> DataFrame:
+    """W010: units of a kind that nothing here knows, or that a consumer doesn't implement (both may hold)."""
+    parts = [rows(units.where(~F.col("kind").isin(*known)), "W010", F.lit("unknown"))]
+    if implemented is not None:
+        parts.append(rows(units.where(~F.col("kind").isin(*implemented)), "W010", F.lit("not implemented")))
+    return union(*parts)
+
+
+def redefinitions(declarations: DataFrame, kinds: tuple[str, ...], relations: tuple[str, ...]) -> DataFrame:
+    """E012: a schema(id, types, relations) that declares a kind or relation which is the kernel's own."""
+    own = lambda c, names: F.exists(c, lambda x: x.isin(*names))
+    return rows(declarations.where(own("types", kinds) | own("relations", relations)).withColumnRenamed("id", "uid"), "E012")
+
+
+def unknown_records(records: DataFrame, known: tuple[int, ...]) -> DataFrame:
+    """W014: one row for each record(code, payload) of a type that is not known; it is kept as it is."""
+    return records.where(~F.col("code").isin(*known)).select(F.lit("W014").alias("code"), F.col("code").cast("string").alias("uid"), F.octet_length("payload").cast("string").alias("detail"))
+
+
+def granularity_distribution(views: DataFrame) -> DataFrame:
+    """(profile, n): how many views state each profile."""
+    return views.groupBy("profile").agg(F.count("*").alias("n"))
+
+
+def local(units: DataFrame, edges: DataFrame, texts: DataFrame, attestations: DataFrame, labels: DataFrame, cap: int, marker: str = "b3:") -> DataFrame:
+    """The rules that can be judged within a batch: shape, closure, granularity, trust and the batch's own ceiling."""
+    over = rows(units.where(F.col("status") > cap), "E033", F.lit(cap))
+    return union(shape(units, edges), body_closure(texts, edges, units, labels, marker), gist_openers(texts), granularity(texts), rows(rule_t(units, attestations), "E033", F.col("ceiling")), rows(measured_not_imported(units, attestations), "W035"), over)
+
+
+def fails(found: DataFrame, threshold: str) -> DataFrame:
+    """One row: fails, whether anything as severe as the threshold (error, or warn and above) was found, and how many of each."""
+    error = F.col("code").startswith("E")
+    n = found.agg(F.count_if(error).alias("errors"), F.count_if(~error).alias("warnings"))
+    return n.select(((F.col("errors") > 0) | (F.lit(threshold == "warn") & (F.col("warnings") > 0))).alias("fails"), "errors", "warnings")
+
+
+def markers(profiles: DataFrame) -> DataFrame:
+    """E210: profiles(profile, status, marker) that lack a status, or mark two alike or one with nothing."""
+    seen = profiles.groupBy("profile").agg(F.countDistinct("status").alias("statuses"), F.countDistinct(F.when(F.trim("marker") != "", F.trim("marker"))).alias("different"))
+    return rows(seen.where(f"statuses < {len(S.STATUS)} or different < {len(S.STATUS)}").withColumnRenamed("profile", "uid"), "E210")
 
 
 def summary(found: DataFrame) -> DataFrame:

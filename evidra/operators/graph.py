@@ -7,9 +7,11 @@ driver only learns whether a round found anything.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import heapq
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..sources.store import written
 
@@ -35,36 +37,100 @@ def closure(edges: DataFrame, roots: DataFrame, kinds: tuple[str, ...] | None =
         seen = written(seen.union(frontier)) if level % 4 == 0 else seen.union(frontier)
 
 
-def trace(edges: DataFrame, roots: DataFrame, kinds: tuple[str, ...] = SUPPORT, depth: int | None = None) -> DataFrame:
-    """(uid, level, via): each reached node once, at its least level, via its least discoverer there."""
-    pairs = written(of_kinds(edges, kinds))
-    seen = frontier = written(roots.select("uid").distinct().select("uid", F.lit(0).alias("level"), F.lit(None).cast("string").alias("via")))
+#: Ways of a trace, in the order in which they count for one discoverer (fixed values).
+TRACES = {"parents": ("parent", "supersedes"), "grounds": ("grounds", "deps"), "both": ("parent", "supersedes", "grounds", "deps")}
+
+
+def trace(edges: DataFrame, roots: DataFrame, attestations: DataFrame | None = None, kind: str = "grounds", depth: int | None = None) -> DataFrame:
+    """(uid, level, via, agents, hop): where units come from, each once at its least level.
+
+    Follows attested parents and superseded units, or grounds and deps, or both. via
+    is the way from the least discoverer at the level before; agents (sorted, one
+    text) and hop, the earliest, are of the unit's attestations, null without any.
+    """
+    ways = TRACES[kind]
+    pairs = edges.where(F.col("kind").isin(*ways)).select("src", "dst", "kind")
+    if "parent" in ways and attestations is not None:
+        pairs = pairs.union(attestations.where("parent is not null").select(F.col("uid").alias("src"), F.col("parent").alias("dst"), F.lit("parent").alias("kind")))
+    rank = F.coalesce(*[F.when(F.col("kind") == w, F.lit(i)) for i, w in enumerate(ways)])
+    pairs = written(pairs.distinct().withColumn("rank", rank))
+    seen = frontier = written(roots.select("uid").distinct().select("uid", F.lit(0).alias("level"), F.lit("root").alias("via")))
     level = 0
     while depth is None or level < depth:
         level += 1
-        new = frontier.join(pairs, F.col("uid") == F.col("src")).groupBy(F.col("dst").alias("next")).agg(F.min("src").alias("via"))
-        new = new.join(seen.select(F.col("uid").alias("next")), "next", "left_anti")
-        frontier = written(new.select(F.col("next").alias("uid"), F.lit(level).alias("level"), "via"))
+        new = frontier.select("uid").join(pairs, F.col("uid") == F.col("src")).groupBy("dst").agg(F.min(F.struct("src", "rank", "kind")).alias("by"))
+        new = new.join(seen.select(F.col("uid").alias("dst")), "dst", "left_anti")
+        frontier = written(new.select(F.col("dst").alias("uid"), F.lit(level).alias("level"), F.col("by.kind").alias("via")))
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
-    return seen
+    if attestations is None:
+        return seen.select("uid", "level", "via", F.lit(None).cast("string").alias("agents"), F.lit(None).cast("int").alias("hop"))
+    who = attestations.groupBy("uid").agg(F.array_join(F.array_sort(F.collect_set("agent")), ",").alias("agents"), F.min("hop").alias("hop"))
+    return seen.join(who, "uid", "left").select("uid", "level", "via", "agents", "hop")
+
+
+def neighbours(edges: DataFrame, nodes: DataFrame, kinds: tuple[str, ...] | None = None, incoming: bool = False) -> DataFrame:
+    """(uid, neighbour): distinct ends of the nodes' edges."""
+    a, b = ("dst", "src") if incoming else ("src", "dst")
+    return of_kinds(edges, kinds).select(F.col(a).alias("uid"), F.col(b).alias("neighbour")).join(nodes.select("uid"), "uid", "left_semi")
 
 
 def levels(edges: DataFrame, kinds: tuple[str, ...] = SUPPORT) -> DataFrame:
-    """(uid, level): length of the longest path down to a node that rests on nothing. Nodes on or above a cycle are left out."""
+    """(uid, level): length of the longest path down to a node that rests on nothing. Nodes on or above a cycle are left out.
+
+    Each round meets only the edges into the nodes of the last one: it adds, for
+    each of their dependents, how many of its edges are settled now. A node is ready
+    when all are.
+    """
     pairs = written(of_kinds(edges, kinds))
-    nodes = pairs.select(F.col("src").alias("uid")).union(pairs.select("dst")).distinct()
-    done = written(nodes.join(pairs.select(F.col("src").alias("uid")), "uid", "left_anti").withColumn("level", F.lit(0)))
+    degree = pairs.groupBy(F.col("src").alias("uid")).agg(F.count("*").alias("degree"))
+    nodes = pairs.select(F.col("src").alias("uid")).union(pairs.select("dst")).distinct().join(degree, "uid", "left")
+    done = frontier = written(nodes.where("degree is null").select("uid", F.lit(0).alias("level")))
+    open_ = written(nodes.where("degree is not null"))
     level = 0
     while True:
         level += 1
-        open_ = pairs.join(done.select(F.col("uid").alias("src")), "src", "left_anti")
-        blocked = open_.join(done.select(F.col("uid").alias("dst")), "dst", "left_anti").select("src").distinct()
-        ready = written(open_.select("src").distinct().join(blocked, "src", "left_anti").select(F.col("src").alias("uid"), F.lit(level).alias("level")))
-        if ready.isEmpty():
+        settled = frontier.join(pairs, F.col("uid") == F.col("dst")).groupBy(F.col("src").alias("uid")).agg(F.count("*").alias("settled"))
+        left = written(open_.join(settled, "uid", "left").select("uid", (F.col("degree") - F.coalesce("settled", F.lit(0))).alias("degree")))
+        frontier, open_ = left.where("degree = 0").select("uid", F.lit(level).alias("level")), left.where("degree > 0")
+        if frontier.isEmpty():
             return done
-        done = written(done.union(ready))
+        done = done.union(frontier)
+
+
+def ordered(edges: DataFrame, members: DataFrame, kinds: tuple[str, ...] = ORDERING) -> DataFrame:
+    """(scope, uid, index, cyclic): each scope's own units, what they rest on first, always the least unit that is ready.
+
+    An edge points from the later unit to the earlier one. Units that cycles hold
+    back come last, by name. A grouped function orders each scope; its edges are
+    those with both ends in it.
+    """
+    of = lambda end: members.select("scope", F.col("uid").alias(end))
+    within = of_kinds(edges, kinds).where("src <> dst").join(of("src"), "src").join(of("dst"), ["scope", "dst"])
+    lists = within.groupBy("scope", F.col("src").alias("uid")).agg(F.collect_list("dst").alias("rests_on"))
+    rows = members.select("scope", "uid").distinct().join(lists, ["scope", "uid"], "left").select("scope", "uid", F.coalesce("rests_on", F.array().cast("array<string>")).alias("rests_on"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        waits, above = {}, {}
+        for u, below in zip(pdf.uid, pdf.rests_on):
+            waits[u] = len(below)
+            for d in below:
+                above.setdefault(d, []).append(u)
+        heap = [u for u, n in waits.items() if not n]
+        heapq.heapify(heap)
+        out = []
+        while heap:
+            u = heapq.heappop(heap)
+            out.append(u)
+            for x in above.get(u, ()):
+                waits[x] -= 1
+                if not waits[x]:
+                    heapq.heappush(heap, x)
+        rest = sorted(u for u, n in waits.items() if n > 0)
+        return pd.DataFrame({"scope": pdf.scope.iloc[0], "uid": out + rest, "index": range(len(out) + len(rest)), "cyclic": [False] * len(out) + [True] * len(rest)})
+
+    return rows.groupBy("scope").applyInPandas(solve, f"scope {dict(members.dtypes)['scope']}, uid string, index int, cyclic boolean")
 
 
 def cycles(edges: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
@@ -90,6 +156,37 @@ def cycles(edges: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return into.select(F.col("src").alias("uid")).distinct().join(on, "uid", "left").select("uid", F.coalesce("on_path", F.lit(False)).alias("on_path"))
 
 
+def cycle_groups(edges: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(uid, head, n): the groups of nodes that reach each other, and each node that only leads into a cycle alone.
+
+    head is the least node of the group. The least name that reaches a node and the
+    least that it reaches are carried along the edges until nothing changes; nodes
+    whose two names agree form the group of that name, and the rest goes on.
+    """
+    left = written(cycles(edges, kinds).select("uid"))
+    pairs = written(of_kinds(edges, kinds).join(left.select(F.col("uid").alias("src")), "src", "left_semi").join(left.select(F.col("uid").alias("dst")), "dst", "left_semi"))
+    groups = None
+    while not left.isEmpty():
+        names = []
+        for a, b in (("src", "dst"), ("dst", "src")):
+            least = left.select("uid", F.col("uid").alias("name"))
+            while True:
+                came = pairs.join(least, F.col("uid") == F.col(a)).groupBy(F.col(b).alias("uid")).agg(F.min("name").alias("came"))
+                new = written(least.join(came, "uid", "left").select("uid", F.least("name", F.coalesce("came", "name")).alias("name"), F.col("name").alias("was")))
+                least = new.select("uid", "name")
+                if new.where("name < was").isEmpty():
+                    break
+            names.append(least)
+        both = names[0].join(names[1].withColumnRenamed("name", "other"), "uid")
+        found = written(both.where("name = other").select("uid", F.col("name").alias("head")))
+        groups = found if groups is None else groups.union(found)
+        left = written(left.join(found, "uid", "left_anti"))
+        pairs = written(pairs.join(left.select(F.col("uid").alias("src")), "src", "left_semi").join(left.select(F.col("uid").alias("dst")), "dst", "left_semi"))
+    if groups is None:
+        return left.select("uid", F.col("uid").alias("head"), F.lit(1).cast("long").alias("n"))
+    return groups.join(groups.groupBy("head").agg(F.count("*").alias("n")), "head").select("uid", "head", "n")
+
+
 def dangling(edges: DataFrame, units: DataFrame) -> DataFrame:
     """(uid, missing): edges of present nodes to ends that no unit has."""
     return edges.join(units.select(F.col("uid").alias("dst")), "dst", "left_anti").select(F.col("src").alias("uid"), F.col("dst").alias("missing")).distinct()
@@ -116,8 +213,3 @@ def chains(next_of: DataFrame) -> DataFrame:
             break
     finals = ends.select(F.col("src").alias("dst"))
     return jump.join(finals, "dst", "left_semi").where("src <> dst").select(F.col("src").alias("uid"), F.col("dst").alias("last"), "depth")
-
-
-def per_key_min(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key in the given order."""
-    return df.withColumn("evidra_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("evidra_rank = 1").drop("evidra_rank")

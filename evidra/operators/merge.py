@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..sources.store import written
+from . import graph
 
 
 def merged(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
@@ -28,22 +29,81 @@ def relations(edges: DataFrame) -> DataFrame:
     return edges.groupBy("kind", "src", "dst").agg(F.count("*").alias("copies"))
 
 
+def relations_union(edges: DataFrame) -> DataFrame:
+    """(kind, src, dst, weight, note, agents, hop): each relation once, whatever order stores came in.
+
+    edges has weight, note, agent and hop beside the key. Of several weights and
+    notes the largest pair stays, attesting agents are united, hop is the earliest.
+    """
+    return edges.groupBy("kind", "src", "dst").agg(
+        F.max(F.struct("weight", "note")).alias("w"), F.array_join(F.array_sort(F.collect_set("agent")), ",").alias("agents"), F.min("hop").alias("hop")
+    ).select("kind", "src", "dst", "w.weight", "w.note", "agents", "hop")
+
+
+def added(store: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
+    """One row: added and duplicate, how many distinct keys of other are new to store and how many are there."""
+    keys = other.select(*key).distinct().join(store.select(*key).distinct().withColumn("there", F.lit(1)), key, "left")
+    return keys.agg(F.count(F.when(F.col("there").isNull(), 1)).alias("added"), F.count("there").alias("duplicate"))
+
+
+def attached(units: DataFrame, attestations: DataFrame) -> DataFrame:
+    """(uid, n, late): attestations of each present unit, however late they came; those of absent units wait in their table."""
+    return units.select("uid").join(attestations, "uid").groupBy("uid").agg(F.count("*").alias("n"), F.max("hop").alias("last_hop"))
+
+
+def views_union(views: DataFrame) -> DataFrame:
+    """(view, roots, threads, requires): all views of a name as one, each list sorted and distinct."""
+    lists = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("roots", "threads", "requires")]
+    return views.groupBy("view").agg(*lists)
+
+
 def digest(rows: DataFrame) -> DataFrame:
     """One row: n and an order-free digest, the sum of 56 bits of each row's SHA-256."""
     one = F.conv(F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]), 256), 1, 14), 16, 10).cast("decimal(20,0)")
     return rows.agg(F.count("*").alias("n"), F.sum(one).cast("string").alias("digest"))
 
 
+def contention_id(kind: str, over: Column, positions: Column) -> Column:
+    """The same for the same disagreement, whoever finds it: k/c and 23 digits of a hash of kind, unit and sorted positions."""
+    return F.concat(F.lit("k/c"), F.substring(F.sha2(F.concat_ws("|", F.lit(kind), over, positions), 256), 1, 23))
+
+
 def forks(edges: DataFrame) -> DataFrame:
-    """(over, positions, n): units with several successors of which no chain of direct edges orders all."""
-    up = edges.where("kind = 'supersedes'").select(F.col("src").alias("by"), F.col("dst").alias("over")).where("by <> over").distinct()
+    """(over, positions, n): units with several successors of which no chain of direct edges orders all.
+
+    Only direct edges whose both ends succeed one unit are joined, so a unit of many
+    successors costs its successors and those edges, not all pairs.
+    """
+    up = written(edges.where("kind = 'supersedes'").select(F.col("src").alias("by"), F.col("dst").alias("over")).where("by <> over").distinct())
     many = up.groupBy("over").agg(F.count("*").alias("n")).where("n > 1")
     heads = up.join(many, "over")
-    ordered = heads.select("over", F.col("by").alias("a")).join(heads.select("over", F.col("by").alias("b")), "over").join(up.select(F.col("by").alias("a"), F.col("over").alias("b")), ["a", "b"], "left_semi").groupBy("over").agg(F.count("*").alias("direct"))
+    # an edge a -> b where a and b both succeed one unit: b is itself a superseded head
+    direct = heads.select("over", F.col("by").alias("b")).join(up.select(F.col("by").alias("a"), F.col("over").alias("b")), "b")
+    ordered = direct.join(up.select("over", F.col("by").alias("a")), ["over", "a"], "left_semi").groupBy("over").agg(F.count("*").alias("direct"))
     open_ = many.join(ordered, "over", "left").where(F.coalesce("direct", F.lit(0)) < F.col("n") * (F.col("n") - 1) / 2)
     return up.join(open_.select("over", "n"), "over").groupBy("over", "n").agg(F.concat_ws(",", F.array_sort(F.collect_list("by"))).alias("positions"))
 
 
+def contentions(edges: DataFrame, steps: DataFrame, labels: DataFrame, policy: str = "contend", cap: int | None = None) -> DataFrame:
+    """(id, kind, over, positions, flood): forks, live rebuttals and label collisions, each once.
+
+    A policy but `contend` leaves forks out. flood marks all rows if there are more than cap.
+    """
+    named = lambda df, kind: df.select(contention_id(kind, F.col("over"), F.col("positions")).alias("id"), F.lit(kind).alias("kind"), "over", "positions")
+    found = named(live_rebuttals(edges, steps).select(F.col("rebutted").alias("over"), F.col("rebutter").alias("positions")), "rebuttal")
+    found = found.union(named(labels.groupBy("label").agg(F.min("uid").alias("over"), F.concat_ws(",", F.array_sort(F.collect_set("uid"))).alias("positions"), F.countDistinct("uid").alias("n")).where("n > 1"), "label"))
+    if policy == "contend":
+        found = found.union(named(forks(edges).select("over", "positions"), "fork"))
+    found = written(found.dropDuplicates(["id"]))
+    return found.withColumn("flood", F.lit(cap is not None and found.count() > cap))
+
+
+def latest(edges: DataFrame, clocks: DataFrame) -> DataFrame:
+    """(over, by): the successor of each unit with the latest clock(uid, wall, counter, agent), then the largest name."""
+    up = edges.where("kind = 'supersedes' and src <> dst").select(F.col("dst").alias("over"), F.col("src").alias("by")).distinct()
+    return up.join(clocks.select(F.col("uid").alias("by"), "wall", "counter", "agent"), "by", "left").groupBy("over").agg(F.max(F.struct("wall", "counter", "agent", "by")).alias("m")).select("over", F.col("m.by").alias("by"))
+
+
 def live_rebuttals(edges: DataFrame, steps: DataFrame) -> DataFrame:
     """(rebutter, rebutted): both are steps of one thread."""
     of = steps.select("thread", "unit").distinct()
@@ -81,6 +141,13 @@ def effective_status(units: DataFrame, edges: DataFrame, mode: str = "strict") -
     return base.join(fallen, "uid", "left").select("uid", "status", F.when(F.col("reason").isNull(), F.col("status")).otherwise(F.lit(S.UNFOUNDED)).alias("effective"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 
+def retraction_report(units: DataFrame, edges: DataFrame, mode: str = "strict") -> DataFrame:
+    """(code, uid): E050 for every orphan, W052 for retracted units that an advisory policy keeps."""
+    found = effective_status(units, edges, mode).where("reason <> ''")
+    code = F.when(F.col("reason") == "orphaned", "E050").when(F.lit(mode == "advisory"), "W052")
+    return found.select(code.alias("code"), "uid").where("code is not null")
+
+
 def retraction_plan(units: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
     """(uid, reason): what would fall, beyond what has fallen, if targets(uid) were retracted."""
     more = edges.unionByName(targets.select(F.col("uid").alias("src"), F.col("uid").alias("dst"), F.lit("retracts").alias("kind")))
@@ -88,6 +155,18 @@ def retraction_plan(units: DataFrame, edges: DataFrame, targets: DataFrame) -> D
     return effective_status(units, more).where("reason <> ''").join(was, "uid", "left_anti").select("uid", "reason")
 
 
+def authority(requests: DataFrame, attestations: DataFrame, rule: str = "origin", quorum: int = 1) -> DataFrame:
+    """(uid, n_agents, authorised, refusal) of retraction requests(uid, agent).
+
+    any: one agent is enough; quorum: so many distinct ones; origin: one who attested the unit.
+    """
+    least = quorum if rule == "quorum" else 1
+    who = attestations.select("uid", "agent", F.lit(1).alias("own")).distinct()
+    n = requests.select("uid", "agent").distinct().join(who, ["uid", "agent"], "left").groupBy("uid").agg(F.count("agent").alias("n_agents"), F.coalesce(F.max("own"), F.lit(0)).alias("own"))
+    refusal = F.when(F.col("n_agents") < least, "too few agents").when((F.col("own") == 0) & F.lit(rule == "origin"), "no agent attested it")
+    return n.select("uid", "n_agents", refusal.isNull().alias("authorised"), refusal.alias("refusal"))
+
+
 def diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """(uid, side): only_a, only_b or common."""
     return a.select("uid").distinct().withColumn("in_a", F.lit(1)).join(b.select("uid").distinct().withColumn("in_b", F.lit(1)), "uid", "full").select("uid", F.when(F.col("in_b").isNull(), "only_a").when(F.col("in_a").isNull(), "only_b").otherwise("common").alias("side"))
@@ -99,35 +178,122 @@ def hops(attestations: DataFrame) -> DataFrame:
 
 
 def hop_diff(attestations: DataFrame, edges: DataFrame, start: int, end: int) -> DataFrame:
-    """(uid, change) in (start, end]: added, retracted, superseded or survived.
+    """(uid, change, successor) in (start, end]: survived, superseded, retracted or added.
 
-    A unit without attestation is left out; an edge has the first hop of its
-    source. Retraction beats supersession.
+    A unit's hop is its first attestation's; units without any are left out. Only
+    units seen up to start can be superseded or retracted, and retraction counts
+    first; those first seen later are added. An edge has its own hop (column hop, if
+    there is one), else its source's unless it is a self-edge; one without any counts
+    as acting in every span. Of several successors the largest name is given.
     """
     first = attestations.groupBy("uid").agg(F.min("hop").alias("hop"))
-    touched = lambda kind: edges.where(F.col("kind") == kind).join(first.select(F.col("uid").alias("src"), F.col("hop").alias("at")), "src").where(F.col("at").between(start + 1, end)).groupBy(F.col("dst").alias("uid")).agg(F.lit(1).alias(kind))
-    out = first.where(F.col("hop") <= end).join(touched("retracts"), "uid", "left").join(touched("supersedes"), "uid", "left")
-    return out.select("uid", F.when(F.col("retracts").isNotNull(), "retracted").when(F.col("supersedes").isNotNull(), "superseded").when(F.col("hop") > start, "added").otherwise("survived").alias("change"))
+    own = F.col("hop") if "hop" in edges.columns else F.lit(None).cast("int")
+    dated = edges.select("kind", "src", "dst", own.alias("own")).join(first.select(F.col("uid").alias("src"), F.col("hop").alias("of_src")), "src", "left")
+    at = F.coalesce("own", F.when(F.col("src") != F.col("dst"), F.col("of_src")))
+    acting = dated.where(at.isNull() | at.between(start + 1, end))
+    retracted = acting.where("kind = 'retracts'").select(F.col("dst").alias("uid")).distinct().withColumn("gone", F.lit(True))
+    superseded = acting.where("kind = 'supersedes'").groupBy(F.col("dst").alias("uid")).agg(F.max("src").alias("successor"))
+    out = first.where(F.col("hop") <= end).join(retracted, "uid", "left").join(superseded, "uid", "left")
+    change = F.when(F.col("hop") > start, "added").when(F.col("gone"), "retracted").when(F.col("successor").isNotNull(), "superseded").otherwise("survived")
+    return out.select("uid", change.alias("change"), "successor").withColumn("successor", F.when(F.col("change") == "superseded", F.col("successor")))
+
+
+def by_agent(changes: DataFrame, attestations: DataFrame) -> DataFrame:
+    """(agent, added, superseded, retracted): who attested the added and the retracted units and the successors, each unit once."""
+    who = attestations.select("uid", "agent").distinct()
+    acted = changes.where("change <> 'survived'").select(F.coalesce("successor", "uid").alias("uid"), "change", F.col("uid").alias("of"))
+    counts = [F.count(F.when(F.col("change") == c, 1)).alias(c) for c in ("added", "superseded", "retracted")]
+    return acted.join(who, "uid").groupBy("agent").agg(*counts)
+
+
+def survival_rate(changes: DataFrame) -> DataFrame:
+    """One row: before, survived and their ratio, 1 where there was nothing before."""
+    n = changes.agg(F.count(F.when(F.col("change") != "added", 1)).alias("before"), F.count(F.when(F.col("change") == "survived", 1)).alias("survived"))
+    return n.withColumn("rate", F.when(F.col("before") == 0, F.lit(1.0)).otherwise(F.col("survived") / F.col("before")))
+
 
+def recipe_changes(attestations: DataFrame, edges: DataFrame, start: int, end: int) -> DataFrame:
+    """(uid, was, change): units in (start, end] that supersede one from before under other conditions.
 
-def recipe_changes(attestations: DataFrame, start: int, end: int) -> DataFrame:
-    """(uid, n_before, n_after, changed): whether the recipes up to start differ from those in (start, end]."""
-    sets = attestations.groupBy("uid").agg(F.array_sort(F.collect_set(F.when(F.col("hop") <= start, F.col("recipe")))).alias("a"), F.array_sort(F.collect_set(F.when(F.col("hop").between(start + 1, end), F.col("recipe")))).alias("b"))
-    return sets.where((F.size("a") > 0) & (F.size("b") > 0)).select("uid", F.size("a").cast("long").alias("n_before"), F.size("b").cast("long").alias("n_after"), (F.col("a") != F.col("b")).alias("changed"))
+    template-changed: the families of their recipes differ; provider-changed: those
+    are alike and the recipes differ. Pairs without any family are left out.
+    """
+    sets = attestations.groupBy("uid").agg(F.min("hop").alias("hop"), *[F.array_sort(F.collect_set(c)).alias(c) for c in ("recipe", "family")])
+    named = lambda end_, p: sets.select(F.col("uid").alias(end_), *[F.col(c).alias(f"{p}_{c}") for c in ("hop", "recipe", "family")])
+    pairs = edges.where("kind = 'supersedes'").select("src", "dst").distinct().join(named("src", "new"), "src").join(named("dst", "old"), "dst")
+    pairs = pairs.where((F.col("old_hop") <= start) & F.col("new_hop").between(start + 1, end) & ((F.size("old_family") > 0) | (F.size("new_family") > 0)))
+    change = F.when(F.col("old_family") != F.col("new_family"), "template-changed").when(F.col("old_recipe") != F.col("new_recipe"), "provider-changed")
+    return pairs.select(F.col("src").alias("uid"), F.col("dst").alias("was"), change.alias("change")).where("change is not null")
 
 
 def compactable(units: DataFrame, edges: DataFrame) -> DataFrame:
-    """(uid): superseded units that can go.
+    """(uid, fate) of every superseded unit whose successor is there: dropped, referenced or retracted.
 
-    The successor is present, nothing that stays rests on the unit or relates to
-    it (but for supersedes), and no retraction touches it.
+    One stays if a unit that is not superseded rests on it (grounds, deps), or if any
+    other relation names it, at either end; the supersedes edges into superseded units
+    don't count. One that a retraction names, at either end, stays as well: it is
+    retracted where nothing else holds it.
     """
     up = edges.where("kind = 'supersedes'").select(F.col("src").alias("by"), F.col("dst").alias("uid")).distinct()
-    gone = up.join(units.select(F.col("uid").alias("by")), "by", "left_semi").select("uid").distinct()
-    gone = gone.join(units.select("uid"), "uid", "left_semi")
-    retracted = edges.where("kind = 'retracts'").select(F.explode(F.array("src", "dst")).alias("uid")).distinct()
-    staying = edges.where("kind <> 'supersedes'").join(gone.select(F.col("uid").alias("src")), "src", "left_anti").select(F.col("dst").alias("uid")).distinct()
-    return gone.join(retracted, "uid", "left_anti").join(staying, "uid", "left_anti")
+    gone = up.join(units.select(F.col("uid").alias("by")), "by", "left_semi").select("uid").distinct().join(units.select("uid"), "uid", "left_semi")
+    gone = written(gone.withColumn("gone", F.lit(True)))
+    is_gone = lambda end: gone.select(F.col("uid").alias(end), F.col("gone").alias(f"{end}_gone"))
+    marked = edges.select("kind", "src", "dst").join(is_gone("src"), "src", "left").join(is_gone("dst"), "dst", "left")
+    support = F.col("kind").isin("grounds", "deps")
+    held = marked.where(support & F.col("src_gone").isNull()).select(F.col("dst").alias("uid"))
+    related = marked.where(~support & ~((F.col("kind") == "supersedes") & F.coalesce("dst_gone", F.lit(False))) & (F.col("src_gone").isNotNull() | F.col("dst_gone").isNotNull()))
+    held = held.union(related.select(F.explode(F.array("src", "dst")).alias("uid"))).distinct().withColumn("held", F.lit(True))
+    retracted = edges.where("kind = 'retracts'").select(F.explode(F.array("src", "dst")).alias("uid")).distinct().withColumn("retracted", F.lit(True))
+    out = gone.join(held, "uid", "left").join(retracted, "uid", "left")
+    return out.select("uid", F.when(F.col("held"), "referenced").when(F.col("retracted"), "retracted").otherwise("dropped").alias("fate"))
+
+
+def newest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(uid, successor, depth) of superseded units, and (uid) of those whose successors are in dispute.
+
+    Of several direct successors the one that no other of them supersedes is taken;
+    if that isn't one, the unit is forked and resolves to nothing. Chains end at
+    their newest unit; units on a cycle of supersession are left out.
+    """
+    up = written(edges.where("kind = 'supersedes'").select(F.col("dst").alias("uid"), F.col("src").alias("by")).where("by <> uid").distinct())
+    beaten = up.join(up.select(F.col("by").alias("other"), F.col("uid").alias("by")), "by").join(up.select("uid", F.col("by").alias("other")), ["uid", "other"], "left_semi").select("uid", "by").distinct()
+    latest_ = written(up.join(beaten, ["uid", "by"], "left_anti").groupBy("uid").agg(F.count("*").alias("n"), F.max("by").alias("by")))
+    one = latest_.where("n = 1").select(F.col("uid").alias("src"), F.col("by").alias("dst"))
+    forked = up.select("uid").distinct().join(latest_.where("n = 1").select("uid"), "uid", "left_anti")
+    return graph.chains(one).select("uid", F.col("last").alias("successor"), "depth"), forked
+
+
+def relink(units: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst, kind, now, fate): each grounds and deps reference of units that nothing supersedes.
+
+    moved: to the newest successor (now); kept; forked: the successors are in
+    dispute, so nothing is chosen; dangling: no unit has that name.
+    """
+    successors, forked = newest(edges)
+    superseded = edges.where("kind = 'supersedes' and src <> dst").select(F.col("dst").alias("src")).distinct()
+    refs = edges.where(F.col("kind").isin("grounds", "deps")).select("src", "dst", "kind").distinct().join(superseded, "src", "left_anti").join(units.select(F.col("uid").alias("src")), "src", "left_semi")
+    refs = refs.join(successors.select(F.col("uid").alias("dst"), F.col("successor").alias("now")), "dst", "left").join(forked.select(F.col("uid").alias("dst"), F.lit(True).alias("forked")), "dst", "left").join(units.select(F.col("uid").alias("dst"), F.lit(True).alias("there")), "dst", "left")
+    return refs.select("src", "dst", "kind", "now", F.when(F.col("now").isNotNull(), "moved").when(F.col("forked"), "forked").when(F.col("there").isNull(), "dangling").otherwise("kept").alias("fate"))
+
+
+def monotone(units: DataFrame, edges: DataFrame) -> DataFrame:
+    """(uid, was, status, ground): units whose status exceeds their weakest ground's, lowered until none does.
+
+    units has uid, status and source. A lowered unit gets the highest status at or
+    below that of its weakest present ground that its shape carries: measured and
+    cited need a source, derived and inferred grounds, speculative nothing. Rounds
+    lower whole levels at once; statuses only fall, so they end.
+    """
+    grounds = written(edges.where("kind = 'grounds'").select(F.col("src").alias("uid"), F.col("dst").alias("ground")).distinct().join(units.select(F.col("uid").alias("ground")), "ground", "left_semi").join(units.select("uid"), "uid", "left_semi"))
+    now = written(units.select("uid", F.col("status").alias("was"), "status", F.col("source").isNotNull().alias("sourced"), F.lit(None).cast("string").alias("ground")))
+    while True:
+        weakest = grounds.join(now.select(F.col("uid").alias("ground"), F.col("status").alias("s")), "ground").groupBy("uid").agg(F.min(F.struct("s", "ground")).alias("w"))
+        over = F.col("status") > F.col("w.s")
+        low = F.greatest(F.lit(S.SPECULATIVE), S.attainable(F.col("status"), F.col("w.s"), F.col("sourced"), F.lit(True)))
+        new = written(now.join(weakest, "uid", "left").select("uid", "was", F.when(over & (low < F.col("status")), low).otherwise(F.col("status")).cast("int").alias("status"), "sourced", F.when(over & (low < F.col("status")), F.col("w.ground")).otherwise(F.col("ground")).alias("ground"), (over & (low < F.col("status"))).alias("fell")))
+        now = new.drop("fell")
+        if new.where("fell").isEmpty():
+            return now.where("status < was").select("uid", "was", "status", "ground")
 
 
 def top_by(rows: DataFrame, n: int, key: list[str], *order) -> DataFrame:

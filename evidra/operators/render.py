@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import scalars as S
+
 # Fixed values.
 CONNECTIVES = {"contrasts": ("However, ", "By contrast, "), "concedes": ("Admittedly, ", "Granted, "), "causes": ("Consequently, ", "As a result, "), "elaborates": ("", "More precisely, "), "exemplifies": ("For example, ",), "conditions": ("Provided that ",), "enables": ("This makes it possible that ",), "sequences": ("Then, ", "Next, "), "answers": ("In answer, ",), "rebuts": ("Against this, ", "On the other hand, "), "warrant": ("The warrant is that ",), "backs": ("This is backed by ",), "supersedes": ("Superseding this, ",), "retracts": ("Retracting this, ",)}
 
@@ -18,13 +20,61 @@ def connective(kind: Column, uid: Column) -> Column:
     return out
 
 
-def blocks(steps: DataFrame, edges: DataFrame) -> DataFrame:
-    """steps(scope, pos, uid, gist, status) with joining: the least kind that relates a step and the one before, either way."""
-    w = Window.partitionBy("scope").orderBy("pos")
-    pairs = steps.withColumn("before", F.lag("uid").over(w))
+# Marks of the six statuses, and the built-in profiles.
+GLYPHS = ("\u2717", "?", "\u2248", "\u22a2", "\u2020", "\u25aa")
+PROFILES = {
+    "plain": {"level": 1, "roles": {}, "notes": 3, "status": "glyph", "elsewhere": False},
+    "exec": {"level": 1, "roles": {"bottom-line": 1, "risk": 0, "support": 0, "ask": 0}, "notes": 1, "status": "glyph", "elsewhere": False},
+    "analyst": {"level": 2, "roles": {}, "notes": 1 << 30, "status": "word", "elsewhere": True},
+}
+
+
+def marker(status: Column, profile: str) -> Column:
+    said = GLYPHS if PROFILES[profile]["status"] == "glyph" else [f"[{s}]" for s in S.STATUS]
+    return F.coalesce(*[F.when(status == i, F.lit(m)) for i, m in enumerate(said)], F.lit(""))
+
+
+def lowered(text: Column) -> Column:
+    """The first letter lowered if the first word is an ordinary capitalised one; names like SLO or p99 stay."""
+    return F.when(text.rlike(r"^\p{Lu}[\p{Ll}\p{Lm}\p{Lo}'-]*(\s|$)"), F.concat(F.lower(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30))).otherwise(text)
+
+
+def joined(connective_: Column, text: Column) -> Column:
+    return F.when(F.coalesce(connective_, F.lit("")) == "", text).otherwise(F.concat(connective_, lowered(text)))
+
+
+def joinings(steps: DataFrame, edges: DataFrame) -> DataFrame:
+    """(scope, pos, uid, before, joining): the least kind that relates a step and the one before, either way."""
+    pairs = steps.select("scope", "pos", "uid", F.lag("uid").over(Window.partitionBy("scope").orderBy("pos")).alias("before"))
     ends = edges.select("kind", F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("kind", "dst", "src")).where("a <> b").distinct()
-    joined = pairs.join(ends, (F.col("uid") == F.col("a")) & (F.col("before") == F.col("b")), "left").groupBy("scope", "pos").agg(F.min("kind").alias("joining"))
-    return pairs.join(joined, ["scope", "pos"]).withColumn("connective", F.coalesce(connective(F.col("joining"), F.col("uid")), F.lit("")))
+    least = pairs.join(ends, (F.col("uid") == F.col("a")) & (F.col("before") == F.col("b"))).groupBy("scope", "pos").agg(F.min("kind").alias("joining"))
+    return pairs.join(least, ["scope", "pos"], "left")
+
+
+def blocks(steps: DataFrame, texts: DataFrame, edges: DataFrame, attestations: DataFrame, contentions: DataFrame, profile: str, cap: int = 2) -> DataFrame:
+    """(scope, pos, role, uid, level, text, marker, connective, notes) of steps whose unit is there.
+
+    A step is shown at the level its role has in the profile, or the highest below
+    that its unit was written at. Notes are its source, its agents, the open
+    contentions on it and, where the profile is full, its grounds that no step shows;
+    the profile says how many. texts has uid, gist, body, detail, status and source;
+    contentions id, over and positions, of which all touch the units they name.
+    """
+    p = PROFILES[profile]
+    want = F.coalesce(*[F.when(F.col("role") == r, F.lit(n)) for r, n in p["roles"].items()], F.lit(p["level"])) if p["roles"] else F.lit(p["level"])
+    level = S.level_within(F.least(want, F.lit(cap)), F.col("body"), F.col("detail"))
+    joining = joinings(steps, edges).select("scope", "pos", "joining")
+    agents = attestations.groupBy("uid").agg(F.array_join(F.array_sort(F.collect_set(F.concat("agent", F.lit(" ("), "rung", F.lit(")")))), ", ").alias("agents"))
+    touched = contentions.select("id", F.size("positions").alias("n"), F.explode(F.array_distinct(F.concat(F.array("over"), F.col("positions")))).alias("uid"))
+    disputes = touched.groupBy("uid").agg(F.array_sort(F.collect_set(F.concat("id", F.lit(": contested, "), F.col("n").cast("string"), F.lit(" position(s) on record")))).alias("disputes"))
+    shown = steps.select("scope", F.col("uid").alias("dst"), F.lit(True).alias("shown")).distinct()
+    grounds = edges.where("kind = 'grounds'").select(F.col("src").alias("uid"), "dst").distinct()
+    away = steps.select("scope", "uid").distinct().join(grounds, "uid").join(shown, ["scope", "dst"], "left_anti").groupBy("scope", "uid").agg(F.concat(F.lit("rests on "), F.array_join(F.array_sort(F.collect_set("dst")), ", ")).alias("away"))
+    rows = steps.join(texts, "uid").join(joining, ["scope", "pos"], "left").join(agents, "uid", "left").join(disputes, "uid", "left").join(away, ["scope", "uid"], "left")
+    none = F.array().cast("array<string>")
+    notes = F.concat(F.array_compact(F.array("source", "agents")), F.coalesce("disputes", none), F.array_compact(F.array(F.when(F.lit(p["elsewhere"]), F.col("away")))))
+    text = S.text_at(F.col("level"), F.col("gist"), F.col("body"), F.col("detail"))
+    return rows.withColumn("level", level).select("scope", "pos", "role", "uid", "level", text.alias("text"), marker(F.col("status"), profile).alias("marker"), F.coalesce(connective(F.col("joining"), F.col("uid")), F.lit("")).alias("connective"), F.slice(notes, 1, p["notes"]).alias("notes"))
 
 
 def _lines(rows: DataFrame, line: Column, sep: str) -> DataFrame:
@@ -34,16 +84,16 @@ def _lines(rows: DataFrame, line: Column, sep: str) -> DataFrame:
 
 def markdown(rows: DataFrame) -> DataFrame:
     """(scope, text): one list item per block."""
-    return _lines(rows, F.concat(F.lit("- "), "connective", F.lit("**"), "marker", F.lit("** "), "gist"), "\n")
+    return _lines(rows, F.concat(F.lit("- **"), "marker", F.lit("** "), joined(F.col("connective"), F.col("gist"))), "\n")
 
 
 def plain(rows: DataFrame) -> DataFrame:
-    return _lines(rows, F.concat("connective", "gist", F.lit(" ["), "marker", F.lit("]")), "\n")
+    return _lines(rows, F.concat(joined(F.col("connective"), F.col("gist")), F.lit(" ["), "marker", F.lit("]")), "\n")
 
 
 def html(rows: DataFrame) -> DataFrame:
-    escaped = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("gist", "&", "&amp;"), "<", "&lt;"), ">", "&gt;"), '"', "&quot;")
-    return _lines(rows, F.concat(F.lit('<li class="'), "marker", F.lit('">'), "connective", escaped, F.lit("</li>")), "")
+    escaped = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(joined(F.col("connective"), F.col("gist")), "&", "&amp;"), "<", "&lt;"), ">", "&gt;"), '"', "&quot;")
+    return _lines(rows, F.concat(F.lit('<li class="'), "marker", F.lit('">'), escaped, F.lit("</li>")), "")
 
 
 def as_json(rows: DataFrame) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from ..functions import scalars as S
-from ..operators import chunk, pack, render, retrieve, thread
+from ..operators import check, chunk, evaluate, pack, render, retrieve, thread
+from ..sources import imports
 from ..sources import store as T
-from .prelude import quantise, sql, tokens
+from .prelude import LINE, quantise, sql, tokens
 from .registry import query
 
 # Scalars
@@ -54,17 +57,30 @@ def paragraphs(spark, d):
     return chunk.paragraphs(T.documents(spark, d).where("body is not null"), "\n")
 
 
+def conversations(spark, d):
+    """One text per conversation: its turns in order, blank lines between."""
+    return T.steps(spark, d).where("text is not null").groupBy(F.concat(F.lit("v:"), F.col("thread").cast("string")).alias("uid")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n").alias("body"))
+
+
 @query()
 def chunks(spark, d):
-    """Greedy chunks of at most 256 tokens with a paragraph of overlap; a sequential fold, tested by force."""
-    return chunk.chunks(T.documents(spark, d).where("body is not null"), 256)
+    """Greedy chunks of at most 64 tokens with a part of overlap, of conversations and documents; a sequential fold, tested by force."""
+    return chunk.chunks(T.documents(spark, d).select("uid", "body").union(conversations(spark, d)), 64)
 
 
-@query(sql("select uid, case when length(q) = 0 then 'absent' else 'present' end support from (select uid, trim(substring(body, 1, 40)) q from docs where body is not null)"))
+QUOTES = "quotes as (select uid, body, (row_number() over (order by uid)) % 1 z, case cast(substring(uid, 3) as bigint) % 4 when 0 then trim(substring(body, 1, 40)) when 1 then w[1]||' \u2026 '||w[3]||' [...] '||w[6] when 2 then w[1]||' '||w[2]||' qqzx' else '...' end q from (select uid, body, list_filter(string_split_regex(body, '\\s+'), lambda x: x <> '') w from docs where body is not null) where len(w) > 6)"
+FOLD = "lower(trim(regexp_replace(translate({c}, '\u2018\u2019\u201b\u201c\u201d\u201f\u2010\u2011\u2012\u2013\u2014\u2015\u2212\u00a0', '\'\'\'\'\'\'\"\"\"------- '), '\\s+', ' ', 'g')))"
+
+
+@query(sql("""select uid, case when length(fq) = 0 then 'absent' when contains(ft, fq) then 'present' when len(ws) = 0 then 'absent' when loose then 'loose' else 'absent' end support from (
+  select uid, fq, ft, ws, list_reduce(list_prepend(0, list_transform(string_split(ft, ' '), lambda h: 0)), lambda i, h: i) z, (with recursive t(i, k) as (select 0, 0 union all select i + 1, case when k < len(ws) and (contains(hs[i + 1], ws[k + 1]) or contains(ws[k + 1], hs[i + 1])) then k + 1 else k end from t where i < len(hs)) select max(k) = len(ws) from t) loose from (
+  select uid, fq, ft, string_split(ft, ' ') hs, list_filter(string_split(fq, ' '), lambda w: w <> '' and not regexp_matches(w, '^[.\u2026\\[\\]]+$')) ws from (select uid, {fq} fq, {ft} ft from quotes)))""".replace("list_reduce(list_prepend(0, list_transform(string_split(ft, ' '), lambda h: 0)), lambda i, h: i) z, ", "").replace("{fq}", FOLD.format(c="q")).replace("{ft}", FOLD.format(c="substring(body, 1, 400)")), QUOTES.replace(", (row_number() over (order by uid)) % 1 z", "")))
 def quote_support(spark, d):
-    """Each text's own first 40 characters are present in it."""
-    docs = T.documents(spark, d).where("body is not null")
-    return docs.select("uid", S.quote_support(F.trim(F.substring("body", 1, 40)), F.col("body")).alias("support"))
+    """Quotes from the beginnings of texts: verbatim, with words left out, with a word that is not there, of marks alone."""
+    docs = T.documents(spark, d).where("body is not null").withColumn("w", F.filter(F.split("body", r"\s+"), lambda x: x != "")).where(F.size("w") > 6)
+    k, w = F.substring("uid", 3, 20).cast("long") % 4, lambda i: F.get("w", F.lit(i))
+    quote = F.when(k == 0, F.trim(F.substring("body", 1, 40))).when(k == 1, F.concat(w(0), F.lit(" \u2026 "), w(2), F.lit(" [...] "), w(5))).when(k == 2, F.concat(w(0), F.lit(" "), w(1), F.lit(" qqzx"))).otherwise("...")
+    return docs.select("uid", S.quote_support(quote, F.substring("body", 1, 400)).alias("support"))
 
 
 # Retrieval
@@ -101,6 +117,20 @@ def find_lexical(spark, d):
     return retrieve.bm25(T.documents(spark, d).select("uid", "gist", "body"), benchmark_queries(spark, d), 5)
 
 
+@query(sql("select query, uid, score, rank from (select *, row_number() over (partition by query order by score desc, uid) rank from sc where score > 0 and uid in (select uid from docs where status >= 4 and lang = 'en')) where rank <= 5", POST, BM))
+def find_filtered(spark, d):
+    """Only cited documents of one language are ranked; the counts are of all."""
+    docs = T.documents(spark, d)
+    return retrieve.bm25(docs.select("uid", "gist", "body"), benchmark_queries(spark, d), 5, docs.where("status >= 4 and lang = 'en'"))
+
+
+@query(sql("select uid from units where kind in ('claim', 'finding', 'data', 'observation') and status >= 3"))
+def find_candidates(spark, d):
+    """What may be ranked: units of the kernel's kinds that a filter admits."""
+    found = retrieve.candidates(T.units(spark, d), ("claim", "finding", "data", "observation", "evidence"))
+    return retrieve.admitted(found, 3, ("claim", "finding", "data", "observation")).select("uid")
+
+
 COS = f"""cs as (select q.vec_id query, v.vec_id uid, {quantise('list_cosine_similarity(v.embedding::double[], q.embedding::double[])')} score from embeddings v, embeddings q where q.vec_id % 20 = 0 and v.vec_id <> q.vec_id),
 near as (select *, row_number() over (partition by query order by score desc, uid) rank from cs where score > 0)"""
 
@@ -128,57 +158,193 @@ def retrieval_metrics(spark, d):
     return retrieve.metrics(nearest_vectors(spark, d), want, 5)
 
 
+HYBRID = f"""asked as (select vec_id query, label, case when vec_id % 40 = 0 then 'label_'||label else 'near vector '||label end as text, case when vec_id % 60 = 20 then ['data', 'evidence'] else [] end kinds from embeddings where vec_id % 20 = 0),
+routed as (select query, case when (not regexp_matches(text, '\\s') and regexp_matches(text, '[_./:-]')) or len(kinds) > 0 then 'lexical' else 'semantic' end route, text from asked)"""
+
+
+def vector_units(spark, d):
+    v = T.table(spark, d, "embeddings")
+    return v.select(F.col("vec_id").alias("uid"), F.concat(F.lit("vec_"), F.col("vec_id").cast("string"), F.lit(" label_"), F.col("label").cast("string")).alias("gist"))
+
+
+def vector_queries(spark, d):
+    v = T.table(spark, d, "embeddings").where("vec_id % 20 = 0")
+    text = F.when(F.col("vec_id") % 40 == 0, F.concat(F.lit("label_"), F.col("label").cast("string"))).otherwise(F.concat(F.lit("near vector "), F.col("label").cast("string")))
+    kinds = F.when(F.col("vec_id") % 60 == 20, F.array(F.lit("data"), F.lit("evidence"))).otherwise(F.array().cast("array<string>"))
+    return v.select(F.col("vec_id").alias("query"), text.alias("text"), kinds.alias("kinds"))
+
+
+VTERMS = _terms("gist")
+VPOST = f"""vraw as (select uid, unnest({VTERMS}) term from (select vec_id uid, 'vec_'||vec_id||' label_'||label gist from embeddings)),
+vpost as materialized (select uid, term, count(*) * 4 tf from vraw group by uid, term),
+vlens as (select uid, sum(tf) dl from vpost group by uid), vst as (select count(*) n, avg(dl) a from vlens), vdfs as (select term, count(*) df from vpost group by term),
+vwant as (select distinct query, unnest({_terms('text')}) term from routed where route = 'lexical'),
+vsc as (select query, uid, {quantise("sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * dl / a)))")} score from vpost join vwant using (term) join vdfs using (term) join vlens using (uid), vst group by query, uid)"""
+
+
+@query(sql("""select query, 'semantic' route, uid, score, rank from near join routed using (query) where route = 'semantic' and rank <= 5
+  union all select query, 'lexical', uid, score, rank from (select *, row_number() over (partition by query order by score desc, uid) rank from vsc where score > 0) where rank <= 5""", COS, HYBRID, VPOST))
+def find_hybrid(spark, d):
+    """Each query answered by words or by vectors, as its text and its kinds say."""
+    asked = vector_queries(spark, d)
+    return retrieve.hybrid(asked, retrieve.bm25(vector_units(spark, d), asked, 5), nearest_vectors(spark, d))
+
+
 # Packs: a scope is a customer's orders and their lines
 
-MEMBERS = f"""m as (select scope, uid, {tokens('gist')} + 2 cost, ({quantise('status / 5.0')})::double as value from members join units using (uid)),
-own as (select m.scope, e.src uid, e.dst need from edges e join m on m.uid = e.src join m k on k.uid = e.dst and k.scope = m.scope where e.kind in ('deps', 'grounds', 'warrant') union select scope, uid, uid from m),
-need as (select scope, uid, need from own union select o.scope, o.uid, e.src from own o join edges e on e.kind = 'rebuts' and e.dst = o.need join m on m.uid = e.src and m.scope = o.scope)"""
 SCOPES = "members as (select 'c:'||o_custkey scope, 'o:'||o_orderkey uid from orders union all select 'c:'||o_custkey, dst from orders join edges on src = 'o:'||o_orderkey and kind = 'grounds')"
+WRITTEN = f"""written_ as (select 'o:'||o_orderkey uid, case when o_orderkey % 2 = 0 then 'ordered '||strftime(o_orderdate, '%Y-%m-%d') end body, case when o_orderkey % 4 = 0 then 'total '||cast(round(o_totalprice * 100) as bigint) end detail from orders
+  union all select {LINE}, case when l_linenumber % 2 = 1 then 'part '||l_partkey||' from supplier '||l_suppkey end, case when l_linenumber % 4 = 1 then 'shipped '||strftime(l_shipdate, '%Y-%m-%d') end from lineitem)"""
+LOCAL = quantise(f"{quantise('status / 5.0::double')} / max({quantise('status / 5.0::double')}) over (partition by scope)")
+MEMBERS = f"""m as materialized (select scope, uid, {tokens('gist')} + 2 cost0, {tokens('gist')} + 2 + case when body is null then 0 else {tokens('body')} + 2 end cost1, {tokens('gist')} + 2 + case when body is null then 0 else {tokens('body')} + 2 end + case when detail is null then 0 else {tokens('detail')} + 2 end cost2,
+  case when detail is not null then 2 when body is not null then 1 else 0 end top, ({LOCAL})::double salience from members join units using (uid) join written_ using (uid)),
+av as (select scope, uid, level, case level when 2 then cost2 when 1 then cost1 else cost0 end cost, salience * (case level when 0 then 1.0::float when 1 then 1.6::float else 1.85::float end)::double as value from (select *, unnest(list_filter([0, 1, 2], lambda l: l = 0 or l = top or (l = 1 and cost1 > cost0))) level from m))"""
+FORCED = """k as (select 'k:'||o_orderkey id, 'o:'||o_orderkey over_, l.positions from orders join (select l_orderkey, list(distinct uid) positions from lines_ where l_linenumber <= 2 group by l_orderkey) l on l_orderkey = o_orderkey where o_orderkey % 5 = 0),
+touched as (select id, over_ a from k union select id, unnest(positions) from k),
+f as materialized (select distinct x.scope, a, b, why from (select src a, dst b, case kind when 'deps' then 'dep' when 'grounds' then 'ground' else 'warrant' end why from edges where kind in ('deps', 'grounds', 'warrant') union all select dst, src, 'rebuts' from edges where kind = 'rebuts'
+  union all select t.a, p.b, 'contests' from touched t join (select id, unnest(positions) b from k) p using (id)) e join m x on x.uid = e.a join m y on y.uid = e.b and y.scope = x.scope where a <> b)"""
+LINES = f"lines_ as (select l_orderkey, l_linenumber, {LINE} uid from lineitem)"
+NEED = """pull as (select distinct scope, a, b from f where why in ('rebuts', 'contests')),
+first_ as (select scope, uid, 0 lv, uid need from m union select scope, uid, 1, uid from m union select scope, a, 1, b from f where why in ('dep', 'ground', 'warrant')),
+reach_(scope, uid, lv, need) as (select * from first_ union select r.scope, r.uid, r.lv, p.b from reach_ r join pull p on p.scope = r.scope and p.a = r.need),
+need as (select * from reach_ where uid <> need)"""
+PACK = (SCOPES, WRITTEN, LINES, MEMBERS, FORCED)
+PACK_KINDS = ("deps", "grounds", "warrant", "rebuts")
 BUDGET = 100
 
 
-def members(spark, d):
+def scoped_units(spark, d):
+    """(scope, uid): every customer's orders and their lines."""
     orders = T.table(spark, d, "orders").select(T.node("c", "o_custkey").alias("scope"), T.node("o", "o_orderkey").alias("uid"))
-    lines = orders.join(T.edges(spark, d, ("grounds",)), F.col("uid") == F.col("src")).select("scope", F.col("dst").alias("uid"))
-    return orders.union(lines).join(T.units(spark, d), "uid").select("scope", "uid", S.text_cost(F.col("gist")).alias("cost"), S.quantise(F.col("status") / 5.0).alias("value"))
+    lines = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), T.line_id().alias("uid")).join(T.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    return orders.union(lines.select(T.node("c", "o_custkey"), "uid"))
+
+
+def bodies(spark, d):
+    """(uid, body, detail) of orders and lines, some with neither, some with both."""
+    o, line = T.table(spark, d, "orders"), T.table(spark, d, "lineitem")
+    mod = lambda c, n, r: F.col(c) % n == r
+    of_orders = o.select(T.node("o", "o_orderkey").alias("uid"), F.when(mod("o_orderkey", 2, 0), F.concat(F.lit("ordered "), F.date_format("o_orderdate", "yyyy-MM-dd"))).alias("body"), F.when(mod("o_orderkey", 4, 0), F.concat(F.lit("total "), F.round(F.col("o_totalprice") * 100).cast("long").cast("string"))).alias("detail"))
+    return of_orders.union(line.select(T.line_id(), F.when(mod("l_linenumber", 2, 1), F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.lit(" from supplier "), F.col("l_suppkey").cast("string"))), F.when(mod("l_linenumber", 4, 1), F.concat(F.lit("shipped "), F.date_format("l_shipdate", "yyyy-MM-dd")))))
+
+
+def members(spark, d):
+    texts = T.units(spark, d).select("uid", "gist", "status").join(bodies(spark, d), "uid")
+    return scoped_units(spark, d).join(texts, "uid").select("scope", "uid", "gist", "body", "detail", S.quantise(F.col("status") / 5.0).alias("salience"))
+
+
+def disputes(spark, d):
+    """(id, over, positions): the first lines of every fifth order contest it."""
+    line = T.table(spark, d, "lineitem").where("l_linenumber <= 2 and l_orderkey % 5 = 0")
+    positions = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_set(T.line_id())).alias("positions"))
+    return positions.select(T.node("k", "l_orderkey").alias("id"), T.node("o", "l_orderkey").alias("over"), "positions")
 
 
 def pack_edges(spark, d):
-    return T.edges(spark, d, ("deps", "grounds", "warrant", "rebuts"))
+    return T.edges(spark, d, PACK_KINDS)
+
+
+def packing(spark, d):
+    """Units with costs, and their obligations, both written."""
+    m = T.written(members(spark, d))
+    return T.written(pack.costed(m)), T.written(pack.needs(m, pack_edges(spark, d), disputes(spark, d)))
+
+
+def focus(spark, d):
+    """(scope, uid): the least order of every third customer."""
+    return T.table(spark, d, "orders").where("o_custkey % 3 = 0").groupBy(T.node("c", "o_custkey").alias("scope")).agg(F.min(T.node("o", "o_orderkey")).alias("uid"))
+
+
+NAIVE = "held as (select scope, uid, case when n <= 6 then top else 0 end level from (select *, row_number() over (partition by scope order by salience desc, uid) n from m) where n <= 12), pins as (select 'c:'||o_custkey scope, min('o:'||o_orderkey) uid from orders where o_custkey % 3 = 0 group by o_custkey)"
+
 
+def naive(units):
+    """The twelve most salient units of a scope, six of them whole: a choice that forgets what belongs together."""
+    n = F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("salience"), "uid"))
+    return units.withColumn("n", n).where("n <= 12").select("scope", "uid", F.when(F.col("n") <= 6, F.col("top")).otherwise(0).alias("level"))
 
-@query(sql("select m.scope, m.uid, count(n.need) n_needs, (m.cost + coalesce(sum(k.cost), 0))::bigint closure_cost from m left join need n on n.scope = m.scope and n.uid = m.uid and n.need <> m.uid left join m k on k.scope = n.scope and k.uid = n.need group by m.scope, m.uid, m.cost", SCOPES, MEMBERS))
+
+@query(sql("select scope, uid, cost0, cost1, cost2, top, salience from m", SCOPES, WRITTEN, MEMBERS, kinds=("grounds",)))
+def pack_costs(spark, d):
+    return pack.costed(members(spark, d)).drop("inside")
+
+
+@query(sql("select a.scope, a.uid, a.level, count(n.need) n_needs, (a.cost + coalesce(sum(c.cost0), 0))::bigint closure_cost from av a left join need n on n.scope = a.scope and n.uid = a.uid and n.lv = least(a.level, 1) left join m c on c.scope = n.scope and c.uid = n.need group by a.scope, a.uid, a.level, a.cost", *PACK, NEED, kinds=PACK_KINDS))
 def pack_obligations(spark, d):
-    return pack.obligations(members(spark, d), pack_edges(spark, d))
+    return pack.obligations(*packing(spark, d))
 
 
-@query(sql(f"select scope, {quantise('sum(value * greatest(0, least(cost, ' + str(BUDGET) + ' - (s - cost))) / cost)')} bound from (select *, sum(cost) over (partition by scope order by value / cost desc, uid rows unbounded preceding) s from m) group by scope", SCOPES, MEMBERS))
+@query(sql(f"select s.scope, {quantise('coalesce(b.bound, 0)')} bound from (select distinct scope from m) s left join (select scope, sum(density * greatest(0, least(most, {BUDGET} - (s - most)))) bound from (select *, sum(most) over (partition by scope order by density desc, most, uid rows unbounded preceding) s from (select scope, uid, max(value / cost) density, max(cost) most from av where cost > 0 and value > 0 group by scope, uid)) group by scope) b on b.scope = s.scope", SCOPES, WRITTEN, MEMBERS, kinds=("grounds",)))
 def pack_bound(spark, d):
-    return pack.bound(members(spark, d), BUDGET)
+    return pack.bound(pack.costed(members(spark, d)), BUDGET)
 
 
 @query()
 def pack_greedy(spark, d):
-    """A sequential choice in each scope, tested by its constraints and against the best pack."""
-    return pack.greedy(members(spark, d), pack_edges(spark, d), BUDGET)
+    """A sequential choice in each scope, tested against a plain one, its constraints and the best pack."""
+    return pack.greedy(*packing(spark, d), BUDGET, focus(spark, d)).select("scope", "uid", "level", "required")
 
 
 @query()
 def pack_exact(spark, d):
-    return pack.exact(members(spark, d), pack_edges(spark, d), BUDGET)
+    return pack.exact(*packing(spark, d), BUDGET)
+
+
+@query()
+def pack_explained(spark, d):
+    """Why each unit of a greedy pack is there; tested by force."""
+    units, needed = packing(spark, d)
+    packs = T.written(pack.greedy(units, needed, BUDGET, focus(spark, d)))
+    return pack.explained(packs, needed, pack_edges(spark, d), disputes(spark, d))
 
 
-@query("select '' scope, '' \"constraint\", '' uid where false")
+@query(sql("select '' scope, '' \"constraint\", '' uid, '' missing from units where false", kinds=()))
+def pack_verified(spark, d):
+    """Packs of the greedy choice break nothing: no rows. What breaks is what pack_violations shows."""
+    units, needed = packing(spark, d)
+    packs = T.written(pack.greedy(units, needed, BUDGET, focus(spark, d)).where("uid is not null"))
+    able = focus(spark, d).join(packs.select("scope").distinct(), "scope", "left_semi")
+    return pack.violations(packs, units, pack_edges(spark, d), BUDGET, disputes(spark, d), able)
+
+
+@query(sql(f"""select distinct f.scope, case why when 'dep' then 'C1' when 'ground' then 'C2' when 'warrant' then 'C6' when 'rebuts' then 'C3' else 'C4' end "constraint", f.a uid, f.b missing from f join held h on h.scope = f.scope and h.uid = f.a where (why in ('rebuts', 'contests') or h.level >= 1) and not exists (select 1 from held x where x.scope = f.scope and x.uid = f.b)
+  union all select p.scope, 'C5', p.uid, '' from pins p join m using (scope, uid) left join held h on h.scope = p.scope and h.uid = p.uid where h.level is null or (h.level < 1 and m.top >= 1)
+  union all select scope, 'C7', '', '' from held join av using (scope, uid, level) group by scope having sum(cost) > {BUDGET}""", *PACK, NAIVE, kinds=PACK_KINDS))
 def pack_violations(spark, d):
-    """A pack parts nothing from what it needs and stays within its budget: no rows."""
-    m, e = members(spark, d), pack_edges(spark, d)
-    return pack.violations(pack.greedy(m, e, BUDGET), m, e, BUDGET)
+    units = T.written(pack.costed(members(spark, d)))
+    return pack.violations(T.written(naive(units)), units, pack_edges(spark, d), BUDGET, disputes(spark, d), focus(spark, d))
 
 
-@query()
+@query(sql("select scope, uid, case when salience = 0 then 'low-value' when exists (select 1 from need n where n.scope = m.scope and n.uid = m.uid and lv = 0 and not exists (select 1 from held h where h.scope = n.scope and h.uid = n.need)) then 'closure-cost' else 'budget' end reason from m where not exists (select 1 from held h where h.scope = m.scope and h.uid = m.uid)", *PACK, NEED, NAIVE, kinds=PACK_KINDS))
 def pack_reasons(spark, d):
-    m, e = members(spark, d), pack_edges(spark, d)
-    return pack.drop_reasons(pack.greedy(m, e, BUDGET), m, e)
+    """What the naive choice leaves out, and why."""
+    units, needed = packing(spark, d)
+    return pack.dropped(naive(units), units, needed)
+
+
+@query(sql("select reason, count(*) n from (select case when salience = 0 then 'low-value' when exists (select 1 from need n where n.scope = m.scope and n.uid = m.uid and lv = 0 and not exists (select 1 from held h where h.scope = n.scope and h.uid = n.need)) then 'closure-cost' else 'budget' end reason from m where not exists (select 1 from held h where h.scope = m.scope and h.uid = m.uid)) group by reason", *PACK, NEED, NAIVE, kinds=PACK_KINDS))
+def pack_histogram(spark, d):
+    units, needed = packing(spark, d)
+    return pack.histogram(pack.dropped(naive(units), units, needed))
+
+
+@query(sql("select scope, uid, level, top from held join (select scope, uid, top from m) using (scope, uid) where level < top", SCOPES, WRITTEN, MEMBERS, NAIVE, kinds=("grounds",)))
+def pack_degraded(spark, d):
+    units = T.written(pack.costed(members(spark, d)))
+    return pack.degraded(naive(units), units)
+
+
+@query(sql("select scope, sum(cost0)::bigint floor, sum(case top when 2 then cost2 when 1 then cost1 else cost0 end)::bigint \"full\" from m group by scope", SCOPES, WRITTEN, MEMBERS, kinds=("grounds",)))
+def full_tokens(spark, d):
+    return evaluate.full_tokens(pack.costed(members(spark, d)))
+
+
+@query()
+def chain_measures(spark, d):
+    """Five hand-overs at six tenths of the full cost, and what they keep, for every customer; tested by force."""
+    m, edges = T.written(members(spark, d)), pack_edges(spark, d)
+    left = evaluate.chain(m, edges, disputes(spark, d))
+    return evaluate.measures(left, m, edges, T.units(spark, d), T.attestations(spark, d))
 
 
 # Threads: the same scopes
@@ -188,40 +354,133 @@ pick as (select * from (select *, row_number() over (partition by scope, role or
 step as (select scope, row_number() over (partition by scope order by case role when 'bottom-line' then 0 when 'support' then 1 else 2 end, salience desc, uid) pos, role, uid from pick)"""
 
 
+def thread_members(spark, d):
+    return scoped_units(spark, d).join(T.units(spark, d), "uid").select("scope", "uid", "kind", "status", F.col("status").cast("double").alias("salience"))
+
+
 def assigned(spark, d):
-    m = members(spark, d).select("scope", "uid").join(T.units(spark, d), "uid").select("scope", "uid", "kind", F.col("status").cast("double").alias("salience"))
-    return thread.roles(m, T.edges(spark, d, ("rebuts",)), "brief")
+    return thread.roles(thread_members(spark, d).drop("status"), T.edges(spark, d, ("rebuts",)), "brief")
 
 
-@query(sql("select scope, uid, kind, salience, role from role_", SCOPES, ROLE))
+def brief_steps(spark, d):
+    return T.written(thread.ordered(thread.selected(assigned(spark, d), "brief"), "brief"))
+
+
+@query(sql("select scope, uid, kind, salience, role from role_", SCOPES, ROLE, kinds=("rebuts", "grounds")))
 def thread_roles(spark, d):
     return assigned(spark, d)
 
 
-@query(sql("select scope, pos, role, uid from step", SCOPES, ROLE))
+@query(sql("select scope, pos, role, uid from step", SCOPES, ROLE, kinds=("rebuts", "grounds")))
 def thread_steps(spark, d):
     return thread.ordered(thread.selected(assigned(spark, d), "brief"), "brief")
 
 
-@query(sql("select scope, r as role, (l - coalesce(n, 0))::bigint missing from (select * from (select distinct scope from members) cross join (values ('bottom-line', 1), ('support', 1)) x(r, l)) x left join (select scope s, role p, count(*) n from pick group by scope, role) on s = scope and p = r where coalesce(n, 0) < l", SCOPES, ROLE))
+OTHERS = {
+    "analysis": ("case when r then 'rebuttal' when kind = 'finding' then 'finding' when kind = 'definition' then 'context' when kind in ('observation', 'data') then 'tension' when kind = 'claim' then 'implication' else 'context' end", ("context", 2, 0), ("tension", 2, 1), ("finding", 3, 3), ("rebuttal", 3, 4)),
+    "qa": ("case when r then 'caveat' when kind = 'finding' then 'answer' else 'evidence' end", ("evidence", 3, 1), ("answer", 2, 2), ("caveat", 2, 3)),
+    "plan": ("case when r then 'risk' when kind = 'finding' then 'goal' else 'step' end", ("goal", 1, 0), ("step", 5, 2), ("risk", 2, 4)),
+}
+
+
+def _others_sql() -> str:
+    parts = [f"select '{n}' \"schema\", scope, uid, {role} as role, salience from rebutting" for n, (role, *_) in OTHERS.items()]
+    most = " ".join(f"when \"schema\" = '{n}' and role = '{r}' then {m}" for n, (_, *rs) in OTHERS.items() for r, m, _ in rs)
+    place = " ".join(f"when \"schema\" = '{n}' and role = '{r}' then {p}" for n, (_, *rs) in OTHERS.items() for r, _, p in rs)
+    return f"""rebutting as (select m.scope, m.uid, u.kind, u.status::double salience, exists (select 1 from edges e where e.kind = 'rebuts' and e.src = m.uid) r from members m join units u using (uid)),
+every as ({' union all '.join(parts)}),
+few as (select * from (select *, row_number() over (partition by "schema", scope, role order by salience desc, uid) rank from every) where rank <= case {most} else 0 end)
+select "schema", scope, row_number() over (partition by "schema", scope order by case {place} end, salience desc, uid) pos, role, uid from few"""
+
+
+@query(sql(_others_sql().split(")\nselect", 1)[1].join(["select", ""]), SCOPES, _others_sql().split(")\nselect", 1)[0] + ")", kinds=("rebuts", "grounds")))
+def thread_schemas(spark, d):
+    """Steps by the analysis, qa and plan schemas."""
+    m, parts = T.written(thread_members(spark, d)), []
+    for name in OTHERS:
+        chosen = thread.selected(thread.roles(m, T.edges(spark, d, ("rebuts",)), name), name)
+        parts.append(thread.ordered(chosen, name).select(F.lit(name).alias("schema"), "scope", "pos", "role", "uid"))
+    return check.union(*parts)
+
+
+PLACES = """ord as (select distinct src, dst from edges where kind = 'causes'),
+within_ as (select scope, src, dst from ord join (select scope, uid from members) a on a.uid = src join (select scope s2, uid u2 from members) b on u2 = dst and s2 = scope),
+deep(scope, uid, level) as (select scope, uid, 0 from members union select w.scope, w.src, level + 1 from deep x join within_ w on w.scope = x.scope and w.dst = x.uid),
+ends_ as (select scope, uid, exists (select 1 from within_ w where w.scope = m.scope and w.src = m.uid) o, exists (select 1 from within_ w where w.scope = m.scope and w.dst = m.uid) i from members m)"""
+
+
+@query(sql("select scope, uid, (o or i) and not o \"first\", (o or i) and not i \"last\" from ends_", SCOPES, PLACES.split("deep(scope")[0] + "ends_" + PLACES.split("ends_", 1)[1], kinds=("grounds", "causes")))
+def thread_ends(spark, d):
+    """Which units begin and end the chain of causes in their scope."""
+    placed = thread.placed(thread_members(spark, d), T.edges(spark, d, ("causes",)))
+    return placed.select("scope", "uid", "first", "last")
+
+
+@query()
+def thread_narrative(spark, d):
+    """Steps by places along the chain of causes: first, last and fifths of it; the order is tested by force."""
+    placed = T.written(thread.placed(thread_members(spark, d), T.edges(spark, d, ("causes",))))
+    return thread.ordered(thread.selected(thread.roles(placed, T.edges(spark, d, ("causes",)), "narrative"), "narrative"), "narrative")
+
+
+@query(sql("select scope, uid from (select m.scope, m.uid, u.kind from members m join units u using (uid)) where kind = 'finding'", SCOPES, kinds=("grounds",)))
+def thread_seed(spark, d):
+    """Every customer here has findings, so they are what salience starts from."""
+    return thread.seed(thread_members(spark, d))
+
+
+@query(sql("select scope, r as role, (l - coalesce(n, 0))::bigint missing from (select * from (select distinct scope from members) cross join (values ('question', 1), ('answer', 1)) x(r, l)) x left join (select scope s, case when exists (select 1 from edges e where e.kind = 'rebuts' and e.src = m.uid) then 'caveat' when kind = 'finding' then 'answer' else 'evidence' end p, count(*) n from members m join units u using (uid) group by 1, 2) on s = scope and p = r where coalesce(n, 0) < l", SCOPES, kinds=("rebuts", "grounds")))
 def thread_unfilled(spark, d):
-    """Roles with fewer units than they need at least."""
-    chosen = thread.selected(assigned(spark, d), "brief")
-    return thread.unfilled(chosen, members(spark, d), "brief").withColumn("missing", F.col("missing").cast("long"))
+    """Roles of the qa schema with fewer units than they need: no unit here is a question."""
+    m = thread_members(spark, d)
+    chosen = thread.selected(thread.roles(m, T.edges(spark, d, ("rebuts",)), "qa"), "qa")
+    return thread.unfilled(chosen, m, "qa").withColumn("missing", F.col("missing").cast("long"))
+
+
+PRESENT = "p_ as (select src, dst from (select distinct src, dst from edges where kind = 'deps') where dst in (select uid from units) and not (starts_with(dst, 'p:') and cast(substring(dst, 3) as bigint) % 5 = 0))"
+
 
+def present(spark, d):
+    """All units but every fifth part, so that some deps are absent."""
+    return T.units(spark, d).where(~F.col("uid").startswith("p:") | (F.substring("uid", 3, 20).try_cast("long") % 5 != 0))
 
-@query(sql("select distinct s.scope, s.uid, e.dst missing from step s join edges e on e.kind = 'deps' and e.src = s.uid where not exists (select 1 from step t where t.scope = s.scope and t.uid = e.dst)", SCOPES, ROLE))
+
+@query(sql("select distinct s.scope, s.uid, e.dst missing from step s join p_ e on e.src = s.uid where not exists (select 1 from step t where t.scope = s.scope and t.uid = e.dst)", SCOPES, ROLE, PRESENT, kinds=("rebuts", "grounds", "deps")))
 def thread_missing_deps(spark, d):
-    steps = thread.ordered(thread.selected(assigned(spark, d), "brief"), "brief")
-    return thread.missing_deps(steps, T.edges(spark, d, ("deps",)))
+    return thread.missing_deps(brief_steps(spark, d), T.edges(spark, d, ("deps",)), present(spark, d))
+
+
+REPAIR = """walk_(scope, pos, role, uid, path, needed_by) as (select s.scope, s.pos, s.role, e.dst, [e.dst], s.uid from step s join p_ e on e.src = s.uid where not exists (select 1 from step t where t.scope = s.scope and t.uid = e.dst)
+  union all select w.scope, w.pos, w.role, e.dst, list_append(w.path, e.dst), w.uid from walk_ w join p_ e on e.src = w.uid where not list_contains(w.path, e.dst) and not exists (select 1 from step t where t.scope = w.scope and t.uid = e.dst)),
+best_ as (select * from (select *, row_number() over (partition by scope, uid order by pos, list_append(path, chr(1114111))) n from walk_) where n = 1)"""
 
 
-@query(sql("""select scope, row_number() over (partition by scope order by pos, own, uid) pos, role, uid from (
-  select scope, pos, 1 own, role, uid from step union all
-  select scope, min({'p': pos, 'r': role}).p, 0, min({'p': pos, 'r': role}).r, missing from (select s.scope, s.pos, s.role, e.dst missing from step s join edges e on e.kind = 'deps' and e.src = s.uid where not exists (select 1 from step t where t.scope = s.scope and t.uid = e.dst)) group by scope, missing)""", SCOPES, ROLE))
+@query(sql("select scope, row_number() over (partition by scope order by pos, list_append(path, chr(1114111))) pos, role, uid, needed_by from (select scope, pos, role, uid, []::varchar[] path, null needed_by from step union all select scope, pos, role, uid, path, needed_by from best_)", SCOPES, ROLE, PRESENT, REPAIR, kinds=("rebuts", "grounds", "deps")))
 def thread_repaired(spark, d):
-    steps = thread.ordered(thread.selected(assigned(spark, d), "brief"), "brief")
-    return thread.repaired(steps, T.edges(spark, d, ("deps",)))
+    return thread.repaired(brief_steps(spark, d), T.edges(spark, d, ("deps",)), present(spark, d))
+
+
+@query(sql("select scope, uid, max(case role when 'bottom-line' then 1.0 when 'support' then round(0.7 * 1024) / 1024 when 'risk' then round(0.8 * 1024) / 1024 else 0 end)::double weight from step group by scope, uid", SCOPES, ROLE, kinds=("rebuts", "grounds")))
+def thread_weights(spark, d):
+    return thread.role_weights(brief_steps(spark, d), "brief")
+
+
+@query(sql("select scope, uid from step s where role = 'bottom-line' or not exists (select 1 from step t where t.scope = s.scope and role = 'bottom-line')", SCOPES, ROLE, kinds=("rebuts", "grounds")))
+def thread_salience_seed(spark, d):
+    return thread.salience_seed(brief_steps(spark, d))
+
+
+@query(sql("""select scope, case when ceil(strlen(g) / 4.0) <= 3 then g else coalesce(array_to_string(w[1:list_max(list_filter(range(1, len(w) + 1), lambda k: strlen(w[1]) <= 10 and strlen(array_to_string(w[1:k], ' ')) <= 11))], ' '), w[1])||'\u2026' end gist from (
+  select scope, g, list_filter(string_split_regex(g, '\\s+'), lambda x: x <> '') w from (select scope, concat_ws('; ', max(trim(gist)) filter (role = 'bottom-line'), arg_min(trim(gist), pos) filter (role = 'risk')) g0, arg_min(trim(gist), pos) any_, case when count(*) filter (role in ('bottom-line', 'risk')) > 0 then concat_ws('; ', arg_min(trim(gist), pos) filter (role = 'bottom-line'), arg_min(trim(gist), pos) filter (role = 'risk')) else arg_min(trim(gist), pos) end g from step join units using (uid) group by scope))""", SCOPES, ROLE, kinds=("rebuts", "grounds")))
+def thread_gists(spark, d):
+    return thread.gists(brief_steps(spark, d), T.units(spark, d), "brief", 3)
+
+
+@query("select distinct conv_id thread, role from conversations where role not in ('question', 'evidence', 'answer', 'caveat')")
+def thread_foreign_roles(spark, d):
+    """Conversations as if of the qa schema, whose roles they don't have."""
+    steps = T.steps(spark, d)
+    return thread.foreign_roles(steps, steps.select("thread").distinct().withColumn("schema", F.lit("qa")))
 
 
 # Rendering of conversations
@@ -250,19 +509,294 @@ def render_html(spark, d):
     return render.html(turns(spark, d).where("gist is not null and marker is not null"))
 
 
-@query(sql("""select scope, pos, uid, before, case when before is null then '' else coalesce(j, '') end joining from (
-  select s.scope, s.pos, s.uid, s.before, (select min(e.kind) from edges e where e.src = s.uid and e.dst = s.before or e.src = s.before and e.dst = s.uid) j from (select scope, pos, uid, lag(uid) over (partition by scope order by pos) before from step) s)""", SCOPES, ROLE))
+@query(sql("""select scope, pos, uid, before, (select min(e.kind) from edges e where (e.src = uid and e.dst = before or e.src = before and e.dst = uid) and uid <> before) joining from (select scope, pos, uid, lag(uid) over (partition by scope order by pos) before from step)""", SCOPES, ROLE))
 def thread_joinings(spark, d):
     """The kind of edge that joins each step with the one before."""
-    steps = thread.ordered(thread.selected(assigned(spark, d), "brief"), "brief")
-    return render.blocks(steps, T.edges(spark, d)).select("scope", "pos", "uid", "before", F.coalesce("joining", F.lit("")).alias("joining"))
+    return render.joinings(brief_steps(spark, d), T.edges(spark, d))
+
+
+def _case(kind: str, uid: str) -> str:
+    quoted = lambda v: "'" + v.replace("'", "''") + "'"
+    return "case " + " ".join(f"when {kind} = '{k}' then [{', '.join(map(quoted, v))}][ascii({uid}) % {len(v)} + 1]" for k, v in render.CONNECTIVES.items()) + " end"
+
+
+@query(sql(f"select kind, uid, {_case('kind', 'uid')} connective from (select distinct kind, dst uid from edges)"))
+def connectives(spark, d):
+    e = T.edges(spark, d).select("kind", F.col("dst").alias("uid")).distinct()
+    return e.select("kind", "uid", render.connective(F.col("kind"), F.col("uid")).alias("connective"))
+
+
+def _blocks_sql(profile: str) -> str:
+    p = render.PROFILES[profile]
+    want = "case role " + " ".join(f"when '{r}' then {n}" for r, n in p["roles"].items()) + f" else {p['level']} end" if p["roles"] else str(p["level"])
+    marks = render.GLYPHS if p["status"] == "glyph" else [f"[{x}]" for x in S.STATUS]
+    mark = "case status " + " ".join(f"when {i} then '{m}'" for i, m in enumerate(marks)) + " end"
+    away = "away" if p["elsewhere"] else "null"
+    return f"""levels_ as (select *, case when want >= 2 and detail is not null then 2 when want >= 1 and body is not null then 1 else 0 end level from (select s.scope, s.pos, s.role, s.uid, u.gist, u.status, u.source, b.body, b.detail, {want} want from step s join units u using (uid) join written_ b using (uid))),
+notes_ as (select *, list_concat(list_filter([source, agents], lambda x: x is not null), coalesce(disputes, []), list_filter([{away}], lambda x: x is not null))[1:{p['notes']}] notes from levels_ left join who_ using (uid) left join disp using (uid) left join away_ using (scope, uid)),
+shown_ as (select n.scope, n.pos, role, n.uid, level, gist||case when level >= 1 and body is not null then chr(10)||chr(10)||body else '' end||case when level >= 2 and detail is not null then chr(10)||chr(10)||detail else '' end as text, {mark} marker, coalesce({_case('j', 'n.uid')}, '') connective, array_to_string(notes, ' | ') notes from notes_ n left join joins_ using (scope, pos))"""
+
+
+RENDER = (SCOPES, ROLE, WRITTEN, LINES, "k as (select 'k:'||l_orderkey id, 'o:'||l_orderkey over_, list(distinct uid) positions from lines_ where l_linenumber <= 2 and l_orderkey % 5 = 0 group by l_orderkey)",
+  "who_ as (select 'o:'||o_orderkey uid, string_agg(distinct 'tool:'||o_orderstatus||' (web)', ', ' order by 'tool:'||o_orderstatus||' (web)') agents from orders where o_orderkey % 3 = 0 group by o_orderkey)",
+  "disp as (select uid, list_sort(list(distinct id||': contested, '||n||' position(s) on record')) disputes from (select id, len(positions) n, unnest(list_distinct(list_append(positions, over_))) uid from k) group by uid)",
+  "away_ as (select s.scope, s.uid, 'rests on '||string_agg(distinct e.dst, ', ' order by e.dst) away from step s join edges e on e.src = s.uid and e.kind = 'grounds' where not exists (select 1 from step t where t.scope = s.scope and t.uid = e.dst) group by s.scope, s.uid)",
+  "joins_ as (select scope, pos, (select min(e.kind) from edges e where (e.src = uid and e.dst = before or e.src = before and e.dst = uid) and uid <> before) j from (select scope, pos, uid, lag(uid) over (partition by scope order by pos) before from step))")
+
+
+def shown(spark, d, profile):
+    texts = T.units(spark, d).select("uid", "gist", "status", "source").join(bodies(spark, d), "uid")
+    who = T.table(spark, d, "orders").where("o_orderkey % 3 = 0").select(T.node("o", "o_orderkey").alias("uid"), F.concat(F.lit("tool:"), "o_orderstatus").alias("agent"), F.lit("web").alias("rung"))
+    return render.blocks(brief_steps(spark, d), texts, T.edges(spark, d), who, disputes(spark, d), profile)
+
+
+@query(sql("select * from shown_", *RENDER, _blocks_sql("exec")))
+def blocks_exec(spark, d):
+    return shown(spark, d, "exec").withColumn("notes", F.array_join("notes", " | "))
+
+
+@query(sql("select * from shown_", *RENDER, _blocks_sql("analyst")))
+def blocks_analyst(spark, d):
+    return shown(spark, d, "analyst").withColumn("notes", F.array_join("notes", " | "))
+
+
+LOWERED = "case when connective = '' then text else connective||case when regexp_matches(text, '^\\p{Lu}[\\p{Ll}\\p{Lm}\\p{Lo}''-]*(\\s|$)') then lower(text[1])||text[2:] else text end end"
+
+
+@query(sql(f"select scope, string_agg('- **'||marker||'** '||{LOWERED}, chr(10) order by pos) as text from shown_ group by scope", *RENDER, _blocks_sql("plain")))
+def render_threads(spark, d):
+    return render.markdown(shown(spark, d, "plain").withColumnRenamed("text", "gist"))
+
+
+@query(sql("select thread scope, '['||string_agg('{\"pos\":'||pos||',\"marker\":\"'||role||'\",\"connective\":\"\",\"gist\":'||to_json(text)||'}', ',' order by pos)||']' as text from steps where text is not null and role is not null group by thread"))
+def render_json(spark, d):
+    return render.as_json(turns(spark, d).where("gist is not null and marker is not null"))
 
 
 # Sources
 
+ENTRIES = "entries as (select epoch_ms(ts) \"at\", event_type provider, 'm'||(cast(json_extract(props, '$.k') as int) % 5) model, 'task'||(event_id % 3) task, case when user_id % 10 <> 0 then cast(user_id as varchar) end run, cast(json_extract(props, '$.k') as bigint) input_tokens, cast(round(value) as bigint) output_tokens, cast(event_id % 4 = 0 as int) retries, cast(json_extract(props, '$.k') as int) % 9 = 0 estimated from events)"
+SINCE = 1704844800000
+
+
+def entries(spark, d):
+    """Events as calls of models."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    return T.table(spark, d, "events").select(
+        F.expr("datediff(ts, date'1970-01-01') * 86400000L + cast((hour(ts) * 3600 + minute(ts) * 60 + extract(second from ts)) * 1000 as bigint)").alias("at"), F.col("event_type").alias("provider"), F.concat(F.lit("m"), (k % 5).cast("string")).alias("model"), F.concat(F.lit("task"), (F.col("event_id") % 3).cast("string")).alias("task"), F.when(F.col("user_id") % 10 != 0, F.col("user_id").cast("string")).alias("run"),
+        k.cast("long").alias("input_tokens"), F.round("value").cast("long").alias("output_tokens"), (F.col("event_id") % 4 == 0).cast("int").alias("retries"), (k % 9 == 0).alias("estimated"),
+    )
+
 
-@query("select event_type provider, count(*) calls, sum(cast(json_extract(props, '$.k') as bigint)) tokens from events group by event_type")
+@query(sql(" union all ".join(f"select '{by}' \"by\", coalesce({by}, '-') \"key\", count(*) calls, sum(input_tokens)::bigint input_tokens, sum(output_tokens)::bigint output_tokens, sum(retries)::bigint retries, bool_or(estimated) estimated from entries where \"at\" >= {SINCE} group by {by}" for by in ("provider", "task", "run", "model")), ENTRIES))
 def usage_ledger(spark, d):
-    """Model calls from a JSON ledger, summed by provider."""
-    e = T.table(spark, d, "events").select("event_type", F.from_json("props", "k bigint").alias("p"))
-    return e.groupBy(F.col("event_type").alias("provider")).agg(F.count("*").alias("calls"), F.sum("p.k").alias("tokens"))
+    """Calls since a time, summed in four ways."""
+    e = entries(spark, d)
+    return check.union(*[imports.totals(e, by, SINCE).select(F.lit(by).alias("by"), "*") for by in ("provider", "task", "run", "model")])
+
+
+CSV = "rows_ as (select row_number() over (order by s_suppkey) \"row\", s_suppkey, s_name, s_nationkey, s_suppkey % 7 = 0 ragged from supplier)"
+
+
+def supplier_lines(spark, d):
+    """Suppliers as comma-separated lines, every seventh with a cell too many."""
+    s_ = T.table(spark, d, "supplier")
+    line = F.concat_ws(",", "s_suppkey", F.concat(F.lit(" "), "s_name"), "s_nationkey")
+    return s_.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("s_suppkey")).cast("long").alias("row"), F.when(F.col("s_suppkey") % 7 == 0, F.concat(line, F.lit(",x"))).otherwise(line).alias("line"))
+
+
+@query(sql("select \"row\", 'data' kind, 'key '||s_suppkey||': name '||trim(s_name)||', nation '||s_nationkey gist, 5 status, 'file:suppliers.csv#row='||\"row\" source from rows_ where not ragged", CSV))
+def import_units(spark, d):
+    units, _ = imports.units_of_lines("key, name,nation", supplier_lines(spark, d), "suppliers.csv")
+    return units.drop("payload")
+
+
+@query(sql("select 'E001' code, \"row\" from rows_ where ragged", CSV))
+def import_diagnostics(spark, d):
+    return imports.units_of_lines("key, name,nation", supplier_lines(spark, d), "suppliers.csv")[1]
+
+
+BINDINGS = "bindings as (select o_custkey doc, o_orderkey pos, 'o/'||o_orderkey label, 'o:'||o_orderkey uid from orders union all select o_custkey, o_orderkey, 'c'||(o_custkey % 50)||'/last', 'o:'||o_orderkey from orders)"
+
+
+def bindings(spark, d):
+    o = T.table(spark, d, "orders")
+    return o.select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("o/"), F.col("o_orderkey").cast("string")).alias("label"), T.node("o", "o_orderkey").alias("uid")).union(o.select("o_custkey", "o_orderkey", F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string"), F.lit("/last")), T.node("o", "o_orderkey")))
+
+
+@query(sql("select label, min(uid) uid from (select doc, label, arg_max(uid, {'p': pos, 'u': uid}) uid from bindings group by doc, label) group by label", BINDINGS))
+def label_names(spark, d):
+    return imports.label_names(bindings(spark, d))[0]
+
+
+@query(sql("select 'W054' code, uid, label from (select *, min(label) over (partition by uid) least_ from (select distinct label, uid from (select doc, label, arg_max(uid, {'p': pos, 'u': uid}) uid from bindings group by doc, label))) where label <> least_", BINDINGS))
+def label_second_names(spark, d):
+    return imports.label_names(bindings(spark, d))[1]
+
+
+KEPT_SQL = """went(uid) as (select 'o:'||o_orderkey from orders where o_orderstatus = 'P' union select dst from went join (select distinct src, dst from edges) e on e.src = went.uid),
+kept_ as (select uid from went where uid in (select uid from units)),
+shaky as (select distinct dst uid from edges where kind = 'retracts' and dst in (select uid from kept_)),
+needed_ as (select distinct e.dst uid from edges e where kind in ('grounds', 'deps') and src <> dst and src in (select uid from kept_))"""
+BUNDLE_KINDS = ("grounds", "deps", "retracts", "rebuts")
+
+
+@query(sql("select uid from kept_ where uid not in (select uid from shaky) or uid in (select uid from needed_)", KEPT_SQL, kinds=BUNDLE_KINDS))
+def bundle_units(spark, d):
+    """What pending orders reach; lines hold the retracted ones' only dependents, orders, so those stay."""
+    roots = T.units(spark, d).where("kind = 'finding' and status = 1")
+    return imports.bundle(T.units(spark, d), T.edges(spark, d, BUNDLE_KINDS), roots)
+
+
+PREFIX = "prefixes as (select distinct 'o:'||substring(cast(o_orderkey as varchar), 1, 3) prefix from orders union select 'x:'||r_regionkey from region union select 'c:'||c_custkey from customer where c_custkey % 50 = 0)"
+
+
+@query(sql("select prefix, count(uid) n, case when count(uid) = 1 then min(uid) end uid from prefixes left join units on starts_with(uid, prefix) group by prefix", PREFIX))
+def resolve_prefix(spark, d):
+    o, c, r = (T.table(spark, d, n) for n in ("orders", "customer", "region"))
+    short = o.select(F.concat(F.lit("o:"), F.substring(F.col("o_orderkey").cast("string"), 1, 3)).alias("prefix"))
+    prefixes = short.union(r.select(T.node("x", "r_regionkey"))).union(c.where("c_custkey % 50 = 0").select(T.node("c", "c_custkey")))
+    return check.resolved(prefixes, T.units(spark, d)).withColumn("n", F.col("n").cast("long"))
+
+
+# Checks on bodies and declarations
+
+BODIES = "said as (select 'c:'||c_custkey uid, 'see o/'||c_custkey||', (o/'||(c_custkey * 7 % 1000)||'). Or #n:'||c_nationkey||' and #o:'||(c_custkey % 9)||'; not a/b' body from customer)"
+
+
+def said(spark, d):
+    """Customers' bodies that name orders by label and nations and orders by prefix."""
+    c = T.table(spark, d, "customer")
+    body = F.concat(F.lit("see o/"), F.col("c_custkey").cast("string"), F.lit(", (o/"), (F.col("c_custkey") * 7 % 1000).cast("string"), F.lit("). Or #n:"), F.col("c_nationkey").cast("string"), F.lit(" and #o:"), (F.col("c_custkey") % 9).cast("string"), F.lit("; not a/b"))
+    return c.select(T.node("c", "c_custkey").alias("uid"), body.alias("body"))
+
+
+TOKENS = "tokens_ as (select distinct uid, t token from (select uid, unnest(list_transform(list_filter(string_split_regex(body, '[^A-Za-z0-9:/\\-_.]'), lambda t: contains(t, '/') or starts_with(t, 'n:') or starts_with(t, 'o:')), lambda t: regexp_replace(t, '^[.\\-_]+|[.\\-_]+$', '', 'g'))) t from said) where length(t) > 0)"
+
+
+@query(sql("""select code, uid, detail from (
+  select distinct 'E020' code, uid, meant detail from (select uid, 'o:'||o_orderkey meant from tokens_ join orders on token = 'o/'||o_orderkey union select uid, u from fits where n = 1) x where uid <> meant and not exists (select 1 from edges e where e.kind in ('deps', 'grounds') and e.src = x.uid and e.dst = meant)
+  union all select 'E072', uid, token from fits where n > 1)""", BODIES, TOKENS.replace("starts_with(t, 'n:') or starts_with(t, 'o:')", "starts_with(t, 'n:')"), "fits as (select t.uid, token, count(u.uid) n, min(u.uid) u from tokens_ t join units u on starts_with(u.uid, token) where starts_with(token, 'n:') group by t.uid, token)", kinds=("deps", "grounds")))
+def check_body_closure(spark, d):
+    labels = T.table(spark, d, "orders").select(F.concat(F.lit("o/"), F.col("o_orderkey").cast("string")).alias("label"), T.node("o", "o_orderkey").alias("uid"))
+    return check.body_closure(said(spark, d), T.edges(spark, d, ("deps", "grounds")), T.units(spark, d), labels, "n:")
+
+
+@query(sql("select 'E023' code, uid, '' detail from written_ where detail is not null and body is null", WRITTEN.replace("o_orderkey % 4 = 0", "o_orderkey % 3 = 0")))
+def check_detail(spark, d):
+    """Orders with details where every third has one and every second a body."""
+    texts = bodies(spark, d).withColumn("detail", F.when(F.col("uid").startswith("o:"), F.when(F.substring("uid", 3, 20).try_cast("long") % 3 == 0, "x")).otherwise(F.col("detail")))
+    return check.detail_without_body(texts)
+
+
+@query(sql("select 'W010' code, uid, 'unknown' detail from units where kind = 'observation' union all select 'W010', uid, 'not implemented' from units where kind in ('observation', 'data')"))
+def check_unknown_kinds(spark, d):
+    return check.unknown_kinds(T.units(spark, d), ("claim", "finding", "evidence", "data", "definition"), ("claim", "finding", "evidence", "definition"))
+
+
+@query(sql("select 'E012' code, p_brand uid, '' detail from part group by p_brand having bool_or(p_type like '%1') or bool_or(p_size > 45)"))
+def check_redefinitions(spark, d):
+    """Brands as schemas that declare their parts' types and sizes; some take the kernel's names."""
+    p = T.table(spark, d, "part")
+    types = F.when(F.col("p_type").endswith("1"), "claim").otherwise(F.concat(F.lit("x."), "p_type"))
+    declared = p.groupBy(F.col("p_brand").alias("id")).agg(F.collect_set(types).alias("types"), F.collect_set(F.when(F.col("p_size") > 45, "rebuts").otherwise("x.size")).alias("relations"))
+    return check.redefinitions(declared, ("claim", "finding"), ("rebuts", "causes"))
+
+
+@query(sql("select 'W014' code, cast(event_id % 13 as varchar) uid, cast(strlen(props) as varchar) detail from events where event_id % 13 not between 1 and 10"))
+def check_unknown_records(spark, d):
+    e = T.table(spark, d, "events").select((F.col("event_id") % 13).alias("code"), F.col("props").cast("binary").alias("payload"))
+    return check.unknown_records(e, tuple(range(1, 11)))
+
+
+@query(sql("select 'E210' code, lang uid, '' detail from (select lang, count(distinct status) s, count(distinct case when trim(m) <> '' then trim(m) end) x from (select lang, status, case when lang = 'de' and status > 3 then '*' when lang = 'fr' and status = 1 then ' ' else '['||status||']' end m from (select distinct lang from docs), (select unnest([0, 1, 2, 3, 4, 5]) status) where not (lang = 'es' and status = 0)) group by lang) where s < 6 or x < 6"))
+def check_markers(spark, d):
+    """Profiles named after languages: one marks two statuses alike, one leaves a mark blank, one lacks a status."""
+    langs = T.documents(spark, d).select(F.col("lang").alias("profile")).distinct()
+    rows = langs.select("profile", F.explode(F.array(*map(F.lit, range(6)))).alias("status")).where("not (profile = 'es' and status = 0)")
+    mark = F.when((F.col("profile") == "de") & (F.col("status") > 3), "*").when((F.col("profile") == "fr") & (F.col("status") == 1), " ").otherwise(F.concat(F.lit("["), F.col("status").cast("string"), F.lit("]")))
+    return check.markers(rows.withColumn("marker", mark))
+
+
+@query(sql("select count(*) filter (code like 'E%') > 0 fails, count(*) filter (code like 'E%') errors, count(*) filter (code not like 'E%') warnings from (select 'W041' code from docs where body is not null and (T < 40 or T > 120))".replace("T", tokens("body"))))
+def check_threshold(spark, d):
+    found = check.granularity(T.documents(spark, d).where("body is not null")).where("code = 'W041'")
+    return check.fails(found, "error")
+
+
+# Scalars in full
+
+
+@query(sql("select uid, concat_ws(chr(10)||chr(10), gist, case when n % 3 >= 1 then body end, case when n % 3 >= 2 then detail end) as text, case when n % 3 >= 2 and detail is not null then 2 when n % 3 >= 1 and body is not null then 1 else 0 end level from (select u.uid, gist, body, detail, o_orderkey n from units u join written_ using (uid) join orders on u.uid = 'o:'||o_orderkey)", WRITTEN))
+def level_texts(spark, d):
+    n = F.substring("uid", 3, 20).cast("long") % 3
+    rows = T.units(spark, d).where("kind = 'finding'").join(bodies(spark, d), "uid")
+    return rows.select("uid", S.text_at(n, F.col("gist"), F.col("body"), F.col("detail")).alias("text"), S.level_within(n, F.col("body"), F.col("detail")).alias("level"))
+
+
+DATES = "written_dates as (select o_orderkey, case o_orderkey % 4 when 0 then strftime(o_orderdate, '%Y-%m-%d') when 1 then '2023-02-3'||(o_orderkey % 2) when 2 then strftime(o_orderdate, '%Y/%m/%d') else '0000-01-01' end s from orders)"
+
+
+@query(sql("select o_orderkey, case when o_orderkey % 4 = 0 then cast(try_cast(s as date) as varchar) end parsed from written_dates", DATES))
+def parsed_dates(spark, d):
+    k = F.col("o_orderkey")
+    text = F.when(k % 4 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k % 4 == 1, F.concat(F.lit("2023-02-3"), (k % 2).cast("string"))).when(k % 4 == 2, F.date_format("o_orderdate", "yyyy/MM/dd")).otherwise("0000-01-01")
+    return T.table(spark, d, "orders").select("o_orderkey", S.parsed_date(text).cast("string").alias("parsed"))
+
+
+@query("select event_id, greatest(w, n) wall, case when n > w then 0 else c + 1 end counter, greatest(w, tw, n) seen_wall, case when greatest(w, tw, n) = w and greatest(w, tw, n) = tw then greatest(c, tc) + 1 when greatest(w, tw, n) = w then c + 1 when greatest(w, tw, n) = tw then tc + 1 else 0 end seen_counter from (select event_id, user_id % 5 w, event_id % 3 c, (event_id // 7) % 5 tw, user_id % 4 tc, (event_id // 3) % 6 n from events)")
+def clocks(spark, d):
+    e = T.table(spark, d, "events")
+    w, c, tw, tc, n = F.col("user_id") % 5, F.col("event_id") % 3, F.floor(F.col("event_id") / 7) % 5, F.col("user_id") % 4, F.floor(F.col("event_id") / 3) % 6
+    return e.select("event_id", S.advanced(w, c, n).alias("a"), S.observed(w, c, tw, tc, n).alias("o")).select("event_id", "a.wall", "a.counter", F.col("o.wall").alias("seen_wall"), F.col("o.counter").alias("seen_counter"))
+
+
+@query("select conv_id, turn, case when length(t) = 0 then 'an unrepairable span with no content' when length(f) <= 60 then f else case when regexp_matches(substring(f, 1, 59), '\\s') then regexp_replace(substring(f, 1, 59), '\\s\\S*$', '') else substring(f, 1, 59) end||'\u2026' end gist from (select *, case when f0 = '' then t else f0 end f from (select conv_id, turn, t, regexp_replace(regexp_extract(t, '^[^.!?\\n]*'), '^\\s+|\\s+$', '', 'g') f0 from (select conv_id, turn, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) t from conversations where text is not null)))")
+def degraded_gists(spark, d):
+    return T.table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", S.first_sentence(F.col("text"), 60).alias("gist"))
+
+
+@query("select event_id, sha256(length(event_type)||':'||event_type||length(p)||':'||p||length(m)||':'||m) recipe, sha256(length(event_type)||':'||event_type) family from (select event_id, event_type, 'p'||(event_id % 3) p, 'm'||(user_id % 4) m from events)")
+def recipe_hashes(spark, d):
+    e = T.table(spark, d, "events")
+    p, m = F.concat(F.lit("p"), (F.col("event_id") % 3).cast("string")), F.concat(F.lit("m"), (F.col("user_id") % 4).cast("string"))
+    return e.select("event_id", S.recipe_hash(F.col("event_type"), p, m).alias("recipe"), S.recipe_hash(F.col("event_type")).alias("family"))
+
+
+@query("select page_id, case when f in ('YES', 'TRUE') then true when f in ('NO', 'FALSE') then false end holds from (select page_id, upper(regexp_replace(regexp_extract(a, '^[\\s,.:]*([^\\s,.:]+)', 1), '^[^\\p{L}]+|[^\\p{L}]+$', '', 'g')) f from (select page_id, case page_id % 6 when 0 then ' Yes, it does' when 1 then '**NO**: none' when 2 then 'true.' when 3 then 'perhaps yes' when 4 then ', (False) x' else url end a from pages))")
+def read_answers(spark, d):
+    k = F.col("page_id") % 6
+    text = F.when(k == 0, " Yes, it does").when(k == 1, "**NO**: none").when(k == 2, "true.").when(k == 3, "perhaps yes").when(k == 4, ", (False) x").otherwise(F.col("url"))
+    return T.table(spark, d, "pages").select("page_id", S.answer(text).alias("holds"))
+
+
+@query("select p_partkey, o <> '' and (contains(s, o) or (contains(o, s) and strlen(s) >= strlen(o) // 2)) same from (select p_partkey, regexp_replace(lower(p_name), '[^\\p{L}\\p{N}._/]', '', 'g') o, regexp_replace(lower(case p_partkey % 4 when 0 then 'the '||upper(p_name) when 1 then substring(p_name, 1, 3) when 2 then substring(p_name, 2) else p_brand end), '[^\\p{L}\\p{N}._/]', '', 'g') s from part)")
+def same_sources(spark, d):
+    k = F.col("p_partkey") % 4
+    said_ = F.when(k == 0, F.concat(F.lit("the "), F.upper("p_name"))).when(k == 1, F.substring("p_name", 1, 3)).when(k == 2, F.substring("p_name", 2, 1000)).otherwise(F.col("p_brand"))
+    return T.table(spark, d, "part").select("p_partkey", S.same_source(F.col("p_name"), said_).alias("same"))
+
+
+HEDGED = "case status " + " ".join(f"when {i} then '{h}'" for i, h in enumerate(S.HEDGES)) + " end"
+
+
+@query(sql(f"select uid, {HEDGED}||' '||case when regexp_matches(gist[2], '^\\p{{Ll}}') then lower(gist[1])||gist[2:] else gist end||coalesce(', according to the document '||substring(source, 5), '')||'.' sentence from units"))
+def stated_units(spark, d):
+    return T.units(spark, d).select("uid", S.stated(F.col("status"), F.col("gist"), F.col("source")).alias("sentence"))
+
+
+@query("select n, case when n % 5 = 3 then null when n % 5 = 1 then n * 1000 else n end budget from (select p_partkey n from part)")
+def parsed_budgets(spark, d):
+    n = F.col("p_partkey")
+    text = F.when(n % 5 == 3, F.concat(n.cast("string"), F.lit("kk"))).when(n % 5 == 1, F.concat(n.cast("string"), F.lit("k"))).otherwise(n.cast("string"))
+    return T.table(spark, d, "part").select(n.alias("n"), S.parsed_budget(text).alias("budget"))
+
+
+@query("select doc_id, nfc_normalize(regexp_replace(substring(text, 1, 300), '[e\u00e9]', 'e\u0301', 'g')) as text from documents where text is not null")
+def composed_texts(spark, d):
+    return T.table(spark, d, "documents").where("text is not null").select("doc_id", S.composed(F.regexp_replace(F.substring("text", 1, 300), "[e\u00e9]", "e\u0301")).alias("text"))
+
+
+@query(sql("select uid, kind, list_position(['claim', 'evidence', 'finding'], kind) - 1 code from units"))
+def kind_codes(spark, d):
+    return T.units(spark, d).select("uid", "kind", S.member(F.col("kind"), ("claim", "evidence", "finding")).alias("code"))

@@ -15,18 +15,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read again: cuts the lineage of loops."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+def _own_dir(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="evidra-"))
         root = sc.getCheckpointDir()
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/evidra-{sc.applicationId}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the folder in spark.checkpoint.dir and read again: cuts the lineage of loops.
+
+    Without that setting a local session gets a temporary folder, and a cluster an
+    error: its machines share no local folder.
+    """
+    spark = df.sparkSession
+    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote on its way: for its owner to call when results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @dataclass
 class Store:
     """units(uid, kind, gist, status, source); edges(src, dst, kind); attestations(uid, agent, hop,
@@ -119,7 +136,7 @@ def attestations(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda m: F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in m.items()])
     return table(spark, sf_dir, "events").select(
         node("c", "user_id").alias("uid"), F.concat(F.lit("tool:"), "event_type").alias("agent"), F.datediff("ts", F.lit("2024-01-01")).cast("int").alias("hop"),
-        pick(EVENT_RUNG).alias("rung"), pick(EVENT_OP).alias("op"), F.get_json_object("props", "$.k").cast("int").alias("recipe"), node("e", F.col("event_id") % 50).alias("parent"), "event_id",
+        pick(EVENT_RUNG).alias("rung"), pick(EVENT_OP).alias("op"), F.get_json_object("props", "$.k").cast("int").alias("recipe"), (F.get_json_object("props", "$.k").cast("int") % 7).alias("family"), node("e", F.col("event_id") % 50).alias("parent"), "event_id",
     )
 
 

@@ -1,100 +1,15 @@
-import itertools
-import random
 import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from evidra.functions import scalars as S
-from evidra.operators import check, chunk, graph, merge, pack, retrieve
+from evidra.operators import check, graph, merge, retrieve
 from evidra.sources import store as T
 
 EDGES = "src string, dst string, kind string"
 
 
-def test_chunks(spark):
-    rng = random.Random(4)
-    bodies = ["\n".join("x" * rng.randint(0, 60) for _ in range(rng.randint(0, 30))) for _ in range(40)] + [None, "", "é" * 300, "\n\n \n"]
-    docs = spark.createDataFrame(list(enumerate(bodies)), "uid long, body string")
-    got = {}
-    for r in chunk.chunks(docs, 20).orderBy("uid", "chunk").collect():
-        got.setdefault(r.uid, []).append(r.text)
-    for uid, body in enumerate(bodies):
-        out, open_ = [], []
-        fits = lambda ps: -(-len("\n".join(ps).encode()) // 4) <= 20
-        for p in (p for p in (body or "").split("\n") if p.strip(" ")):
-            if not open_ or fits([*open_, p]):
-                open_.append(p)
-            else:
-                out.append(open_)
-                open_ = [open_[-1], p] if fits([open_[-1], p]) else [p]
-        assert got.get(uid, []) == ["\n".join(c) for c in [*out, open_] if c]
-    at = {r.pos: (r.start_byte, r.n_bytes) for r in chunk.paragraphs(spark.createDataFrame([(1, "é\n\n\n\nab")], "uid long, body string")).collect()}
-    assert at == {0: (0, 2), 2: (6, 2)}
-
-
-def test_packs_by_force(spark):
-    rng = random.Random(8)
-    members, edges = [], []
-    for scope in range(12):
-        names = [f"{scope}-{i}" for i in range(8)]
-        members += [(scope, n, rng.randint(1, 9), rng.randint(1, 1024) / 1024) for n in names]
-        edges += [(*rng.sample(names, 2), rng.choice(["deps", "grounds", "rebuts", "causes"])) for _ in range(6)]
-    m, e = spark.createDataFrame(members, "scope int, uid string, cost long, value double").cache(), spark.createDataFrame(edges, EDGES).cache()
-    need = {}
-    for r in pack.needs(m, e).collect():
-        need.setdefault((r.scope, r.uid), set()).add(r.need)
-    best = {r.scope: r.value for r in pack.exact(m, e, 18).collect()}
-    greedy = {}
-    for r in pack.greedy(m, e, 18).collect():
-        greedy.setdefault(r.scope, set()).add(r.uid)
-    bounds = {r.scope: r.bound for r in pack.bound(m, 18).collect()}
-    for scope in range(12):
-        own = [x for x in members if x[0] == scope]
-        value = lambda s: sum(x[3] for x in own if x[1] in s)
-        sets = [set(c) for n in range(9) for c in itertools.combinations([x[1] for x in own], n) if sum(x[2] for x in own if x[1] in c) <= 18]
-        top = max(value(s) for s in sets if all(need.get((scope, u), set()) <= s for u in s))
-        assert best[scope] == pytest.approx(top, abs=1e-3) and value(greedy.get(scope, set())) <= top + 1e-9 and bounds[scope] >= top - 1e-3
-    assert pack.violations(pack.greedy(m, e, 18), m, e, 18).count() == 0
-
-
-def test_exact_packs_of_large_scopes(spark):
-    """Every scope has a row: proven where a table over budgets agrees, with a gap beyond the limits."""
-    rng = random.Random(5)
-    sizes = {0: 30, 1: 40, 2: 60, 3: 3}
-    members = [(s, f"{s}-{i:02}", rng.randint(2, 9), rng.randint(1, 1024) / 1024) for s, n in sizes.items() for i in range(n)]
-    m = spark.createDataFrame(members, "scope int, uid string, cost long, value double").cache()
-    # in scope 1 each of four heads needs three others; in the rest nothing needs anything
-    heads = {f"1-{4 * i:02}": [f"1-{4 * i + k:02}" for k in (1, 2, 3)] for i in range(4)}
-    e = spark.createDataFrame([(h, x, "grounds") for h, needs in heads.items() for x in needs], EDGES).cache()
-
-    def best(items, budget):
-        top = [0.0] * (budget + 1)
-        for c, v in items:
-            for b in range(budget, c - 1, -1):
-                top[b] = max(top[b], top[b - c] + v)
-        return top[budget]
-
-    want = {}
-    for s in sizes:
-        own = {u: (c, v) for x, u, c, v in members if x == s}
-        tops = []
-        for n in range(5):
-            for taken in itertools.combinations(heads if s == 1 else (), n):
-                given = {x for h in taken for x in [h, *heads[h]]}
-                left = 40 - sum(own[x][0] for x in given)
-                if left >= 0:
-                    tops.append(sum(own[x][1] for x in given) + best([x for u, x in own.items() if u not in given and not (s == 1 and u in heads)], left))
-        want[s] = max(tops)
-    got = {r.scope: r for r in pack.exact(m, e, 40).collect()}
-    assert set(got) == set(sizes) and all(r.proven and r.gap == 0 and r.value == pytest.approx(want[s], abs=1e-3) for s, r in got.items())
-    bounds = {r.scope: r.bound for r in pack.bound(m, 40).collect()}
-    for limits in ({"units": 35}, {"node_limit": 3}):
-        less = {r.scope: r for r in pack.exact(m, e, 40, **limits).collect()}
-        assert set(less) == set(sizes) and less[3].proven and not less[2].proven
-        assert all(r.value <= want[s] + 1e-3 and (r.gap == 0 if r.proven else r.gap == pytest.approx((bounds[s] - r.value) / bounds[s], abs=1e-3)) for s, r in less.items())
-
-
 def test_traversal_with_cycle_and_copies(spark):
     e = spark.createDataFrame([("a", "b", "deps"), ("b", "c", "grounds"), ("c", "a", "deps"), ("c", "d", "deps"), ("c", "d", "deps"), ("x", "y", "causes")], EDGES)
     roots = spark.createDataFrame([("a",), ("a",), ("q",)], "uid string")
