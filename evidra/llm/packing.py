@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,15 +134,18 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_
     return rows.mapInArrow(cut, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, number long, whole boolean")
 
 
-def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _wide(ids: pa.Array, length: np.ndarray) -> pa.Array:
     """ids of two bytes made ids of four."""
+    sizes = pc.binary_length(ids).to_numpy(zero_copy_only=False)
+    if not len(ids) or not (sizes == 2 * length).all():
+        return ids
+    data = np.frombuffer(b"".join(ids.to_pylist()), "<u2").astype("<u4").tobytes()
+    return _binary(data, np.cumsum(4 * length))
+
+
+def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, length = batch.column("ids"), batch.column("length").to_numpy()
-        sizes = np.diff(np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1])
-        if len(ids) and (sizes == 2 * length).all():
-            data = np.frombuffer(b"".join(ids.to_pylist()), "<u2").astype("<u4").tobytes()
-            batch = batch.set_column(batch.schema.get_field_index("ids"), "ids", _binary(data, np.cumsum(4 * length)))
-        yield batch
+        yield batch.set_column(batch.schema.get_field_index("ids"), "ids", _wide(batch.column("ids"), batch.column("length").to_numpy()))
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 1, capacity: int = CAPACITY, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
@@ -169,8 +173,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         number = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
         offset = np.concatenate([np.cumsum(sizes[w]) - sizes[w] for w in windows])
         sequence = (block.column("block").to_numpy()[0] << 32) + number
-        return block.take(pa.array(row)).append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64())).select(columns)
+        block = block.take(pa.array(row)).combine_chunks()
+        block = block.set_column(block.schema.get_field_index("ids"), "ids", _wide(block.column("ids").combine_chunks(), block.column("length").to_numpy()))
+        return block.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64())).select(columns)
 
     dealt = rest.withColumn("block", F.pmod(F.xxhash64("number"), F.lit(blocks)).cast("long")).drop("whole")
     alone = pieces.where("whole").withColumn("sequence_id", -1 - F.col("number")).withColumn("offset", F.lit(0).cast("long"))
-    return alone.select(*columns).union(dealt.groupBy("block").applyInArrow(packed, schema)).mapInArrow(_widened, schema)
+    # each branch has one Python stage, so a task never needs two workers at once
+    return alone.select(*columns).mapInArrow(_widened, schema).union(dealt.groupBy("block").applyInArrow(packed, schema))

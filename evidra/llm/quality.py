@@ -37,6 +37,8 @@ SPARE = 4
 WORD_BITS, SHAPES, LEVELS = 17, 6, 16
 #: Strengths of the penalty on weights, steps of the fit.
 PENALTY, STEPS = 2.0, 200
+#: Text bytes that evidence is worked out for at a time.
+EVIDENCE_BYTES = 3 << 20
 #: Labelled documents that must hold a word for it to be a feature.
 LEAST_ROWS = 5
 #: ... and by how many standard errors its share must differ between the classes.
@@ -190,10 +192,14 @@ def evidence(docs: DataFrame, model: Both, id_col: str, host_col: str, path_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.record_batch([batch.column("row").field(text_col)], ["text"])
-            odds = np.concatenate([shared.value.log_odds(*features(part.column("text"))) for part in slices(iter([texts]), limit=8 << 20)] or [np.zeros(0)])
+            texts = pa.record_batch([batch.column("row").field(text_col), pa.array(range(batch.num_rows), pa.int64())], ["text", "at"])
             batch = batch if whole else batch.remove_column(batch.schema.get_field_index("row"))
-            yield batch.append_column("log_odds", pa.array(np.round(odds, 6)))
+            # small parts are handed on at once, so a task holds one batch and little more
+            for part in slices(iter([texts]), limit=EVIDENCE_BYTES):
+                odds = shared.value.log_odds(*features(part.column("text")))
+                yield batch.slice(part.column("at")[0].as_py(), part.num_rows).append_column("log_odds", pa.array(np.round(odds, 6)))
+            del batch, texts
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema)
 

@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, digest = b" ", xxhash.xxh64_intdigest
-        for batch in slices(batches, limit=4 << 20):
+        for batch in slices(batches, limit=2 << 20):
             hashes, ends = [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 words = text.lower().split()

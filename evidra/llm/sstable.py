@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept, shared_dir, text_of
-from .tokens import ENCODED_BYTES, default_vocabulary, encoder_of, slices, with_end
+from .tokens import ENCODED_BYTES, default_vocabulary, encoder_of, slices, vocabulary_size, with_end
 
 MAGIC = b"EVSST1\0\0"
 HEADER, ENTRY, BLOCK_REF, FOOTER = "<8sB7x", "<BBI", "<QQQ", "<6QII8s"
@@ -241,18 +241,19 @@ def write_shards(docs: DataFrame, out: str | None = None, id_col: str = "doc_id"
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("digest"), F.monotonically_increasing_id().alias("serial"), (F.octet_length(text) + 1).alias("bytes"), text.alias("text"))
     ranges = _ranges(rows, shard_bytes)
+    width = 2 if max(vocabulary_size(vocabulary), end_id + 1) <= 1 << 16 else 4
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=ENCODED_BYTES):
             encoder = encoder_of(vocabulary)
             ids, offsets = with_end(*encoder.ids(batch.column("text")), end_id)
-            data = ids.astype("<u2" if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
+            data = ids.astype(f"<u{width}")
             ids = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((offsets * data.itemsize).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
             part = np.searchsorted(ranges, _keys(batch)[0], side="right")
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(batch.column(c) for c in ("id", "digest", "serial")), ids], ["part", "id", "digest", "serial", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        attempt, encoder, part, writer, first, key = TaskContext.get().taskAttemptId(), None, None, None, None, None
+        attempt, part, writer, first, key = TaskContext.get().taskAttemptId(), None, None, None, None
         fs, root = pafs.FileSystem.from_uri(out)
         name = lambda: f"part-{part:06d}-{run}-{attempt}.sst"
         schema = pa.schema([("part", pa.int32()), ("path", pa.string()), *((c, pa.int64()) for c in ("entries", "tokens", "bytes", "first_id", "last_id"))])
@@ -263,8 +264,6 @@ def write_shards(docs: DataFrame, out: str | None = None, id_col: str = "doc_id"
             return pa.RecordBatch.from_pylist([{"part": part, "path": f"{out}/{name()}", "entries": len(writer.keys), "tokens": writer.tokens, "bytes": writer.at, "first_id": identifier_of(first), "last_id": identifier_of(key)}], schema=schema)
 
         for batch in batches:
-            encoder = encoder or encoder_of(vocabulary)
-            width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
             for own, doc, ids in zip(batch.column("part").to_pylist(), batch.column("id").to_pylist(), batch.column("ids")):
                 key = key_of(doc) if own == part else key
                 if own != part:

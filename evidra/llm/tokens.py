@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes of a batch, and of one that is encoded: bounds a task's memory whatever a batch holds.
-BATCH_BYTES, ENCODED_BYTES = 24 << 20, 6 << 20
+BATCH_BYTES, ENCODED_BYTES = 24 << 20, 3 << 20
 #: Words whose ids a worker remembers (about 50 bytes each); beyond it only those of the last batch stay.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Lower-case letters of the Latin alphabet and of western Europe, each one code point.
 LETTERS = "".join(map(chr, [*range(ord("a"), ord("z") + 1), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
 #: Stands between words encoded in one call. Its byte occurs in no other character, so its id splits the ids again.
@@ -133,6 +133,12 @@ class WordEncoder:
         return ids, ends[offsets]
 
 
+def vocabulary_size(vocabulary: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary).get_vocab_size()
+
+
 @functools.lru_cache(maxsize=1)
 def encoder_of(vocabulary: str) -> WordEncoder:
     """The process's encoder: a worker's later tasks start with the words of earlier ones."""
