@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import CONTAINED, WIDTH
 from .quality_rules import LEAST_WORDS, LEFT_SHARE, LINE_DOCUMENTS, LINE_LEAST, LINE_SHARE
+from .substrings import WIDTH as PASSAGE
 from .url_filter import BASE, HELD_OUT, ORDER, RULES
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
@@ -33,6 +34,17 @@ counted as (select doc_id, len(w) n_words, coalesce(list_sum(list_transform(w, l
 select *, n_words < {LEAST_WORDS} or 100 * n_repeat_words > 50 * n_words base_failed, not (n_words < {LEAST_WORDS} or 100 * n_repeat_words > 50 * n_words) and words_left >= {LEFT_SHARE}::double * n_words and words_left >= {LEAST_WORDS} kept from counted"""
 
 
+PASSAGES = rf"""
+with docs as (select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') w from documents),
+places as (select r, doc_id, unnest(range(1, len(w) - {PASSAGE} + 2)) i, w from docs),
+windows as (select r, doc_id, i, md5(array_to_string(w[i:i + {PASSAGE - 1}], ' ')) s from places),
+least as (select s, min(doc_id) least from windows group by s),
+gone as (select distinct r, i + k i from windows join least using (s), (select unnest(range(0, {PASSAGE})) k) where least < coalesce(doc_id, {2**63 - 1})),
+removed as (select r, list(i) at from gone group by r),
+lefts as (select doc_id, w, coalesce(len(at), 0) n, case when at is null then w else list_filter(w, lambda x, i: not list_contains(at, i)) end l from docs left join removed using (r))
+select doc_id, len(w) n_words, n n_removed, sha256(array_to_string(l, ' ')) kept_sha256 from lefts"""
+
+
 def _urls() -> str:
     rules = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     fits = [f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then" for _, h, p in rules]
