@@ -117,22 +117,94 @@ def ordered(edges: DataFrame, members: DataFrame, kinds: tuple[str, ...] = ORDER
             waits[u] = len(below)
             for d in below:
                 above.setdefault(d, []).append(u)
-        heap = [u for u, n in waits.items() if not n]
-        heapq.heapify(heap)
-        out = []
-        while heap:
-            u = heapq.heappop(heap)
-            out.append(u)
-            for x in above.get(u, ()):
-                waits[x] -= 1
-                if not waits[x]:
-                    heapq.heappush(heap, x)
+        out = kahn(waits, above)
         rest = sorted(u for u, n in waits.items() if n > 0)
         return pd.DataFrame({"scope": pdf.scope.iloc[0], "uid": out + rest, "index": range(len(out) + len(rest)), "cyclic": [False] * len(out) + [True] * len(rest)})
 
     return rows.groupBy("scope").applyInPandas(solve, f"scope {dict(members.dtypes)['scope']}, uid string, index int, cyclic boolean")
 
 
+def components(pairs: DataFrame) -> DataFrame:
+    """(uid, head): the least name that pairs(src, dst) join with each of their ends, whatever their direction.
+
+    Each node takes the least head among its neighbours' and its own, hands it to the
+    node that its head names, so whole trees hang on at once, and goes on to its head's
+    head: rounds grow with the logarithm of the longest path. A round is written, and
+    what the round before wrote is what it reads.
+    """
+    both = written(pairs.select("src", "dst").union(pairs.select("dst", "src")).where("src <> dst").distinct())
+    heads = written(pairs.select(F.col("src").alias("uid")).union(pairs.select("dst")).distinct().join(both.groupBy(F.col("src").alias("uid")).agg(F.min("dst").alias("low")), "uid", "left").select("uid", F.least("uid", F.coalesce("low", "uid")).alias("head")))
+    while True:
+        near = both.join(heads, F.col("dst") == F.col("uid")).groupBy(F.col("src").alias("uid")).agg(F.min("head").alias("near"))
+        low = heads.join(near, "uid", "left").select("uid", F.col("head").alias("was"), F.least("head", F.coalesce("near", "head")).alias("head"))
+        hung = low.where("head < was").groupBy(F.col("was").alias("uid")).agg(F.min("head").alias("hung"))
+        low = written(low.join(hung, "uid", "left").select("uid", "was", F.least("head", F.coalesce("hung", "head")).alias("head")))
+        up = low.select(F.col("uid").alias("head"), F.col("head").alias("up"))
+        new = written(low.join(up, "head", "left").select("uid", "was", F.least("head", F.coalesce("up", "head")).alias("head")))
+        heads = new.select("uid", "head")
+        if new.where("head < was").isEmpty():
+            return heads
+
+
+def store_order(edges: DataFrame, units: DataFrame, kinds: tuple[str, ...] = ORDERING) -> DataFrame:
+    """(uid, index, cyclic): the order of the whole store, what a unit rests on first, always the least unit that is ready.
+
+    An edge points from the later unit to the earlier one; ends that no unit has are
+    in the order too. What cycles hold back comes last, by name. Each weakly connected
+    component is ordered alone, by a grouped function. In the order of all of them the
+    next unit is always the least of the components' next ones, so a unit comes where
+    the greatest name up to its place in its own component comes: one sort of those
+    gives the whole order, and no task holds more than a component or a range of it.
+    """
+    pairs = written(of_kinds(edges, kinds))
+    heads = components(pairs)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        waits, above = {}, {}
+        for u, d in zip(pdf.src, pdf.dst):
+            waits[u] = waits.get(u, 0) + 1
+            waits.setdefault(d, 0)
+            above.setdefault(d, []).append(u)
+        out = kahn(waits, above)
+        high, rows = "", []
+        for u in out:
+            high = max(high, u)
+            rows.append((u, high, len(rows), False))
+        done = set(out)
+        return pd.DataFrame(rows + [(u, u, 0, True) for u in waits if u not in done], columns=["uid", "high", "place", "cyclic"])
+
+    joined = pairs.join(heads.select(F.col("uid").alias("src"), "head"), "src").groupBy("head").applyInPandas(solve, "uid string, high string, place long, cyclic boolean")
+    alone = units.select("uid").distinct().join(heads, "uid", "left_anti").select("uid", F.col("uid").alias("high"), F.lit(0).cast("long").alias("place"), F.lit(False).alias("cyclic"))
+    key = ["cyclic", "high", "place"]
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(joined.union(alone).repartitionByRange(parts, *key).sortWithinPartitions(*key).withColumn("at", F.monotonically_increasing_id()))
+    # the number within a range, after all rows of the ranges before: one count for each range
+    part, sizes = F.shiftright("at", 33), {}
+    for r in ranged.groupBy(part.alias("part")).count().collect():
+        sizes[r["part"]] = r["count"]
+    before, n = [], 0
+    for i in range(max(sizes, default=-1) + 1):
+        before.append(n)
+        n += sizes.get(i, 0)
+    starts = F.array(*[F.lit(b).cast("long") for b in before or [0]])
+    return ranged.select("uid", (F.get(starts, part.cast("int")) + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("index"), "cyclic")
+
+
+def kahn(waits: dict, above: dict) -> list:
+    """What waits for nothing, least name first, and what it frees (above). waits counts down; cycles stay out."""
+    heap = [u for u, n in waits.items() if not n]
+    heapq.heapify(heap)
+    out = []
+    while heap:
+        u = heapq.heappop(heap)
+        out.append(u)
+        for x in above.get(u, ()):
+            waits[x] -= 1
+            if not waits[x]:
+                heapq.heappush(heap, x)
+    return out
+
+
 def cycles(edges: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """(uid, on_path): nodes that a topological order leaves over.
 

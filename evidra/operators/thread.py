@@ -58,18 +58,18 @@ def seed(members: DataFrame, roots: DataFrame | None = None) -> DataFrame:
 
 
 def placed(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """members with index, pos, n, first and last: each unit's place in its scope's ordering chain.
+    """members with index, pos, n, first and last: each unit's place along the store's ordering edges.
 
-    index is the place in the order of graph.ordered; pos ranks a scope's units by
-    index, then name, and n is how many there are. first has no ordering edge out,
-    last none in, within the scope; a unit without any is neither.
+    All ordering edges count, wherever their ends are. index is the place in the order
+    of the whole store (graph.store_order); pos ranks a scope's units by index, then
+    name, and n is how many there are. first has no ordering edge out, last none in; a
+    unit without any is neither.
     """
-    order = graph.ordered(edges, members.select("scope", "uid")).select("scope", "uid", "index")
-    of = lambda end: members.select("scope", F.col("uid").alias(end))
-    within = graph.of_kinds(edges, graph.ORDERING).join(of("src"), "src").join(of("dst"), ["scope", "dst"])
-    out = within.select("scope", F.col("src").alias("uid")).distinct().withColumn("is_out", F.lit(True))
-    into = within.select("scope", F.col("dst").alias("uid")).distinct().withColumn("is_in", F.lit(True))
-    rows = members.join(order, ["scope", "uid"]).join(out, ["scope", "uid"], "left").join(into, ["scope", "uid"], "left")
+    order = graph.store_order(edges, members).select("uid", "index")
+    pairs = graph.of_kinds(edges, graph.ORDERING)
+    out = pairs.select(F.col("src").alias("uid")).distinct().withColumn("is_out", F.lit(True))
+    into = pairs.select(F.col("dst").alias("uid")).distinct().withColumn("is_in", F.lit(True))
+    rows = members.join(order, "uid").join(out, "uid", "left").join(into, "uid", "left")
     w = Window.partitionBy("scope")
     chain = F.col("is_out").isNotNull() | F.col("is_in").isNotNull()
     pos = F.row_number().over(w.orderBy("index", "uid")) - 1
@@ -192,13 +192,41 @@ def salience_seed(steps: DataFrame) -> DataFrame:
 
 
 def gists(steps: DataFrame, texts: DataFrame, schema: str, budget: int = 30) -> DataFrame:
-    """(scope, gist): the first gists of the two heaviest roles, joined, cut at a word to the budget.
+    """(scope, gist): the gists of the first steps of the two heaviest roles, joined, cut at a word to the budget.
 
-    Without either role it is the first step's gist. texts has uid and gist.
+    A first step whose unit is absent says nothing for its role. Where neither says
+    anything it is the first step's gist, or the empty text if that is absent too.
+    texts has uid and gist.
     """
     heavy = sorted(SCHEMAS[schema].roles, key=lambda r: -r[3])[:2]
     rank = F.coalesce(*[F.when(F.col("role") == r[0], F.lit(i)) for i, r in enumerate(heavy)], F.lit(2))
-    said = steps.join(texts.select("uid", F.trim("gist").alias("gist")), "uid").withColumn("rank", rank)
+    said = steps.join(texts.select("uid", F.trim("gist").alias("gist")), "uid", "left").withColumn("rank", rank)
     first = said.groupBy("scope").agg(*[F.min(F.when(F.col("rank") == i, F.struct("pos", "gist")))["gist"].alias(f"g{i}") for i in (0, 1)], F.min(F.struct("pos", "gist"))["gist"].alias("any"))
-    joined = first.select("scope", F.coalesce(F.when(F.col("g0").isNotNull() | F.col("g1").isNotNull(), F.concat_ws("; ", "g0", "g1")), F.col("any")).alias("gist"))
+    joined = first.select("scope", F.coalesce(F.when(F.col("g0").isNotNull() | F.col("g1").isNotNull(), F.concat_ws("; ", "g0", "g1")), F.col("any"), F.lit("")).alias("gist"))
     return joined.select("scope", S.cut_to(F.col("gist"), budget).alias("gist"))
+
+
+@dataclass(frozen=True)
+class Derived:
+    """steps(scope, pos, role, uid, needed_by): needed_by is the unit that an inserted step was put before, else null;
+    unfilled(scope, role, missing): roles without the units they need; unselected(scope, n): members that are no step."""
+
+    steps: DataFrame
+    unfilled: DataFrame
+    unselected: DataFrame
+
+
+def derive(members: DataFrame, edges: DataFrame, units: DataFrame, schema: str) -> Derived:
+    """A thread of each scope: roles, the best of each, in order, with what they depend on before them.
+
+    members(scope, uid, kind, salience, status) are a scope's units; edges and units
+    are the store's. Members that no unit has take no part.
+    """
+    here = written(placed(members.join(units.select("uid"), "uid", "left_semi").select(*members.columns), edges))
+    chosen = written(selected(roles(here, edges, schema), schema))
+    steps = written(repaired(ordered(chosen, schema), edges, units))
+    count = lambda df, name: df.groupBy("scope").agg(F.count("*").alias(name))
+    left = count(here, "all").join(count(steps, "taken"), "scope", "left").select("scope", F.greatest(F.col("all") - F.coalesce("taken", F.lit(0)), F.lit(0)).alias("n"))
+    return Derived(steps, unfilled(chosen, here, schema), left)
+
+

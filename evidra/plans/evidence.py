@@ -195,6 +195,12 @@ def rebuttals_of(spark, d):
     return graph.neighbours(T.edges(spark, d, ("rebuts",)), T.units(spark, d).where("kind = 'finding'"), ("rebuts",), incoming=True)
 
 
+@query(sql("select uid, row_number() over (order by coalesce(high, uid), coalesce(place, 0)) - 1 as index, false cyclic from units left join placed_ using (uid)", "placed_ as (select 'o:'||o_orderkey uid, row_number() over w place, max('o:'||o_orderkey) over w high from orders window w as (partition by o_custkey order by o_totalprice desc, o_orderkey desc rows unbounded preceding))"))
+def store_order(spark, d):
+    """The order of the whole store along causes, a path for each customer: what rests on nothing first, always the least unit that is ready."""
+    return graph.store_order(T.edges(spark, d, ("causes",)), T.units(spark, d), ("causes",))
+
+
 @query(sql("select uid, cast(max(level) as int) level from down group by uid", SUPPORT_PAIRS, "down(uid, level) as (select uid, 0 from (select src uid from pairs union select dst from pairs) where uid not in (select src from pairs) union select src, level+1 from down join pairs on dst = uid)", kinds=('grounds', 'deps')))
 def topo_levels(spark, d):
     return graph.levels(support(spark, d))

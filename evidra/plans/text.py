@@ -72,15 +72,14 @@ QUOTES = "quotes as (select uid, body, (row_number() over (order by uid)) % 1 z,
 FOLD = "lower(trim(regexp_replace(translate({c}, '\u2018\u2019\u201b\u201c\u201d\u201f\u2010\u2011\u2012\u2013\u2014\u2015\u2212\u00a0', '\'\'\'\'\'\'\"\"\"------- '), '\\s+', ' ', 'g')))"
 
 
-@query(sql("""select uid, case when length(fq) = 0 then 'absent' when contains(ft, fq) then 'present' when len(ws) = 0 then 'absent' when loose then 'loose' else 'absent' end support from (
-  select uid, fq, ft, ws, list_reduce(list_prepend(0, list_transform(string_split(ft, ' '), lambda h: 0)), lambda i, h: i) z, (with recursive t(i, k) as (select 0, 0 union all select i + 1, case when k < len(ws) and (contains(hs[i + 1], ws[k + 1]) or contains(ws[k + 1], hs[i + 1])) then k + 1 else k end from t where i < len(hs)) select max(k) = len(ws) from t) loose from (
-  select uid, fq, ft, string_split(ft, ' ') hs, list_filter(string_split(fq, ' '), lambda w: w <> '' and not regexp_matches(w, '^[.\u2026\\[\\]]+$')) ws from (select uid, {fq} fq, {ft} ft from quotes)))""".replace("list_reduce(list_prepend(0, list_transform(string_split(ft, ' '), lambda h: 0)), lambda i, h: i) z, ", "").replace("{fq}", FOLD.format(c="q")).replace("{ft}", FOLD.format(c="substring(body, 1, 400)")), QUOTES.replace(", (row_number() over (order by uid)) % 1 z", "")))
+@query(sql("""select uid, case when length(fq) = 0 then 'absent' when contains(ft, fq) then 'present' when len(ws) > 0 and list_reduce(string_split(ft, ' '), lambda k, h: case when k::int < len(ws) and (contains(h, ws[k::int + 1]) or contains(ws[k::int + 1], h)) then (k::int + 1)::varchar else k end, '0')::int = len(ws) then 'loose' else 'absent' end support
+  from (select uid, fq, ft, list_filter(string_split(fq, ' '), lambda w: w <> '' and not regexp_matches(w, '^[.\u2026\\[\\]]+$')) ws from (select uid, {fq} fq, {ft} ft from quotes))""".replace("{fq}", FOLD.format(c="q")).replace("{ft}", FOLD.format(c="body")), QUOTES.replace(", (row_number() over (order by uid)) % 1 z", "")))
 def quote_support(spark, d):
     """Quotes from the beginnings of texts: verbatim, with words left out, with a word that is not there, of marks alone."""
     docs = T.documents(spark, d).where("body is not null").withColumn("w", F.filter(F.split("body", r"\s+"), lambda x: x != "")).where(F.size("w") > 6)
     k, w = F.substring("uid", 3, 20).cast("long") % 4, lambda i: F.get("w", F.lit(i))
     quote = F.when(k == 0, F.trim(F.substring("body", 1, 40))).when(k == 1, F.concat(w(0), F.lit(" \u2026 "), w(2), F.lit(" [...] "), w(5))).when(k == 2, F.concat(w(0), F.lit(" "), w(1), F.lit(" qqzx"))).otherwise("...")
-    return docs.select("uid", S.quote_support(quote, F.substring("body", 1, 400)).alias("support"))
+    return docs.select("uid", S.quote_support(quote, F.col("body")).alias("support"))
 
 
 # Retrieval
@@ -404,14 +403,12 @@ def thread_schemas(spark, d):
 
 
 PLACES = """ord as (select distinct src, dst from edges where kind = 'causes'),
-within_ as (select scope, src, dst from ord join (select scope, uid from members) a on a.uid = src join (select scope s2, uid u2 from members) b on u2 = dst and s2 = scope),
-deep(scope, uid, level) as (select scope, uid, 0 from members union select w.scope, w.src, level + 1 from deep x join within_ w on w.scope = x.scope and w.dst = x.uid),
-ends_ as (select scope, uid, exists (select 1 from within_ w where w.scope = m.scope and w.src = m.uid) o, exists (select 1 from within_ w where w.scope = m.scope and w.dst = m.uid) i from members m)"""
+outs_ as (select distinct src uid, true o from ord), ins_ as (select distinct dst uid, true i from ord)"""
 
 
-@query(sql("select scope, uid, (o or i) and not o \"first\", (o or i) and not i \"last\" from ends_", SCOPES, PLACES.split("deep(scope")[0] + "ends_" + PLACES.split("ends_", 1)[1], kinds=("grounds", "causes")))
+@query(sql("select scope, uid, i is not null and o is null \"first\", o is not null and i is null \"last\" from members left join outs_ using (uid) left join ins_ using (uid)", SCOPES, PLACES, kinds=("grounds", "causes")))
 def thread_ends(spark, d):
-    """Which units begin and end the chain of causes in their scope."""
+    """Which units begin and end the store's chain of causes."""
     placed = thread.placed(thread_members(spark, d), T.edges(spark, d, ("causes",)))
     return placed.select("scope", "uid", "first", "last")
 
@@ -792,9 +789,9 @@ def parsed_budgets(spark, d):
     return T.table(spark, d, "part").select(n.alias("n"), S.parsed_budget(text).alias("budget"))
 
 
-@query("select doc_id, nfc_normalize(regexp_replace(substring(text, 1, 300), '[e\u00e9]', 'e\u0301', 'g')) as text from documents where text is not null")
+@query("select doc_id, nfc_normalize(regexp_replace(text, '[e\u00e9]', 'e\u0301', 'g')) as text from documents where text is not null")
 def composed_texts(spark, d):
-    return T.table(spark, d, "documents").where("text is not null").select("doc_id", S.composed(F.regexp_replace(F.substring("text", 1, 300), "[e\u00e9]", "e\u0301")).alias("text"))
+    return T.table(spark, d, "documents").where("text is not null").select("doc_id", S.composed(F.regexp_replace("text", "[e\u00e9]", "e\u0301")).alias("text"))
 
 
 @query(sql("select uid, kind, list_position(['claim', 'evidence', 'finding'], kind) - 1 code from units"))

@@ -4,6 +4,7 @@ import random
 import tempfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from evidra.operators import chunk, graph, merge, retrieve, thread
@@ -83,6 +84,63 @@ def test_order_of_a_scope(spark):
     assert got == out + sorted(left)
 
 
+def plain_order(nodes, edges):
+    """Always the least node whose edges all lead to what is out already; what is left, by name."""
+    out, left = [], set(nodes)
+    while ready := sorted(u for u in left if not any(a == u and b in left for a, b in edges)):
+        out.append(ready[0])
+        left.discard(ready[0])
+    return out, sorted(left)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_order_of_a_store(spark, seed):
+    rng = random.Random(seed)
+    names = [f"n{i:02}" for i in range(60)]
+    rng.shuffle(names)
+    edges = {(a, b) for a, b in zip(names, names[1:]) if rng.random() < 0.5} | {tuple(rng.sample(names[:30], 2)) for _ in range(6)} | {("n05", "gone"), ("n07", "n07")}
+    units = spark.createDataFrame([(n,) for n in names] + [("alone",)], "uid string")
+    got = graph.store_order(spark.createDataFrame([(a, b, rng.choice(graph.ORDERING)) for a, b in edges], EDGES).repartition(3), units).orderBy("index").collect()
+    order, cyclic = plain_order({*names, "alone", "gone"}, edges)
+    assert [r.uid for r in got] == order + cyclic and [r["index"] for r in got] == list(range(62)) and {r.uid for r in got if r.cyclic} == set(cyclic)
+    assert graph.store_order(spark.createDataFrame([], EDGES), units.limit(0)).count() == 0
+
+
+def test_components(spark):
+    """A long path with names in any order, a ring, and a loop."""
+    names = [f"p{i}" for i in range(300)]
+    random.Random(4).shuffle(names)
+    pairs = [*zip(names, names[1:]), ("x", "y"), ("y", "z"), ("z", "x"), ("l", "l")]
+    got = dict(rows(graph.components(spark.createDataFrame(pairs, "src string, dst string")), "uid", "head"))
+    assert got == {n: min(names) for n in names} | {"x": "x", "y": "x", "z": "x", "l": "l"}
+
+
+def test_ends_lie_anywhere(spark):
+    """An ordering edge whose other end is in no scope counts for first, last and the index."""
+    m = spark.createDataFrame([(1, u) for u in "abc"] + [(2, "d")], "scope int, uid string")
+    e = spark.createDataFrame([("a", "z", "causes"), ("y", "c", "causes"), ("z", "d", "enables")], EDGES)
+    got = {r.uid: (r.first, r.last, r.pos) for r in thread.placed(m, e).collect()}
+    assert got == {"a": (False, True, 2), "b": (False, False, 0), "c": (True, False, 1), "d": (True, False, 0)}
+
+
+def test_gists_of_absent_units(spark):
+    """A role whose first step has no unit says nothing; its second step doesn't speak for it."""
+    steps = spark.createDataFrame([(1, 1, "bottom-line", "gone"), (1, 2, "bottom-line", "b"), (1, 3, "risk", "c"), (2, 1, "support", "gone"), (2, 2, "support", "b"), (3, 1, "support", "b")], "scope int, pos int, role string, uid string")
+    texts = spark.createDataFrame([("b", "said"), ("c", " risky ")], "uid string, gist string")
+    assert dict(rows(thread.gists(steps, texts, "brief"), "scope", "gist")) == {1: "risky", 2: "", 3: "said"}
+
+
+def test_derived_thread(spark):
+    m = spark.createDataFrame([(1, "q", "finding", 3, 0.9), (1, "e", "evidence", 2, 0.5), (1, "f", "evidence", 2, 0.6), (1, "g", "evidence", 2, 0.4), (1, "h", "evidence", 2, 0.3), (1, "none", "evidence", 2, 1.0)], "scope int, uid string, kind string, status int, salience double")
+    units = spark.createDataFrame([(u,) for u in "qefghd"], "uid string")
+    e = spark.createDataFrame([("e", "d", "deps"), ("f", "e", "causes")], EDGES)
+    made = thread.derive(m, e, units, "brief")
+    # supports by their index in the store's order: g before f, which waits for e
+    assert [tuple(r) for r in made.steps.orderBy("pos").select("role", "uid", "needed_by").collect()] == [("bottom-line", "q", None), ("support", "d", "e"), ("support", "e", None), ("support", "f", None), ("support", "g", None)]
+    assert made.unfilled.count() == 0 and [tuple(r) for r in made.unselected.collect()] == [(1, 0)]
+    assert rows(thread.derive(m.where("kind <> 'finding'"), e, units, "brief").unfilled, "role", "missing") == [("bottom-line", 1)]
+
+
 def test_cycle_groups(spark):
     e = [("a", "b"), ("b", "a"), ("x", "a"), ("y", "x"), ("c", "d"), ("d", "c"), ("c", "a"), ("b", "q")]
     got = {r.uid: (r.head, r.n) for r in graph.cycle_groups(spark.createDataFrame([(*p, "causes") for p in e], EDGES), ("causes",)).collect()}
