@@ -40,8 +40,8 @@ places as (select r, doc_id, unnest(range(1, len(w) - {PASSAGE} + 2)) i, w from
 windows as (select r, doc_id, i, md5(array_to_string(w[i:i + {PASSAGE - 1}], ' ')) s from places),
 least as (select s, min(doc_id) least from windows group by s),
 gone as (select distinct r, i + k i from windows join least using (s), (select unnest(range(0, {PASSAGE})) k) where least < coalesce(doc_id, {2**63 - 1})),
-removed as (select r, list(i) at from gone group by r),
-lefts as (select doc_id, w, coalesce(len(at), 0) n, case when at is null then w else list_filter(w, lambda x, i: not list_contains(at, i)) end l from docs left join removed using (r))
+removed as (select r, list(i) places from gone group by r),
+lefts as (select doc_id, w, coalesce(len(places), 0) n, case when places is null then w else list_filter(w, lambda x, i: not list_contains(places, i)) end l from docs left join removed using (r))
 select doc_id, len(w) n_words, n n_removed, sha256(array_to_string(l, ' ')) kept_sha256 from lefts"""
 
 

@@ -34,7 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, measured, small_join, text_of
+from .common import kept, measured, remove, small_join, text_of
+from .decontaminate import bitmap
 from .tokens import slices
 
 #: Words of a window, and of the runs whose least hash is its anchor.
@@ -307,7 +308,7 @@ def firsts(strings: list[tuple[int, list[int]]], width: int) -> list[list[int]]:
 
 
 def _in_shards(units: DataFrame, width: int) -> DataFrame:
-    """(anchor, segment, firsts) of units (anchor, segment, deal, least, codes), dealt to shards by `deal`."""
+    """(anchor, segment, firsts) of the units (anchor, segment, deal, least, most, codes) with a window of a lesser identifier, dealt to shards by `deal`."""
     spark = units.sparkSession
     size = units.agg(F.sum(F.octet_length("codes"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
@@ -315,7 +316,9 @@ def _in_shards(units: DataFrame, width: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("least")
         strings = [(mark, np.frombuffer(codes, np.uint64).tolist()) for mark, codes in zip(table["least"].to_pylist(), table["codes"].to_pylist())]
-        return pa.table({"anchor": table["anchor"], "segment": table["segment"], "firsts": pa.array(firsts(strings, width), pa.list_(pa.int64()))})
+        found = firsts(strings, width)
+        told = pa.array([min(f) < most for f, most in zip(found, table["most"].to_pylist())], pa.bool_())
+        return pa.table({"anchor": table["anchor"], "segment": table["segment"], "firsts": pa.array(found, pa.list_(pa.int64()))}).filter(told)
 
     dealt = units.withColumn("shard", F.pmod(F.xxhash64("deal"), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(run, "anchor long, segment long, firsts array<long>")
@@ -332,22 +335,30 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     found = kept(candidate_segments(rows, sent, buckets, bits, width, anchor))
 
     key = ["anchor", "segment"]
-    distinct = kept(found.groupBy(*key).agg(F.min("id").alias("least"), F.max("id").alias("most"), F.first("n").alias("n"), F.first("codes", ignorenulls=True).alias("codes")))
-    counts = kept(distinct.groupBy("anchor").agg(F.count("*").alias("segments"), F.min("least").alias("anchor_least"), F.max("most").alias("anchor_most")).where("anchor_least < anchor_most").select("anchor", "segments"))
-    shared = small_join(distinct, counts, ["anchor"])
-    alone = shared.where("segments = 1").select(*key, "most", F.expr("array_repeat(least, n)").alias("firsts"))
-    several = shared.where(F.col("segments").between(2, full))
-    hot = shared.where(F.col("segments") > full)
-    windows = hot.select(*key, "least", "codes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select(*key, "least", "i", F.expr(f"substring(codes, 8 * i + 1, {8 * width})").alias("codes")).withColumn("window", F.xxhash64("codes"))
-    single = windows.groupBy("anchor", F.col("window").alias("segment")).agg(F.min("least").alias("least"), F.first("codes").alias("codes"))
-    units = several.select(*key, F.col("anchor").alias("deal"), "least", "codes").union(single.select("anchor", "segment", F.col("segment").alias("deal"), "least", "codes"))
-    answered = kept(_in_shards(kept(units), width))
-
-    whole = several.select(*key, "most").join(answered, key)
-    by_window = windows.select(*key, "i", "window").join(answered.select("anchor", F.col("segment").alias("window"), F.element_at("firsts", 1).alias("first")), ["anchor", "window"])
-    again = by_window.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "first"))), lambda x: x["first"]).alias("firsts"))  # RUN windows at most
-    again = hot.select(*key, "most").join(again, key)
-    useful = kept(alone.union(whole).union(again).where(F.array_min("firsts") < F.col("most")).drop("most"))
+    ranges = [F.min("id").alias("least"), F.max("id").alias("most")]
+    distinct = found.groupBy(*key).agg(*ranges, F.first("n").alias("n"))
+    under = distinct.groupBy("anchor").agg(F.count("*").alias("segments"), *[getattr(F, f)(c).alias(c) for f, c in (("min", "segment"), ("min", "least"), ("max", "most"), ("max", "n"))])
+    under = kept(under.where("least < most"))
+    alone = under.where("segments = 1").select(*key, F.expr("array_repeat(least, n)").alias("firsts"))
+
+    # The codes of segments that others share the anchor of; what the bitmap lets through besides has an answer too.
+    several = under.where("segments > 1").select(F.col("anchor").alias("hash"))
+    may = bitmap(several, several.count())
+    units = found.where(may(F.col("anchor"))).groupBy(*key).agg(*ranges, F.first("n").alias("n"), F.first("codes", ignorenulls=True).alias("codes"))
+    units = kept(small_join(units, under.where(F.col("segments") > full).select("anchor", F.lit(True).alias("hot")), ["anchor"], "left"))
+    crowded = units.where("hot")
+    windows = crowded.select(*key, "least", "most", "codes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select(*key, "least", "most", "i", F.expr(f"substring(codes, 8 * i + 1, {8 * width})").alias("codes")).withColumn("window", F.xxhash64("codes"))
+    single = windows.groupBy("anchor", F.col("window").alias("segment")).agg(F.min("least").alias("least"), F.max("most").alias("most"), F.first("codes").alias("codes"))
+    columns = lambda df, deal: df.select(*key, F.col(deal).alias("deal"), "least", "most", "codes")
+    by_segment = _in_shards(columns(units.where("hot is null"), "anchor"), width)
+    if not crowded.isEmpty():
+        answered = _in_shards(columns(single, "segment"), width).select("anchor", F.col("segment").alias("window"), F.get("firsts", F.lit(0)).alias("first"))
+        # a window without an answer is no other's: it counts from its own identifier on
+        told = windows.select(*key, "i", "window", "most").join(answered, ["anchor", "window"], "left").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("first", F.lit(LAST)).alias("first")))).alias("told"))  # RUN windows at most
+        by_segment = by_segment.union(told.select(*key, F.transform("told", lambda x: x["first"]).alias("firsts")).where(F.array_min("firsts") < LAST))
+    useful = kept(alone.union(by_segment))
+    for table in (under, units):
+        remove(table)
 
     hits = small_join(found.drop("codes", "n"), useful, key, size=measured(useful))
     hits = hits.select("id", "hash", F.expr("filter(transform(firsts, (f, i) -> if(f < id, pos + i, null)), x -> x is not null)").alias("hit")).where(F.size("hit") > 0)
