@@ -138,6 +138,20 @@ def judged(some, documents, share, left):
     return Counter(out)
 
 
+@pytest.mark.parametrize("n", [20, 60])
+def test_shared_phrases_make_no_candidates(spark, n):
+    """Items and documents that begin alike: candidates are those that share more, not all pairs."""
+    lead = " ".join(f"lead{k}" for k in range(30))
+    own = lambda i: " ".join(f"own{i}x{k}" for k in range(30))
+    items = spark.createDataFrame([(i, f"{lead} {own(i)}") for i in range(n)], "item_id long, text string")
+    texts = [(i, f"{lead} {own(i if i % 5 == 0 else 1000 + i)} end") for i in range(n)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    table = decontaminate.items_of(items, "text", 5, 0.8).cache()
+    rows = df.withColumn("digest", decontaminate.text_id(df.text))
+    assert decontaminate.candidates(rows, table, [5]).count() == n // 5
+    assert {(r.doc_id, r.item_id) for r in decontaminate.search(df, items).collect()} == {(i, i) for i in range(0, n, 5)}
+
+
 def test_quality_rules(spark):
     boiler = "Subscribe  to OUR list\nall rights reserved by them"
     texts = [t for t, *_ in [(r[1],) for r in rows()]][:-3] + [f"{boiler.lower() if i % 2 else boiler}\n" + " ".join(f"v{i}x{k}" for k in range(60 if i % 3 else 2)) for i in range(25)] + ["\n".join([boiler] * 10)]
