@@ -47,6 +47,8 @@ HEADER, ENTRY, BLOCK_REF, FOOTER = "<8sB7x", "<BBI", "<QQQ", "<6QII8s"
 SHARD_BYTES = 24 << 20
 #: Keys that set the shards' ranges: so many for each shard, and in all, at most.
 SAMPLED, SAMPLED_IN_ALL = 60, 1_000_000
+#: Bytes of shards that a task reads.
+READ_BYTES = 256 << 20
 MANIFEST = "part int, path string, entries long, tokens long, bytes long, first_id long, last_id long"
 
 
@@ -295,13 +297,15 @@ def _tidy(out: str, run: str, named: set[str]) -> None:
 def read_shards(manifest: DataFrame) -> DataFrame:
     """Every entry of the shards: doc_id, start (ids of all before it), n_tokens, ids (little-endian uint32).
 
-    The manifest has one row per file; a task reads one file, block by block.
+    The manifest has one row per file; a task reads files of READ_BYTES about, block by block.
     """
     spark = manifest.sparkSession
-    rows, before = [], 0
+    rows, before, size = [], 0, 0
     for m in sorted(manifest.collect(), key=lambda m: m.part):
         rows.append((m.path, before))
         before += m.tokens
+        size += m.bytes
+    tasks = min(len(rows), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // READ_BYTES)))
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,15 +321,19 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
-    table = spark.createDataFrame(rows, "path string, before long").repartition(max(1, len(rows)))
+    table = spark.createDataFrame(rows, "path string, before long").repartition(max(1, tasks))
     return table.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def lookup(manifest: DataFrame, identifiers: list[int]) -> dict[int, np.ndarray]:
-    """Ids of the stated documents, by binary search in the shards whose range may hold them."""
-    found = {}
-    for m in manifest.collect():
-        if wanted := [i for i in identifiers if (m.first_id is None or i >= m.first_id) and m.last_id is not None and i <= m.last_id and i not in found]:
+def lookup(manifest: DataFrame, identifiers: list[int | None]) -> dict[int | None, np.ndarray]:
+    """Ids of the stated documents, by binary search in the shards whose range may hold them.
+
+    A null identifier, which sorts first, is looked up as any other. Of several rows
+    with one identifier the first counts; what no shard holds has no entry.
+    """
+    found, place = {}, lambda i: (i is not None, i or 0)
+    for m in sorted(manifest.collect(), key=lambda m: m.part):
+        if wanted := [i for i in identifiers if place(m.first_id) <= place(i) <= place(m.last_id) and i not in found]:
             shard = opened(m.path)
             found |= {i: ids for i in wanted if (ids := shard.get(i)) is not None}
     return found

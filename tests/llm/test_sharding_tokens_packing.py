@@ -79,6 +79,9 @@ def test_sstable_round_trip(spark, tokenizer):
         at += len(own)
     found = sstable.lookup(manifest, [0, 10, 12, 999])
     assert set(found) == {0, 10, 12} and found[10].tolist() == ids(tokenizer, rows()[10][1], 2)
+    both = sstable.lookup(manifest, [None, 12])
+    assert both[None].tolist() == ids(tokenizer, rows()[-3][1], 2) and both[12].tolist() == found[12].tolist()
+    assert sstable.lookup(sstable.write_shards(docs(spark).where("doc_id is not null")), [None, -1]) == {}
     shard = sstable.opened(manifest.orderBy("part").first().path)
     assert shard.get(-5) is None and shard.get(None).tolist() == ids(tokenizer, rows()[-3][1], 2)
     assert sstable.read_shards(sstable.write_shards(docs(spark, []))).count() == 0
