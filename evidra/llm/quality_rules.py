@@ -140,10 +140,13 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", t
     A null text stays null; a text of such lines alone becomes empty. Lines of
     other texts stay as they are, those without words too.
     """
-    flagged = kept(frequent_lines(kept(statistics(docs, id_col, host_col, text_col)), documents, share))
-    gone = kept(flagged.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("evidra_gone")))  # a host's limit bounds its lines: each takes more than LINE_LEAST documents
-    rows = docs.withColumn("evidra_host", F.coalesce(F.col(host_col).cast("string"), F.lit(NO_HOST)))
-    rows = small_join(rows, gone.withColumnRenamed("host", "evidra_host"), ["evidra_host"], "left")
+    own = docs.withColumn("evidra_host", F.coalesce(F.col(host_col).cast("string"), F.lit(NO_HOST))).withColumn("evidra_digest", F.unhex(F.md5(text_of(text_col))))
+    stats = kept(statistics(own, "evidra_digest", host_col, text_col))
+    flagged = kept(frequent_lines(stats, documents, share))
+    # of each host and text the hashes of its lines that go; rows that share both have the same answer
+    lines = stats.dropDuplicates(["host", "doc_id"]).select("host", "doc_id", F.explode("lines.hash").alias("hash"))
+    gone = small_join(lines, flagged, ["host", "hash"], "left_semi").groupBy(F.col("host").alias("evidra_host"), F.col("doc_id").alias("evidra_digest")).agg(F.collect_set("hash").alias("evidra_gone"))
+    rows = small_join(own, kept(gone), ["evidra_host", "evidra_digest"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, 8 << 20):
