@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.llm import decontaminate, packing, pii, quality, simhash
-from evidra.llm.common import documents, kept
+from evidra.llm.common import documents, kept, remove
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for _, stage in STAGES[:-1]:
         docs = kept(stage(spark, docs, sf_dir))
+        if before is not None:
+            remove(before)  # its successor is written
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
