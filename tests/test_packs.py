@@ -113,6 +113,30 @@ def test_obligations_reach_the_fixpoint(spark):
     assert {r.need for r in pack.needs(chain, rebuts).where("uid = 'a' and level = 0").collect()} == {"b", "c", "d"}
 
 
+def test_reach_in_groups(spark):
+    """10,000 units that each rebut their neighbours are one group, with a row for each; chains double their reach."""
+    n = 10_000
+    both = spark.range(n - 1).selectExpr("id a", "id + 1 b").union(spark.range(n - 1).selectExpr("id + 1", "id")).union(spark.createDataFrame([(n + 1, n + 2), (n + 2, 5)], "a long, b long"))
+    groups, reached = pack.reach(both)
+    assert groups.count() == n + 2 and groups.where(f"uid < {n}").select("group").distinct().count() == 1
+    sizes = dict(tuple(r) for r in reached.groupBy("group").count().collect())
+    assert sorted(sizes.values()) == [n, n + 1, n + 2]
+    chain = [(i, i + 1) for i in range(60)] + [(70, 71), (71, 72), (72, 70)]
+    groups, reached = pack.reach(spark.createDataFrame(chain, "a long, b long"))
+    got = {tuple(r) for r in groups.join(reached, "group").select("uid", "need").collect()}
+    assert got == {(i, j) for i in range(61) for j in range(i, 61)} | {(i, j) for i in (70, 71, 72) for j in (70, 71, 72)}
+
+
+@pytest.mark.parametrize("most", [0, 1])
+def test_highest_level(spark, most):
+    data = stores(5, 7, 8)
+    m, e, k = frames(spark, data)
+    rows = pack.greedy(pack.costed(m), pack.needs(m, e, k), 25, most=most).collect()
+    for s, own in data[0].items():
+        low = {u: (g, b if most else None, None, x) for u, (g, b, d, x) in own.items()}
+        assert {r.uid: r.level for r in rows if r.scope == s and r.uid} == plain_greedy(low, data[1], data[2], 25)
+
+
 def test_greedy_and_exact_packs(spark):
     data = stores(10, 7, 5)
     m, e, k = frames(spark, data)
