@@ -116,28 +116,51 @@ def label_collisions(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.min("uid").alias("over"), F.countDistinct("uid").alias("n")).where("n > 1")
 
 
+def _grounded(units: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(uid, ground) of present units' present grounds, and (uid, n): how many each has."""
+    grounds = edges.where("kind = 'grounds'").select(F.col("src").alias("uid"), F.col("dst").alias("ground")).distinct()
+    grounds = written(grounds.join(units.select(F.col("uid").alias("ground")), "ground", "left_semi").join(units.select("uid"), "uid", "left_semi"))
+    return grounds, written(grounds.groupBy("uid").agg(F.count("*").alias("n")))
+
+
+def _falling(grounds: DataFrame, n: DataFrame, fallen: DataFrame, first: DataFrame, lost: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(uid) of the units that lose their last founded ground when first(uid) falls, and lost(uid, lost): how many each has lost.
+
+    Only the units that fell in the last round meet the grounds; what they take is
+    added up for the units they touch alone. A unit falls in the round in which it has
+    lost all; fallen(uid) are the retracted ones, which don't fall twice. lost is what
+    an earlier call returned.
+    """
+    lost = n.limit(0).select("uid", F.col("n").alias("lost")) if lost is None else lost
+    frontier, found = first.select("uid"), []
+    while True:
+        took = grounds.join(frontier.select(F.col("uid").alias("ground")), "ground").groupBy("uid").agg(F.count("*").alias("more"))
+        new = written(lost.join(took, "uid", "full").select("uid", F.coalesce("lost", F.lit(0)).alias("was"), (F.coalesce("lost", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("lost")))
+        frontier = written(new.where("was < lost").join(n, "uid").where("lost = n").select("uid").join(fallen.select("uid"), "uid", "left_anti"))
+        lost = new.select("uid", "lost")
+        if frontier.isEmpty():
+            break
+        found.append(frontier)
+    out = first.limit(0).select("uid")
+    for f in found:
+        out = out.union(f)
+    return out, lost
+
+
 def effective_status(units: DataFrame, edges: DataFrame, mode: str = "strict") -> DataFrame:
     """(uid, status, effective, reason): retracted units are unfounded.
 
     strict: so is a unit with present grounds of which none is founded, until no
     more fall; advisory: only the retracted ones; ignore: none.
     """
-    retracted = edges.where("kind = 'retracts'").select(F.col("dst").alias("uid")).distinct()
     base = units.select("uid", "status")
-    fallen = base.join(retracted, "uid", "left_semi").select("uid", F.lit("retracted").alias("reason"))
+    fallen = base.join(edges.where("kind = 'retracts'").select(F.col("dst").alias("uid")).distinct(), "uid", "left_semi").select("uid", F.lit("retracted").alias("reason"))
     if mode == "ignore":
         fallen = fallen.where(F.lit(False))
-    fallen = written(fallen)
     if mode == "strict":
-        grounds = edges.where("kind = 'grounds'").select(F.col("src").alias("uid"), F.col("dst").alias("ground")).distinct()
-        grounds = written(grounds.join(base.select(F.col("uid").alias("ground")), "ground", "left_semi").join(base.select("uid"), "uid", "left_semi"))
-        while True:
-            open_ = grounds.join(fallen.select("uid"), "uid", "left_anti")
-            founded = open_.join(fallen.select(F.col("uid").alias("ground")), "ground", "left_anti").select("uid").distinct()
-            new = written(open_.select("uid").distinct().join(founded, "uid", "left_anti").select("uid", F.lit("orphaned").alias("reason")))
-            if new.isEmpty():
-                break
-            fallen = written(fallen.union(new))
+        fallen = written(fallen)
+        orphans, _ = _falling(*_grounded(units, edges), fallen, fallen)
+        fallen = fallen.union(orphans.withColumn("reason", F.lit("orphaned")))
     return base.join(fallen, "uid", "left").select("uid", "status", F.when(F.col("reason").isNull(), F.col("status")).otherwise(F.lit(S.UNFOUNDED)).alias("effective"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 
@@ -149,10 +172,19 @@ def retraction_report(units: DataFrame, edges: DataFrame, mode: str = "strict")
 
 
 def retraction_plan(units: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """(uid, reason): what would fall, beyond what has fallen, if targets(uid) were retracted."""
-    more = edges.unionByName(targets.select(F.col("uid").alias("src"), F.col("uid").alias("dst"), F.lit("retracts").alias("kind")))
-    was = effective_status(units, edges).where("reason <> ''").select("uid")
-    return effective_status(units, more).where("reason <> ''").join(was, "uid", "left_anti").select("uid", "reason")
+    """(uid, reason): what would fall, beyond what has fallen, if targets(uid) were retracted.
+
+    What has fallen is worked out once; the targets then fall on top of it, and only
+    what they touch is looked at again.
+    """
+    here = lambda df: df.select("uid").distinct().join(units.select("uid"), "uid", "left_semi")
+    grounds, n = _grounded(units, edges)
+    retracted = written(here(edges.where("kind = 'retracts'").select(F.col("dst").alias("uid"))))
+    orphans, lost = _falling(grounds, n, retracted, retracted)
+    was = written(retracted.union(orphans))
+    new = written(here(targets).join(was, "uid", "left_anti"))
+    more, _ = _falling(grounds, n, was.union(new), new, lost)
+    return new.withColumn("reason", F.lit("retracted")).union(more.withColumn("reason", F.lit("orphaned")))
 
 
 def authority(requests: DataFrame, attestations: DataFrame, rule: str = "origin", quorum: int = 1) -> DataFrame:
