@@ -2,8 +2,9 @@
 
 Entries become long integers, x = floor(64 c) + 1,000,000, so that sums are exact.
 A first aggregation gives count, sums and ranges of each dimension, a second one the
-upper triangle: a generated Spark SQL expression for every pair i <= j that sums
-(x_i - m_i) (x_j - m_j), where m is the mean rounded to an integer. What the rounding
+upper triangle: generated Spark SQL expressions sum (x_i - m_i) (x_j - m_j) for every
+pair i <= j, a column for each j in a group for each i, where m is the mean rounded to
+an integer. What the rounding
 leaves is put right in whole numbers, so each entry of the covariance is the true one
 to the last bit of a double. LAPACK decomposes that matrix on the driver: its size is
 the square of the vectors' length, whatever their number. The rows are then projected
@@ -34,36 +35,34 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
     Null and empty vectors, and those with a null, infinite or not-a-number entry, are dropped.
     """
-    entry = F.transform(F.col(vector_col), lambda c: c.cast("double"))
-    rows = vectors.select(F.col(id_col).alias("vec_id"), entry.alias("c")).where(F.size("c") > 0)
-    # not(abs < bound) holds for infinite and not-a-number entries, which order above all others
-    rows = rows.where(~F.exists("c", lambda c: c.isNull() | ~(F.abs(c) * SCALE < LARGEST)))
-    return rows.select("vec_id", F.transform("c", lambda c: F.floor(c * SCALE) + SHIFT).alias("x"))
+    # an infinite or not-a-number entry is not below the bound, so it has no x, as a null one
+    whole = lambda c: F.when(F.abs(c) * SCALE < LARGEST, F.floor(c * SCALE) + SHIFT)
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.transform(F.col(vector_col), lambda c: whole(c.cast("double"))).alias("x"))
+    return rows.where((F.size("x") > 0) & ~F.exists("x", lambda c: c.isNull()))
 
 
 def triangle(d: int) -> list[str]:
-    """SQL of the sums of products of the columns c0, c1, ..., one for each pair of dimensions i <= j."""
-    return [f"sum(c{i} * c{j})" for i in range(d) for j in range(i, d)]
+    """SQL of the sums of centred products, column j of the triangle each: in the group of dimension i, the pair (i, j)."""
+    return [f"sum(case when i <= {j} then v * y[{j}] end) as s{j}" for j in range(d)]
 
 
-def centred(rows: DataFrame, column: str, means: list[str], kind: str) -> DataFrame:
-    """The entries of an array as columns c0, c1, ... without their means."""
-    return rows.selectExpr(*[f"cast({column}[{i}] as {kind}) - cast({m} as {kind}) as c{i}" for i, m in enumerate(means)])
+def products(rows: DataFrame, column: str, means: list, kind: str) -> list[list]:
+    """The sums of (x_i - m_i) (x_j - m_j) for all pairs of dimensions of an array column, by one aggregation.
 
-
-def _square(values: list, d: int) -> list[list]:
-    """The whole matrix from its upper triangle."""
-    out, it = [[None] * d for _ in range(d)], iter(values)
-    for i in range(d):
-        for j in range(i, d):
-            out[i][j] = out[j][i] = next(it)
+    Each vector gives a row for each dimension i, which is grouped by i before the
+    shuffle; each group sums its row of the upper triangle. The expressions of all
+    pairs at once would be a few thousand, more than a JVM compiles.
+    """
+    d = len(means)
+    terms = ", ".join(f"cast({column}[{i}] as {kind}) - cast({m} as {kind})" for i, m in enumerate(means))
+    each = rows.selectExpr(f"array({terms}) as y").select("y", F.posexplode("y").alias("i", "v"))
+    out = [[None] * d for _ in range(d)]
+    for r in each.groupBy("i").agg(*map(F.expr, triangle(d))).collect():  # d rows
+        for j in range(r["i"], d):
+            out[r["i"]][j] = out[j][r["i"]] = r[f"s{j}"]
     return out
 
 
-def _aggregated(rows: DataFrame, expressions: list[str]) -> list:
-    return list(rows.selectExpr(f"array({', '.join(expressions)}) as found").first()[0])
-
-
 def fitted(rows: DataFrame, d: int) -> tuple[int, list[int], int, np.ndarray]:
     """Count, sums, largest |x - m|, and covariance of integer vectors x of d entries."""
     at = range(d)
@@ -74,12 +73,12 @@ def fitted(rows: DataFrame, d: int) -> tuple[int, list[int], int, np.ndarray]:
     # whole numbers while the sums of products fit a long, else doubles
     exact = n * far * far < 1 << 63
     kind = "bigint" if exact else "double"
-    products = _square(_aggregated(centred(rows, "x", [str(m) for m in means], kind), triangle(d)), d)
+    sums_of = products(rows, "x", means, kind)
     left = [s - n * m for s, m in zip(sums, means)]
     if exact:
-        cov = [[(n * int(products[i][j]) - left[i] * left[j]) / (n * n) for j in at] for i in at]
+        cov = [[(n * int(sums_of[i][j]) - left[i] * left[j]) / (n * n) for j in at] for i in at]
     else:
-        cov = [[products[i][j] / n - (left[i] / n) * (left[j] / n) for j in at] for i in at]
+        cov = [[sums_of[i][j] / n - (left[i] / n) * (left[j] / n) for j in at] for i in at]
     return n, sums, far, np.array(cov, np.float64)
 
 
@@ -133,8 +132,8 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), deviation(near), lists], ["vec_id", "deviation", "white"])
 
     wide = kept(rows.mapInArrow(project, f"vec_id {kind}, deviation long, white array<double>"))
-    centre = _aggregated(wide, [f"avg(white[{i}])" for i in range(k)])
-    again = _square(_aggregated(centred(wide, "white", [f"{c!r}D" for c in centre], "double"), triangle(k)), k)
+    centre = wide.selectExpr(f"array({', '.join(f'avg(white[{i}])' for i in range(k))}) as found").first()[0]
+    again = products(wide, "white", [f"{c!r}D" for c in centre], "double")
     error = float(np.abs(np.array(again) / n - np.eye(k)).max())
     shares = (e / np.trace(cov)).tolist()
     long = wide.select("vec_id", "deviation", F.posexplode("white").alias("i", "whitened"))
