@@ -51,14 +51,15 @@ def joinings(steps: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(least, ["scope", "pos"], "left")
 
 
-def blocks(steps: DataFrame, texts: DataFrame, edges: DataFrame, attestations: DataFrame, contentions: DataFrame, profile: str, cap: int = 2) -> DataFrame:
+def blocks(steps: DataFrame, texts: DataFrame, edges: DataFrame, attestations: DataFrame, contentions: DataFrame, profile: str, cap: int = 2, suppress: bool = False) -> DataFrame:
     """(scope, pos, role, uid, level, text, marker, connective, notes) of steps whose unit is there.
 
     A step is shown at the level its role has in the profile, or the highest below
     that its unit was written at. Notes are its source, its agents, the open
     contentions on it and, where the profile is full, its grounds that no step shows;
     the profile says how many. texts has uid, gist, body, detail, status and source;
-    contentions id, over and positions, of which all touch the units they name.
+    contentions id, over and positions, of which all touch the units they name. With
+    suppress blocks say nothing of contentions, and the artifact says that.
     """
     p = PROFILES[profile]
     want = F.coalesce(*[F.when(F.col("role") == r, F.lit(n)) for r, n in p["roles"].items()], F.lit(p["level"])) if p["roles"] else F.lit(p["level"])
@@ -72,7 +73,7 @@ def blocks(steps: DataFrame, texts: DataFrame, edges: DataFrame, attestations: D
     away = steps.select("scope", "uid").distinct().join(grounds, "uid").join(shown, ["scope", "dst"], "left_anti").groupBy("scope", "uid").agg(F.concat(F.lit("rests on "), F.array_join(F.array_sort(F.collect_set("dst")), ", ")).alias("away"))
     rows = steps.join(texts, "uid").join(joining, ["scope", "pos"], "left").join(agents, "uid", "left").join(disputes, "uid", "left").join(away, ["scope", "uid"], "left")
     none = F.array().cast("array<string>")
-    notes = F.concat(F.array_compact(F.array("source", "agents")), F.coalesce("disputes", none), F.array_compact(F.array(F.when(F.lit(p["elsewhere"]), F.col("away")))))
+    notes = F.concat(F.array_compact(F.array("source", "agents")), none if suppress else F.coalesce("disputes", none), F.array_compact(F.array(F.when(F.lit(p["elsewhere"]), F.col("away")))))
     text = S.text_at(F.col("level"), F.col("gist"), F.col("body"), F.col("detail"))
     return rows.withColumn("level", level).select("scope", "pos", "role", "uid", "level", text.alias("text"), marker(F.col("status"), profile).alias("marker"), F.coalesce(connective(F.col("joining"), F.col("uid")), F.lit("")).alias("connective"), F.slice(notes, 1, p["notes"]).alias("notes"))
 
@@ -99,3 +100,65 @@ def html(rows: DataFrame) -> DataFrame:
 def as_json(rows: DataFrame) -> DataFrame:
     """(scope, text): an array of objects."""
     return _lines(rows, F.to_json(F.struct("pos", "marker", "connective", "gist")), ",").withColumn("text", F.concat(F.lit("["), "text", F.lit("]")))
+
+
+# Artifacts: whole documents of blocks
+
+
+def opened(steps: DataFrame, contentions: DataFrame) -> DataFrame:
+    """(scope, ids): the open contentions that touch a step's unit, sorted; scopes without any have none."""
+    touched = contentions.select("id", F.explode(F.array_distinct(F.concat(F.array("over"), F.col("positions")))).alias("uid"))
+    found = steps.select("scope", "uid").distinct().join(touched, "uid").groupBy("scope").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    return steps.select("scope").distinct().join(found, "scope", "left").select("scope", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
+
+
+def suppression(profile: str, ids: Column) -> Column:
+    """What every artifact says where a profile leaves open contentions out (rule V2), or null."""
+    said = F.concat(F.lit("W211: "), F.size(ids).cast("string"), F.lit(f" open contention(s) suppressed by profile {profile}: "), F.array_join(ids, ", "))
+    return F.when(F.size(ids) > 0, said)
+
+
+def _escaped(text: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def _contested(note: Column) -> Column:
+    return note.rlike(r": contested, [0-9]+ position\(s\) on record$")
+
+
+def artifact(shown: DataFrame, titles: DataFrame, open_: DataFrame, backend: str, profile: str, suppress: bool = False) -> DataFrame:
+    """(scope, text): each scope's blocks as one document, markdown, plain, html or json.
+
+    shown is what blocks() gives, titles(scope, title) heads the documents, open_ is
+    opened(). Every block keeps its role, marker and notes. A document ends with its
+    open contentions; where they were suppressed, with a line that says so and names
+    them. A scope without blocks has its head and end alone.
+    """
+    line, notes = joined(F.col("connective"), F.col("text")), F.col("notes")
+    kept = lambda each: F.array_join(F.transform(notes, each), "")
+    quiet = suppression(profile, F.col("ids")) if suppress else F.lit(None).cast("string")
+    listed = F.when(quiet.isNull() & (F.size("ids") > 0), F.array_join("ids", ", "))
+    if backend == "markdown":
+        block = F.concat(F.lit("## "), "role", F.lit("\n\n"), "marker", F.lit(" "), line, F.lit("\n"), kept(lambda n: F.when(_contested(n), F.concat(F.lit("\n> **contested** \u2014 "), n, F.lit("\n"))).otherwise(F.concat(F.lit("\n*"), n, F.lit("*\n")))), F.lit("\n"))
+        head = F.concat(F.lit("# "), "title", F.lit("\n\n"))
+        end = F.coalesce(F.concat(F.lit("---\n\n<!-- "), quiet, F.lit(" -->\n")), F.concat(F.lit("---\n\n**Open contentions:** "), listed, F.lit("\n")), F.lit(""))
+        made = lambda body: F.concat(head, body, end)
+    elif backend == "plain":
+        block = F.concat(F.lit("["), "role", F.lit("] "), line, F.lit(" "), "marker", F.lit("\n"), kept(lambda n: F.concat(F.lit("    "), n, F.lit("\n"))))
+        end = F.coalesce(F.concat(F.lit("\n"), quiet, F.lit("\n")), F.concat(F.lit("\nopen contentions: "), listed, F.lit("\n")), F.lit(""))
+        made = lambda body: F.concat("title", F.lit("\n\n"), body, end)
+    elif backend == "html":
+        block = F.concat(F.lit('<section class="'), _escaped(F.col("role")), F.lit('"><p>'), _escaped(F.concat("marker", F.lit(" "), line)), F.lit("</p>"), kept(lambda n: F.concat(F.when(_contested(n), '<aside class="contested">').otherwise("<aside>"), _escaped(n), F.lit("</aside>"))), F.lit("</section>"))
+        end = F.coalesce(F.concat(F.lit('<footer class="suppressed">'), _escaped(quiet), F.lit("</footer>")), F.concat(F.lit("<footer>Open contentions: "), _escaped(listed), F.lit("</footer>")), F.lit(""))
+        made = lambda body: F.concat(F.lit("<article><h1>"), _escaped(F.col("title")), F.lit("</h1>"), body, end, F.lit("</article>"))
+    elif backend == "json":
+        block = F.to_json(F.struct("pos", "role", "level", "marker", "connective", "text", "notes"))
+        rest = F.to_json(F.struct("title", F.col("ids").alias("open"), quiet.isNotNull().alias("suppressed"), quiet.alias("note")))
+        made = lambda body: F.concat(F.lit('{"blocks":['), body, F.lit("],"), F.substring(rest, 2, 1 << 30))
+    else:
+        raise ValueError(f"no backend {backend}")
+    body = _lines(shown.select("scope", "pos", "role", "level", "marker", "connective", "text", "notes"), block, "," if backend == "json" else "").withColumnRenamed("text", "body")
+    rows = titles.select("scope", "title").join(open_, "scope", "left").join(body, "scope", "left").withColumns({"ids": F.coalesce("ids", F.array().cast("array<string>")), "body": F.coalesce("body", F.lit(""))})
+    return rows.select("scope", made(F.col("body")).alias("text"))

@@ -570,6 +570,15 @@ def salience_full(spark, d):
     return scored(spark, d)
 
 
+@query(sql("select uid, centrality, corroboration, \"role\", recency, coalesce(groups, 0) groups, coalesce(groups - counted, 0) dependent, salience raw, starts_with(uid, 'c:') and try_cast(substring(uid, 3) as bigint) % 10 = 0 authored, case when starts_with(uid, 'c:') and try_cast(substring(uid, 3) as bigint) % 10 = 0 then 0.5::double else salience end salience from scored left join (select uid, groups, counted from corr) using (uid)", RANK, RANK_END, CORR, SAL, kinds=('deps', 'grounds', 'causes')))
+def salience_explained(spark, d):
+    """What each score is made of; every tenth customer's is authored."""
+    units, edges = small_graph(spark, d)
+    roles = units.select("uid", S.quantise(F.col("status") / 5.0).alias("role"))
+    tenth = F.col("uid").startswith("c:") & (F.substring("uid", 3, 20).try_cast("long") % 10 == 0)
+    return salience.explained(units.withColumn("authored", F.when(tenth, 0.5)), edges, T.attestations(spark, d), roles, 29, "recent")
+
+
 @query(sql("select uid, salience from scored order by salience desc, uid limit 100", RANK, RANK_END, CORR, SAL, kinds=('deps', 'grounds', 'causes')))
 def salience_top(spark, d):
     return scored(spark, d).select("uid", "salience").orderBy(F.desc("salience"), "uid").limit(100)

@@ -572,6 +572,13 @@ def render_threads(spark, d):
     return render.markdown(shown(spark, d, "plain").withColumnRenamed("text", "gist"))
 
 
+@query(sql("select scope, case when len(ids) > 0 then 'W211: '||len(ids)||' open contention(s) suppressed by profile exec: '||array_to_string(ids, ', ') end note from (select s.scope, list_sort(list(distinct t.id) filter (t.id is not null)) ids from step s left join (select id, unnest(list_append(positions, over_)) uid from k) t using (uid) group by s.scope) where true", *RENDER[:5]))
+def render_suppressed(spark, d):
+    """What an artifact says of the contentions that its profile leaves out."""
+    open_ = render.opened(brief_steps(spark, d), disputes(spark, d))
+    return open_.select("scope", render.suppression("exec", F.col("ids")).alias("note"))
+
+
 @query(sql("select thread scope, '['||string_agg('{\"pos\":'||pos||',\"marker\":\"'||role||'\",\"connective\":\"\",\"gist\":'||to_json(text)||'}', ',' order by pos)||']' as text from steps where text is not null and role is not null group by thread"))
 def render_json(spark, d):
     return render.as_json(turns(spark, d).where("gist is not null and marker is not null"))
