@@ -63,7 +63,7 @@ def trace(edges: DataFrame, roots: DataFrame, attestations: DataFrame | None = N
         frontier = written(new.select(F.col("dst").alias("uid"), F.lit(level).alias("level"), F.col("by.kind").alias("via")))
         if frontier.isEmpty():
             break
-        seen = seen.union(frontier)
+        seen = written(seen.union(frontier)) if level % 4 == 0 else seen.union(frontier)
     if attestations is None:
         return seen.select("uid", "level", "via", F.lit(None).cast("string").alias("agents"), F.lit(None).cast("int").alias("hop"))
     who = attestations.groupBy("uid").agg(F.array_join(F.array_sort(F.collect_set("agent")), ",").alias("agents"), F.min("hop").alias("hop"))
@@ -96,7 +96,7 @@ def levels(edges: DataFrame, kinds: tuple[str, ...] = SUPPORT) -> DataFrame:
         frontier, open_ = left.where("degree = 0").select("uid", F.lit(level).alias("level")), left.where("degree > 0")
         if frontier.isEmpty():
             return done
-        done = done.union(frontier)
+        done = written(done.union(frontier)) if level % 4 == 0 else done.union(frontier)
 
 
 def ordered(edges: DataFrame, members: DataFrame, kinds: tuple[str, ...] = ORDERING) -> DataFrame:
