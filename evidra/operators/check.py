@@ -173,3 +173,11 @@ def conformance(found: DataFrame) -> DataFrame:
 def fidelity(units: DataFrame, known: tuple[str, ...], required: tuple[str, ...]) -> DataFrame:
     """(kind, n, verdict): full for kinds a consumer knows, refuse for required ones it doesn't, else degraded."""
     return units.groupBy("kind").agg(F.count("*").alias("n")).withColumn("verdict", F.when(F.col("kind").isin(*known), "full").when(F.col("kind").isin(*required), "refuse").otherwise("degraded"))
+
+
+def missing(units: DataFrame, views: DataFrame, known: tuple[str, ...]) -> DataFrame:
+    """(kind, n, views): what a consumer of the known kinds lacks: kinds of units, n of them, and those that views(view, requires) ask for, so many views."""
+    of_units = units.groupBy("kind").agg(F.count("*").alias("n"))
+    asked = views.select("view", F.explode(F.array_distinct("requires")).alias("kind")).groupBy("kind").agg(F.countDistinct("view").alias("views"))
+    both = of_units.join(asked, "kind", "full").where(~F.col("kind").isin(*known))
+    return both.select("kind", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("views", F.lit(0)).alias("views"))

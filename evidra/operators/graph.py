@@ -22,13 +22,15 @@ def of_kinds(edges: DataFrame, kinds: tuple[str, ...] | None) -> DataFrame:
     return (edges if kinds is None else edges.where(F.col("kind").isin(*kinds))).select("src", "dst").distinct()
 
 
-def closure(edges: DataFrame, roots: DataFrame, kinds: tuple[str, ...] | None = SUPPORT, reverse: bool = False) -> DataFrame:
-    """(uid, level): all that roots(uid) reach, roots included, and the least number of steps."""
+def closure(edges: DataFrame, roots: DataFrame, kinds: tuple[str, ...] | None = SUPPORT, reverse: bool = False, most: int | None = None) -> DataFrame:
+    """(uid, level): all that roots(uid) reach, in `most` steps if that is said, roots included, and the least number of steps."""
     pairs = of_kinds(edges, kinds)
     pairs = written(pairs.select(F.col("dst").alias("a"), F.col("src").alias("b")) if reverse else pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     seen = frontier = written(roots.select("uid").distinct().withColumn("level", F.lit(0)))
     level = 0
     while True:
+        if level == most:
+            return seen
         level += 1
         new = frontier.join(pairs, F.col("uid") == F.col("a")).select(F.col("b").alias("uid")).distinct().join(seen, "uid", "left_anti")
         frontier = written(new.withColumn("level", F.lit(level)))

@@ -102,15 +102,19 @@ def check_support_cycles(spark, d):
     return graph.cycles(support(spark, d).union(back), graph.SUPPORT)
 
 
-@query(sql("select code, case when code like 'E%' then 'error' else 'warn' end severity, count(*) n, count(distinct uid) units from found group by code", WEAKEST, CEILING, SHAPE_SQL, GRAN_SQL, OPEN_SQL, ALL_SQL))
-def diagnostics_summary(spark, d):
+def every_finding(spark, d):
+    """The findings of all passes."""
     edges = T.edges(spark, d)
-    found = check.union(*[x for x in (
+    return check.union(*[x for x in (
         check.rows(check.rule_m(T.units(spark, d), edges), "E030", F.col("ground")), check.rows(check.rule_t(T.units(spark, d), T.attestations(spark, d)), "E033", F.col("ceiling")),
         check.rows(check.measured_not_imported(T.units(spark, d), T.attestations(spark, d)), "W035"), check.rows(graph.dangling(edges, some_missing(spark, d)), "E060", F.col("missing")),
         check.shape(T.units(spark, d), edges), check.granularity(T.documents(spark, d)), check.gist_openers(T.documents(spark, d)),
     )])
-    return check.summary(found)
+
+
+@query(sql("select code, case when code like 'E%' then 'error' else 'warn' end severity, count(*) n, count(distinct uid) units from found group by code", WEAKEST, CEILING, SHAPE_SQL, GRAN_SQL, OPEN_SQL, ALL_SQL))
+def diagnostics_summary(spark, d):
+    return check.summary(every_finding(spark, d))
 
 
 CLASS_ROWS = "classes(class, code) as (values " + ", ".join(f"('{c}','{code}')" for c, codes in check.CLASSES.items() for code in codes) + ")"
@@ -121,6 +125,19 @@ def conformance_verdict(spark, d):
     return check.conformance(check.union(check.shape(T.units(spark, d), T.edges(spark, d, ("grounds",))), check.granularity(T.documents(spark, d))))
 
 
+@query(sql("select class, count(f.code) = 0 conforms, count(f.code) n_codes from classes c left join (select distinct code from found) f on f.code = c.code group by class", WEAKEST, CEILING, SHAPE_SQL, GRAN_SQL, OPEN_SQL, ALL_SQL, CLASS_ROWS))
+def conformance_all(spark, d):
+    """The classes against the findings of every pass."""
+    return check.conformance(every_finding(spark, d))
+
+
+@query(sql("select coalesce(u.kind, v.kind) kind, coalesce(n, 0) n, coalesce(views, 0) views from (select kind, count(*) n from units group by kind) u full join (select kind, count(distinct view) as views from asked_ group by kind) v using (kind) where coalesce(u.kind, v.kind) not in ('claim', 'finding', 'evidence')", "asked_ as (select 'v:'||r_regionkey as view, unnest(['data', 'claim', 'x:'||(r_regionkey % 2)]) kind from region)"))
+def fidelity_missing(spark, d):
+    """What a consumer of three kinds lacks of the units and of what views, one a region, require."""
+    views = T.table(spark, d, "region").select(T.node("v", "r_regionkey").alias("view"), F.array(F.lit("data"), F.lit("claim"), F.concat(F.lit("x:"), (F.col("r_regionkey") % 2).cast("string"))).alias("requires"))
+    return check.missing(T.units(spark, d), views, ("claim", "finding", "evidence"))
+
+
 @query(sql("select kind, count(*) n, case when kind in ('claim','finding','evidence') then 'full' when kind in ('data') then 'refuse' else 'degraded' end verdict from units group by kind"))
 def fidelity(spark, d):
     return check.fidelity(T.units(spark, d), ("claim", "finding", "evidence"), ("data",))
@@ -158,6 +175,13 @@ def membership(spark, d):
     return graph.closure(T.edges(spark, d, kinds), customers(spark, d), kinds).select("uid").join(T.units(spark, d).select("uid"), "uid", "left_semi")
 
 
+@query(sql("select uid, min(level) level from walk join units using (uid) group by uid", "pairs as (select distinct src, dst from edges)", "walk(uid, level) as (select uid, 0 from units where kind = 'data' and try_cast(substring(uid, 3) as bigint) % 50 = 0 union select dst, level + 1 from walk join pairs on src = walk.uid where level < 3)"))
+def membership_all(spark, d):
+    """Units within three steps of every fiftieth part over edges of every kind."""
+    roots = T.units(spark, d).where("kind = 'data'").where(F.substring("uid", 3, 20).try_cast("long") % 50 == 0).select("uid")
+    return graph.closure(T.edges(spark, d), roots, None, most=3).join(T.units(spark, d).select("uid"), "uid", "left_semi")
+
+
 WHO = "who as (select uid, string_agg(distinct agent, ',' order by agent) agents, min(hop) hop from attestations group by uid)"
 
 
