@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
-from ..operators import check, chunk, evaluate, pack, render, retrieve, thread, vectors
+from ..operators import check, chunk, evaluate, lexical, pack, render, retrieve, thread, vectors
 from ..operators.merge import top_by
 from ..sources import imports
 from ..sources import store as T
@@ -117,6 +117,12 @@ def find_lexical(spark, d):
     return retrieve.bm25(T.documents(spark, d).select("uid", "gist", "body"), benchmark_queries(spark, d), 5)
 
 
+@query(sql("select query, uid, score, rank from (select *, row_number() over (partition by query order by score desc, uid) rank from sc where score > 0) where rank <= 5", POST, BM))
+def find_lexical_index(spark, d):
+    """The same by a stored index of postings in blocks, those left closed that can't hold a result."""
+    return lexical.search(lexical.build(T.documents(spark, d)), benchmark_queries(spark, d), 5)
+
+
 @query(sql("select query, uid, score, rank from (select *, row_number() over (partition by query order by score desc, uid) rank from sc where score > 0 and uid in (select uid from docs where status >= 4 and lang = 'en')) where rank <= 5", POST, BM))
 def find_filtered(spark, d):
     """Only cited documents of one language are ranked; the counts are of all."""
