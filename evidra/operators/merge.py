@@ -308,24 +308,53 @@ def relink(units: DataFrame, edges: DataFrame) -> DataFrame:
     return refs.select("src", "dst", "kind", "now", F.when(F.col("now").isNotNull(), "moved").when(F.col("forked"), "forked").when(F.col("there").isNull(), "dangling").otherwise("kept").alias("fate"))
 
 
+def _reached(start: DataFrame, grounds: DataFrame, settled: DataFrame) -> DataFrame:
+    """(uid): start and all that rests on it through grounds(uid, ground), but for what is settled already."""
+    seen = frontier = written(start.select("uid").distinct().join(settled, "uid", "left_anti"))
+    turn = 0
+    while not frontier.isEmpty():
+        turn += 1
+        new = frontier.select(F.col("uid").alias("ground")).join(grounds, "ground").select("uid").distinct()
+        frontier = written(new.join(seen, "uid", "left_anti").join(settled, "uid", "left_anti"))
+        seen = written(seen.union(frontier)) if turn % 4 == 0 else seen.union(frontier)
+    return seen
+
+
 def monotone(units: DataFrame, edges: DataFrame) -> DataFrame:
     """(uid, was, status, ground): units whose status exceeds their weakest ground's, lowered until none does.
 
     units has uid, status and source. A lowered unit gets the highest status at or
     below that of its weakest present ground that its shape carries: measured and
-    cited need a source, derived and inferred grounds, speculative nothing. Rounds
-    lower whole levels at once; statuses only fall, so they end.
+    cited need a source, derived and inferred grounds, speculative nothing. ground is
+    the least of the weakest ones, as they are in the end.
+
+    Levels are settled from the lowest: units of a level hold down all that rests on
+    them and isn't settled below, so each level is one reachability and no unit is
+    settled twice. Speculative is the floor: what rests on the unfounded stays
+    speculative, and only units that were unfounded are. A measured unit without
+    source can't be cited, so what keeps it from being measured makes it derived: the
+    units that can't be measured are found before those that can't be cited.
     """
     grounds = written(edges.where("kind = 'grounds'").select(F.col("src").alias("uid"), F.col("dst").alias("ground")).distinct().join(units.select(F.col("uid").alias("ground")), "ground", "left_semi").join(units.select("uid"), "uid", "left_semi"))
-    now = written(units.select("uid", F.col("status").alias("was"), "status", F.col("source").isNotNull().alias("sourced"), F.lit(None).cast("string").alias("ground")))
-    while True:
-        weakest = grounds.join(now.select(F.col("uid").alias("ground"), F.col("status").alias("s")), "ground").groupBy("uid").agg(F.min(F.struct("s", "ground")).alias("w"))
-        over = F.col("status") > F.col("w.s")
-        low = F.greatest(F.lit(S.SPECULATIVE), S.attainable(F.col("status"), F.col("w.s"), F.col("sourced"), F.lit(True)))
-        new = written(now.join(weakest, "uid", "left").select("uid", "was", F.when(over & (low < F.col("status")), low).otherwise(F.col("status")).cast("int").alias("status"), "sourced", F.when(over & (low < F.col("status")), F.col("w.ground")).otherwise(F.col("ground")).alias("ground"), (over & (low < F.col("status"))).alias("fell")))
-        now = new.drop("fell")
-        if new.where("fell").isEmpty():
-            return now.where("status < was").select("uid", "was", "status", "ground")
+    own = written(units.select("uid", F.col("status").cast("int").alias("was"), F.col("source").isNotNull().alias("sourced")))
+    settled = own.select("uid").limit(0)
+    levels = []
+    for status in (S.SPECULATIVE, S.INFERRED, S.DERIVED):
+        base = own.where(F.col("was") <= status)
+        if status == S.DERIVED:
+            short = _reached(own.where(F.col("was") < S.MEASURED), grounds, settled)  # what can't be measured
+            base = base.union(own.where((F.col("was") == S.MEASURED) & ~F.col("sourced")).join(short, "uid", "left_semi"))
+        found = written(_reached(base, grounds, settled))
+        levels.append(found.withColumn("level", F.lit(status)))
+        settled = written(settled.union(found))
+    levels.append(short.join(settled, "uid", "left_anti").withColumn("level", F.lit(S.CITED)))
+    held = levels[0]
+    for level in levels[1:]:
+        held = held.union(level)
+    now = written(own.join(held, "uid", "left").select("uid", "was", F.least("was", F.coalesce("level", "was")).alias("status")))
+    fell = now.where("status < was")
+    weakest = grounds.join(fell.select("uid"), "uid", "left_semi").join(now.select(F.col("uid").alias("ground"), F.col("status").alias("s")), "ground").groupBy("uid").agg(F.min(F.struct("s", "ground")).alias("w"))
+    return fell.join(weakest, "uid").select("uid", "was", "status", F.col("w.ground").alias("ground"))
 
 
 def top_by(rows: DataFrame, n: int, key: list[str], *order) -> DataFrame:

@@ -520,17 +520,17 @@ def relink_references(spark, d):
 
 
 FELL = """gr as (select distinct src, dst from edges where kind = 'grounds'),
-m0 as (select uid, kind, status was, status, source is not null sourced, null::varchar ground from units)"""
+m0 as (select uid, kind, status was, status, source is not null sourced from units)"""
 
 
 def _fell(n: int) -> str:
     low = "greatest(1, case when least(m.status, w.s) >= 4 and not sourced then 3 else least(m.status, w.s) end)"
-    return ", ".join([FELL] + [f"m{i + 1} as (select m.uid, was, case when m.status > w.s and {low} < m.status then {low} else m.status end status, sourced, case when m.status > w.s and {low} < m.status then w.g else ground end ground from m{i} m left join (select src, min({{'s': status, 'g': uid}}).s s, min({{'s': status, 'g': uid}}).g g from gr join m{i} on uid = dst group by src) w on w.src = m.uid)" for i in range(n)])
+    return ", ".join([FELL] + [f"m{i + 1} as (select m.uid, was, case when m.status > w.s and {low} < m.status then {low} else m.status end status, sourced from m{i} m left join (select src, min(status) s from gr join m{i} on uid = dst group by src) w on w.src = m.uid)" for i in range(n)])
 
 
-@query(sql("select uid, was, status::int status, ground from m4 where status < was", _fell(4), kinds=("grounds",)))
+@query(sql("select m.uid, was, status::int status, w.g ground from m4 m join (select src, min({'s': status, 'g': uid}).g g from gr join m4 on uid = dst group by src) w on w.src = m.uid where status < was", _fell(4), kinds=("grounds",)))
 def monotone_status(spark, d):
-    """Statuses lowered to what grounds bear: lines, orders, customers, so three levels and one to see that it ends."""
+    """Statuses lowered to what grounds bear: lines, orders, customers, so three levels and one to see that it ends; the ground is the weakest in the end."""
     return merge.monotone(T.units(spark, d), T.edges(spark, d, ("grounds",)))
 
 

@@ -268,3 +268,35 @@ def test_monotone(spark):
     u = spark.createDataFrame([("a", 5, "s"), ("b", 4, None), ("c", 1, None), ("d", 3, None), ("e", 5, None)], "uid string, status int, source string")
     e = spark.createDataFrame([("a", "b", "grounds"), ("b", "c", "grounds"), ("d", "e", "grounds"), ("e", "gone", "grounds")], EDGES)
     assert rows(merge.monotone(u, e), "uid", "was", "status", "ground") == [("a", 5, 1, "b"), ("b", 4, 1, "c")]
+
+
+def lowered(units, grounds):
+    """By rounds over all units until nothing falls; then the weakest ground of what fell."""
+    now = {u: s for u, s, _ in units}
+    while True:
+        new = dict(now)
+        for u, s, source in units:
+            low = min((now[g] for x, g in grounds if x == u and g in now), default=9)
+            if now[u] > low:
+                carried = 3 if low >= 4 and not source else low
+                new[u] = min(now[u], max(1, carried))
+        if new == now:
+            return sorted((u, s, now[u], min((now[g], g) for x, g in grounds if x == u and g in now)[1]) for u, s, _ in units if now[u] < s)
+        now = new
+
+
+def test_monotone_by_force(spark):
+    """Random stores with cycles, self-loops, absent grounds, units without source, and the unfounded."""
+    cases = []
+    for seed in range(12):
+        rng = random.Random(seed)
+        names = [f"{seed}-{i:02}" for i in range(25)]
+        units = [(n, rng.choice([0, 1, 2, 3, 4, 4, 5, 5, 5, 5] if seed % 2 else [4, 5, 5, 5, 5]), rng.choice(["s", None])) for n in names]
+        grounds = {(rng.choice(names), rng.choice([*names, "gone"])) for _ in range(rng.choice([15, 30, 50]))}
+        cases.append((units, grounds))
+    u = spark.createDataFrame([r for units, _ in cases for r in units], "uid string, status int, source string")
+    e = spark.createDataFrame([(*p, "grounds") for _, grounds in cases for p in grounds], EDGES)
+    want = sorted(r for units, grounds in cases for r in lowered(units, grounds))
+    assert len({r[2] for r in want}) == 4
+    assert rows(merge.monotone(u, e), "uid", "was", "status", "ground") == want
+    assert merge.monotone(u.limit(0), e.limit(0)).count() == 0
