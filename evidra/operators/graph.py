@@ -233,13 +233,64 @@ def cycles(edges: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
 def cycle_groups(edges: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """(uid, head, n): the groups of nodes that reach each other, and each node that only leads into a cycle alone.
 
-    head is the least node of the group. The least name that reaches a node and the
-    least that it reaches are carried along the edges until nothing changes; nodes
-    whose two names agree form the group of that name, and the rest goes on.
+    head is the least node of the group. The graph is contracted first. Each round
+    takes out nodes with one way in or one way out at most, no two of them
+    neighbours, and leads the ways through them past them, which adds no edge and
+    leaves alone what others reach. So rings, chains and trees of any length go in
+    logarithmic rounds. What is left, where all nodes have two ways in and out, is
+    grouped by names carried along edges, in rounds that grow with its diameter. Then
+    the nodes come back, last ones first: a node joins a group that it leads into and
+    that leads into it.
     """
-    left = written(cycles(edges, kinds).select("uid"))
-    pairs = written(of_kinds(edges, kinds).join(left.select(F.col("uid").alias("src")), "src", "left_semi").join(left.select(F.col("uid").alias("dst")), "dst", "left_semi"))
-    groups = None
+    pairs = written(of_kinds(edges, kinds))
+    loops = pairs.where("src = dst").select(F.col("src").alias("uid"), F.lit(True).alias("into")).distinct()
+    nodes = written(pairs.select(F.col("src").alias("uid")).union(pairs.select("dst")).distinct().join(loops, "uid", "left").select("uid", F.coalesce("into", F.lit(False)).alias("into")))
+    pairs = pairs.where("src <> dst")
+    taken = []
+    while True:
+        out = _passable(nodes, pairs, len(taken))
+        if out.isEmpty():
+            break
+        ways = written(_touching(pairs, out))
+        past = ways.where("inward").select("uid", F.col("other").alias("src"), "into").join(ways.where("not inward").select("uid", F.col("other").alias("dst")), "uid")
+        past = written(past.select("src", "dst"))
+        # a way past that ends where it began is a cycle, as is what lay behind a node that led into one
+        cyclic = past.where("src = dst").select(F.col("src").alias("uid")).union(ways.where("inward and into").select("other")).distinct().withColumn("more", F.lit(True))
+        nodes = written(nodes.join(out.select("uid"), "uid", "left_anti").join(cyclic, "uid", "left").select("uid", (F.col("into") | F.coalesce("more", F.lit(False))).alias("into")))
+        kept = pairs.join(out.select(F.col("uid").alias("src")), "src", "left_anti").join(out.select(F.col("uid").alias("dst")), "dst", "left_anti").select("src", "dst")
+        pairs = written(kept.union(past.where("src <> dst")).distinct())
+        taken.append((out, ways))
+    known = _mutual(nodes.select("uid"), pairs).withColumn("into", F.lit(True))
+    for out, ways in reversed(taken):
+        near = ways.join(known.select(F.col("uid").alias("other"), "head", F.col("into").alias("leads")), "other")
+        leads = near.where("not inward and leads").select("uid", F.lit(True).alias("leads")).distinct()
+        joins = near.where("inward").select("uid", "head").join(near.where("not inward").select("uid", "head"), ["uid", "head"], "left_semi").distinct()
+        back = out.join(joins, "uid", "left").join(leads, "uid", "left").select("uid", F.coalesce("head", "uid").alias("head"), (F.col("into") | F.coalesce("leads", F.lit(False))).alias("into"))
+        known = written(known.union(back))
+    groups = known.groupBy("head").agg(F.min("uid").alias("least"), F.count("*").alias("n"))
+    return known.where("into").join(groups, "head").select("uid", F.col("least").alias("head"), "n")
+
+
+def _passable(nodes: DataFrame, pairs: DataFrame, turn: int) -> DataFrame:
+    """(uid, into): nodes with one way in or out at most whose hash is less than that of all such neighbours."""
+    count = lambda end, name: pairs.groupBy(F.col(end).alias("uid")).agg(F.count("*").alias(name))
+    some = nodes.join(count("dst", "ins"), "uid", "left").join(count("src", "outs"), "uid", "left").where("coalesce(ins, 0) <= 1 or coalesce(outs, 0) <= 1")
+    some = written(some.select("uid", "into", F.xxhash64("uid", F.lit(turn)).alias("hash")))
+    drawn = lambda end: some.select(F.col("uid").alias(end), F.struct("hash", "uid").alias(f"{end}_drawn"))
+    both = pairs.join(drawn("src"), "src").join(drawn("dst"), "dst")
+    lose = both.select(F.when(F.col("src_drawn") < F.col("dst_drawn"), F.col("dst")).otherwise(F.col("src")).alias("uid"))
+    return written(some.join(lose.distinct(), "uid", "left_anti").select("uid", "into"))
+
+
+def _touching(pairs: DataFrame, out: DataFrame) -> DataFrame:
+    """(uid, other, inward, into): the ways into and out of the nodes of out, no two of which are neighbours."""
+    into = pairs.join(out.withColumnRenamed("uid", "dst"), "dst").select(F.col("dst").alias("uid"), F.col("src").alias("other"), F.lit(True).alias("inward"), "into")
+    return into.union(pairs.join(out.withColumnRenamed("uid", "src"), "src").select(F.col("src").alias("uid"), F.col("dst").alias("other"), F.lit(False).alias("inward"), "into"))
+
+
+def _mutual(left: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(uid, head): groups of nodes that reach each other, by the least names that reach a node and that it reaches."""
+    groups = left.select("uid", F.col("uid").alias("head")).limit(0)
     while not left.isEmpty():
         names = []
         for a, b in (("src", "dst"), ("dst", "src")):
@@ -253,12 +304,10 @@ def cycle_groups(edges: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
             names.append(least)
         both = names[0].join(names[1].withColumnRenamed("name", "other"), "uid")
         found = written(both.where("name = other").select("uid", F.col("name").alias("head")))
-        groups = found if groups is None else groups.union(found)
+        groups = groups.union(found)
         left = written(left.join(found, "uid", "left_anti"))
         pairs = written(pairs.join(left.select(F.col("uid").alias("src")), "src", "left_semi").join(left.select(F.col("uid").alias("dst")), "dst", "left_semi"))
-    if groups is None:
-        return left.select("uid", F.col("uid").alias("head"), F.lit(1).cast("long").alias("n"))
-    return groups.join(groups.groupBy("head").agg(F.count("*").alias("n")), "head").select("uid", "head", "n")
+    return groups
 
 
 def dangling(edges: DataFrame, units: DataFrame) -> DataFrame:

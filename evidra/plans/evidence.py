@@ -92,6 +92,13 @@ def check_causal_cycles(spark, d):
     return graph.cycles(T.edges(spark, d, ("causes", "sequences")), ("causes", "sequences"))
 
 
+@query(sql("""select uid, head, count(*) over (partition by head) n from (select r.a uid, min(r.b) head from reach r join reach s on r.a = s.b and r.b = s.a group by r.a
+  union all select distinct a, a from reach where b in (select n from on_cycle) and a not in (select n from on_cycle))""", CYCLE, kinds=("causes", "sequences")))
+def cycle_groups(spark, d):
+    """Which units go round together: those of a group reach each other; the others only lead into one."""
+    return graph.cycle_groups(T.edges(spark, d, ("causes", "sequences")), ("causes", "sequences"))
+
+
 LOOPED = "pairs as (select distinct src, dst from (select src, dst from edges union all select 'n:'||n_nationkey, 's:'||s_suppkey from supplier join nation on n_nationkey = s_nationkey where s_suppkey % 11 = 0))"
 
 

@@ -148,6 +148,45 @@ def test_cycle_groups(spark):
     assert graph.cycle_groups(spark.createDataFrame([("a", "b", "causes")], EDGES), ("causes",)).count() == 0
 
 
+def mutual(pairs):
+    """Groups by what each node reaches; nodes that reach no cycle are left out."""
+    names = {x for p in pairs for x in p}
+    reach = {u: {b for a, b in pairs if a == u} for u in names}
+    while True:
+        new = {u: r.union(*(reach[x] for x in r)) for u, r in reach.items()}
+        if new == reach:
+            break
+        reach = new
+    cyclic = {u for u in names if u in reach[u]}
+    group = {u: {u} | {x for x in reach[u] if u in reach[x]} for u in names}
+    return {(u, min(group[u]), len(group[u])) for u in names if u in cyclic or reach[u] & cyclic}
+
+
+def test_cycle_groups_by_force(spark):
+    """Sparse and dense random graphs, with loops on one node, tails and equal edges."""
+    pairs = []
+    for seed in range(16):
+        rng = random.Random(seed)
+        names = [f"{seed}-{i:02}" for i in range(24)]
+        pairs += [(rng.choice(names), rng.choice(names)) for _ in range([14, 22, 30, 48, 90][seed % 5])]
+    e = spark.createDataFrame([(*p, "causes") for p in pairs + pairs[:5]], EDGES)
+    want = set().union(*(mutual([p for p in pairs if p[0].startswith(f"{s}-")]) for s in range(16)))
+    assert {tuple(r) for r in graph.cycle_groups(e, ("causes",)).select("uid", "head", "n").collect()} == want
+
+
+def test_long_ring(spark, monkeypatch):
+    """A ring of 10,000 with a tail of 2,000 into it and one out of it, in rounds by its logarithm."""
+    turns = []
+    passable = graph._passable
+    monkeypatch.setattr(graph, "_passable", lambda *a: turns.append(1) or passable(*a))
+    ring = spark.range(10000).selectExpr("format_string('r%05d', id) src", "format_string('r%05d', (id + 1) % 10000) dst")
+    tail = spark.range(2000).selectExpr("format_string('t%05d', id) src", "if(id = 1999, 'r00500', format_string('t%05d', id + 1)) dst")
+    away = spark.range(2000).selectExpr("if(id = 0, 'r00700', format_string('x%05d', id)) src", "format_string('x%05d', id + 1) dst")
+    got = graph.cycle_groups(ring.union(tail).union(away).withColumn("kind", F.lit("causes")), ("causes",))
+    assert {tuple(r) for r in got.groupBy(F.substring("uid", 1, 1), "n").agg(F.count("*"), F.countDistinct("head")).collect()} == {("r", 10000, 10000, 1), ("t", 1, 2000, 2000)}
+    assert len(turns) < 40
+
+
 def test_places_and_matchers(spark):
     m = spark.createDataFrame([(1, u, "claim", i, float(i)) for i, u in enumerate("abcdef")], "scope int, uid string, kind string, status int, salience double")
     e = spark.createDataFrame([("b", "a", "causes"), ("c", "b", "causes"), ("d", "c", "sequences")], EDGES)
