@@ -654,6 +654,32 @@ def label_second_names(spark, d):
     return imports.label_names(bindings(spark, d))[1]
 
 
+RING = """seq as (select o_custkey doc, o_orderkey pos, lead(o_orderkey) over w nxt, first_value(o_orderkey) over w fst, min(o_orderkey) over (partition by o_custkey) low from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)),
+rest as (select doc, pos, coalesce(nxt, case when doc % 7 = 0 then fst end) onto, low from seq)"""
+
+
+def labelled(spark, d):
+    """Orders as units of their customer's document: each needs the next by date, those of every seventh customer go round, and some name what is not there."""
+    o, w = T.table(spark, d, "orders"), Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    label = lambda c: F.concat(F.lit("o/"), F.col(c).cast("string"))
+    units = o.select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("pos"), label("o_orderkey").alias("label"), T.node("o", "o_orderkey").alias("uid"))
+    onto = F.coalesce(F.lead("o_orderkey").over(w), F.when(F.col("o_custkey") % 7 == 0, F.first("o_orderkey").over(w)))
+    seq = o.select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("pos"), onto.alias("onto"))
+    rows = lambda df, kind, named: df.select("doc", "pos", F.lit(kind).alias("kind"), F.lit(0).alias("at"), named.alias("label"), F.lit(None).cast("string").alias("uid"))
+    return units, rows(seq.where("onto is not null"), "deps", label("onto")).union(rows(seq.where("pos % 11 = 0"), "grounds", F.concat(F.lit("o/x"), F.col("pos").cast("string"))))
+
+
+@query(sql("select 'o:'||pos src, 'o:'||onto dst, 'deps' kind from rest where onto is not null and not (doc % 7 = 0 and onto = low)", RING))
+def label_edges(spark, d):
+    return imports.resolved(*labelled(spark, d))[0]
+
+
+@query(sql("select 'E061' code, doc, pos, 'o/'||onto \"label\" from rest where doc % 7 = 0 and onto = low union all select 'E060', doc, pos, 'o/x'||pos from seq where pos % 11 = 0", RING))
+def label_diagnostics(spark, d):
+    """Labels that no unit bears, and the references by which a document's units would rest on themselves."""
+    return imports.resolved(*labelled(spark, d))[1].select("code", "doc", "pos", "label")
+
+
 KEPT_SQL = """went(uid) as (select 'o:'||o_orderkey from orders where o_orderstatus = 'P' union select dst from went join (select distinct src, dst from edges) e on e.src = went.uid),
 kept_ as (select uid from went where uid in (select uid from units)),
 shaky as (select distinct dst uid from edges where kind = 'retracts' and dst in (select uid from kept_)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,6 +68,63 @@ def label_names(bindings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return names, pairs.where("label <> least").select(F.lit("W054").alias("code"), "uid", "label")
 
 
+def resolved(units: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges(src, dst, kind) and diagnostics(code, doc, pos, kind, at, label) of what units of documents refer to by label.
+
+    units has doc, pos, uid and a label or null; refs has doc, pos, kind (deps or
+    grounds), at (its place among those of its kind), and a label or else a uid, which
+    is taken as it stands. A label means the last unit of its document that bears it;
+    one that none bears is E060. A unit can't rest on itself in the end: units are
+    followed from a document's first one on, deps before grounds, and a reference to a
+    unit that is still being followed is E061. Both drop the reference and keep the
+    unit.
+
+    Joins find the units that go round; documents without any are done with that. The
+    others are followed one at a time in a grouped function, so such a document's
+    references must fit one task, as its text does.
+    """
+    last = units.where("label is not null").groupBy("doc", "label").agg(F.max("pos").alias("to"))
+    known = written(refs.join(last, ["doc", "label"], "left"))
+    unknown = known.where("label is not null and `to` is null")
+    inner = known.where("`to` is not null").select("doc", "pos", "kind", "at", "to")
+    place = lambda c: F.to_json(F.struct("doc", F.col(c).alias("pos")))
+    arrows = written(inner.select("doc", place("pos").alias("src"), place("to").alias("dst"), F.lit("deps").alias("kind")))
+    loops = arrows.where("src = dst").select("doc")
+    rounds = graph.cycle_groups(arrows, None).where("n > 1").select(F.col("uid").alias("src"))
+    round_docs = written(loops.union(arrows.join(rounds, "src", "left_semi").select("doc")).distinct())
+    types = dict(known.dtypes)
+
+    def back(pdf):
+        own = {}
+        for r in pdf.sort_values(["kind", "at"], kind="stable").itertuples(index=False):  # deps before grounds
+            own.setdefault(r.pos, []).append(r)
+        state, found = {}, []
+        for first in sorted(own):
+            stack = [] if first in state else [(first, iter(own[first]))]
+            state.setdefault(first, 1)
+            while stack:
+                pos, left = stack[-1]
+                r = next(left, None)
+                if r is None:
+                    state[pos] = 2
+                    stack.pop()
+                elif state.get(r.to) == 1:
+                    found.append((r.doc, r.pos, r.kind, r.at))
+                elif r.to not in state:
+                    state[r.to] = 1
+                    stack.append((r.to, iter(own.get(r.to, ()))))
+        return pd.DataFrame(found, columns=["doc", "pos", "kind", "at"])
+
+    dropped = written(inner.join(round_docs, "doc", "left_semi").groupBy("doc").applyInPandas(back, ", ".join(f"{c} {types[c]}" for c in ("doc", "pos", "kind", "at"))))
+    key = ["doc", "pos", "kind", "at"]
+    names = units.select("doc", "pos", "uid")
+    target = F.coalesce("named", F.when(F.col("label").isNull(), F.col("uid")))
+    kept = known.join(dropped, key, "left_anti").join(names.select("doc", F.col("pos").alias("to"), F.col("uid").alias("named")), ["doc", "to"], "left").select("doc", "pos", "kind", target.alias("dst")).where("dst is not null")
+    edges = kept.join(names, ["doc", "pos"]).select(F.col("uid").alias("src"), "dst", "kind").distinct()
+    said = lambda rows, code: rows.select(F.lit(code).alias("code"), *key, "label")
+    return edges, said(unknown, "E060").union(said(known.join(dropped, key, "left_semi"), "E061"))
+
+
 def bundle(units: DataFrame, edges: DataFrame, roots: DataFrame, include_retracted: bool = False) -> DataFrame:
     """(uid): what the roots reach over all edges and units hold; retracted ones only while another of them rests on them."""
     kept = written(graph.closure(edges, roots, None).select("uid").join(units.select("uid"), "uid", "left_semi"))
