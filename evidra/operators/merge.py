@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,6 +59,11 @@ def views_union(views: DataFrame) -> DataFrame:
     return views.groupBy("view").agg(*lists)
 
 
+def views_register(*stores: DataFrame) -> DataFrame:
+    """views(view, ...) of several stores as one register: a view's largest row stays as it is, in whatever order stores come."""
+    return functools.reduce(lambda a, b: merged(a, b, ["view"]), stores[1:], merged(stores[0], stores[0].limit(0), ["view"]))
+
+
 def digest(rows: DataFrame) -> DataFrame:
     """One row: n and an order-free digest, the sum of 56 bits of each row's SHA-256."""
     one = F.conv(F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]), 256), 1, 14), 16, 10).cast("decimal(20,0)")

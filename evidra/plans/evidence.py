@@ -461,6 +461,17 @@ def view_union(spark, d):
     return merge.views_union(views(spark, d)).select("view", *[F.array_join(c, ",").alias(c) for c in ("roots", "threads", "requires")])
 
 
+LISTED = ", ".join(f"array_to_string(v.{c}, ',') {c}" for c in ("roots", "threads", "requires"))
+
+
+@query(sql(f"select \"view\", {LISTED}, v.profile profile from (select \"view\", max({{'roots': roots, 'threads': threads, 'requires': requires, 'profile': profile}}) v from views group by 1)", VIEWS))
+def view_register(spark, d):
+    """Absorbed views: each name holds one view, whichever store's rows come first."""
+    v = views(spark, d)
+    absorbed = merge.views_register(v.where("profile = 'fine'"), v.where("profile = 'coarse'"), v.where("profile = 'default'"))
+    return absorbed.select("view", *[F.array_join(c, ",").alias(c) for c in ("roots", "threads", "requires")], "profile")
+
+
 @query(sql("select profile, count(*) n from views group by profile", VIEWS))
 def granularity_distribution(spark, d):
     return check.granularity_distribution(views(spark, d))

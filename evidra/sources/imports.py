@@ -79,19 +79,15 @@ def resolved(units: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     unit that is still being followed is E061. Both drop the reference and keep the
     unit.
 
-    Joins find the units that go round; documents without any are done with that. The
-    others are followed one at a time in a grouped function, so such a document's
-    references must fit one task, as its text does.
+    Where a document's references all go back, or all go on, none of its units goes
+    round, and joins do. Other documents are followed one at a time in a grouped
+    function, so the references of one must fit one task, as its text does.
     """
     last = units.where("label is not null").groupBy("doc", "label").agg(F.max("pos").alias("to"))
     known = written(refs.join(last, ["doc", "label"], "left"))
     unknown = known.where("label is not null and `to` is null")
     inner = known.where("`to` is not null").select("doc", "pos", "kind", "at", "to")
-    place = lambda c: F.to_json(F.struct("doc", F.col(c).alias("pos")))
-    arrows = written(inner.select("doc", place("pos").alias("src"), place("to").alias("dst"), F.lit("deps").alias("kind")))
-    loops = arrows.where("src = dst").select("doc")
-    rounds = graph.cycle_groups(arrows, None).where("n > 1").select(F.col("uid").alias("src"))
-    round_docs = written(loops.union(arrows.join(rounds, "src", "left_semi").select("doc")).distinct())
+    mixed = inner.groupBy("doc").agg(F.bool_or(F.col("to") >= F.col("pos")).alias("on"), F.bool_or(F.col("to") <= F.col("pos")).alias("back")).where("on and back").select("doc")
     types = dict(known.dtypes)
 
     def back(pdf):
@@ -115,7 +111,7 @@ def resolved(units: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     stack.append((r.to, iter(own.get(r.to, ()))))
         return pd.DataFrame(found, columns=["doc", "pos", "kind", "at"])
 
-    dropped = written(inner.join(round_docs, "doc", "left_semi").groupBy("doc").applyInPandas(back, ", ".join(f"{c} {types[c]}" for c in ("doc", "pos", "kind", "at"))))
+    dropped = written(inner.join(mixed, "doc", "left_semi").groupBy("doc").applyInPandas(back, ", ".join(f"{c} {types[c]}" for c in ("doc", "pos", "kind", "at"))))
     key = ["doc", "pos", "kind", "at"]
     names = units.select("doc", "pos", "uid")
     target = F.coalesce("named", F.when(F.col("label").isNull(), F.col("uid")))

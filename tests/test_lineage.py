@@ -339,3 +339,14 @@ def test_monotone_by_force(spark):
     assert len({r[2] for r in want}) == 4
     assert rows(merge.monotone(u, e), "uid", "was", "status", "ground") == want
     assert merge.monotone(u.limit(0), e.limit(0)).count() == 0
+
+
+def test_views_register(spark):
+    """The same view whatever order stores come in, an absorbed store changes nothing when it comes again, and null fields are least."""
+    schema = "view string, roots array<string>, profile string"
+    a = spark.createDataFrame([("v", ["a", "b"], "fine"), ("w", ["c"], None)], schema)
+    b = spark.createDataFrame([("v", ["a", "c"], "coarse"), ("w", ["c"], "default"), ("x", [], "fine")], schema)
+    want = [("v", ["a", "c"], "coarse"), ("w", ["c"], "default"), ("x", [], "fine")]
+    for stores in ((a, b), (b, a), (b, a, b, a)):
+        assert rows(merge.views_register(*stores), "view", "roots", "profile") == want
+    assert rows(merge.views_register(a), "view", "roots", "profile") == rows(a, "view", "roots", "profile")
