@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import graph, merge
-from .store import written
+from .store import grouped, written
 
 LEDGER = "at bigint, provider string, model string, task string, run string, input_tokens bigint, output_tokens bigint, retries int, estimated boolean"
 
@@ -80,8 +80,8 @@ def resolved(units: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     unit.
 
     Where a document's references all go back, or all go on, none of its units goes
-    round, and joins do. Other documents are followed one at a time in a grouped
-    function, so the references of one must fit one task, as its text does.
+    round, and joins do. Other documents are followed in a grouped function, many small
+    ones in a call, so the references of one must fit one task, as its text does.
     """
     last = units.where("label is not null").groupBy("doc", "label").agg(F.max("pos").alias("to"))
     known = written(refs.join(last, ["doc", "label"], "left"))
@@ -91,27 +91,28 @@ def resolved(units: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     types = dict(known.dtypes)
 
     def back(pdf):
-        own = {}
+        docs, found = {}, []
         for r in pdf.sort_values(["kind", "at"], kind="stable").itertuples(index=False):  # deps before grounds
-            own.setdefault(r.pos, []).append(r)
-        state, found = {}, []
-        for first in sorted(own):
-            stack = [] if first in state else [(first, iter(own[first]))]
-            state.setdefault(first, 1)
-            while stack:
-                pos, left = stack[-1]
-                r = next(left, None)
-                if r is None:
-                    state[pos] = 2
-                    stack.pop()
-                elif state.get(r.to) == 1:
-                    found.append((r.doc, r.pos, r.kind, r.at))
-                elif r.to not in state:
-                    state[r.to] = 1
-                    stack.append((r.to, iter(own.get(r.to, ()))))
+            docs.setdefault(r.doc, {}).setdefault(r.pos, []).append(r)
+        for own in docs.values():
+            state = {}
+            for first in sorted(own):
+                stack = [] if first in state else [(first, iter(own[first]))]
+                state.setdefault(first, 1)
+                while stack:
+                    pos, left = stack[-1]
+                    r = next(left, None)
+                    if r is None:
+                        state[pos] = 2
+                        stack.pop()
+                    elif state.get(r.to) == 1:
+                        found.append((r.doc, r.pos, r.kind, r.at))
+                    elif r.to not in state:
+                        state[r.to] = 1
+                        stack.append((r.to, iter(own.get(r.to, ()))))
         return pd.DataFrame(found, columns=["doc", "pos", "kind", "at"])
 
-    dropped = written(inner.join(mixed, "doc", "left_semi").groupBy("doc").applyInPandas(back, ", ".join(f"{c} {types[c]}" for c in ("doc", "pos", "kind", "at"))))
+    dropped = written(grouped(inner.join(mixed, "doc", "left_semi"), "doc", back, ", ".join(f"{c} {types[c]}" for c in ("doc", "pos", "kind", "at"))))
     key = ["doc", "pos", "kind", "at"]
     names = units.select("doc", "pos", "uid")
     target = F.coalesce("named", F.when(F.col("label").isNull(), F.col("uid")))

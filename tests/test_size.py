@@ -4,7 +4,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from evidra.operators import render
+from evidra.operators import graph, render
+from evidra.sources import imports
 from evidra.sources import store as T
 
 
@@ -50,3 +51,45 @@ def test_joinings_shuffle_no_edges_of_other_units(spark):
     uid = {(s.scope, s.pos): s.uid for s in steps.collect()}
     want = {(s, p, u, uid.get((s, p - 1)), kinds.get((u, uid.get((s, p - 1)))) if u != uid.get((s, p - 1)) else None) for (s, p), u in uid.items()}
     assert {tuple(r) for r in found.collect()} == want
+
+
+def counted(spark, monkeypatch, module):
+    """How often module's grouped functions are called, as an accumulator."""
+    calls, grouped = spark.sparkContext.accumulator(0), T.grouped
+
+    def counting(rows, key, solve, schema):
+        def each(pdf):
+            calls.add(1)
+            return solve(pdf)
+
+        return grouped(rows, key, each, schema)
+
+    monkeypatch.setattr(module, "grouped", counting)
+    return calls
+
+
+def test_small_components_are_ordered_together(spark, monkeypatch):
+    calls = counted(spark, monkeypatch, graph)
+    n = 600
+    # chains of three of which the middle one has the greatest name, and every fifth a ring
+    rows = [e for i in range(n) for e in [(f"b{i}", f"z{i}", "causes"), (f"z{i}", f"a{i}", "causes"), *([(f"a{i}", f"b{i}", "causes")] if i % 5 == 0 else [])]]
+    edges = spark.createDataFrame(rows, "src string, dst string, kind string")
+    units = spark.createDataFrame([(u,) for i in range(n) for u in (f"a{i}", f"b{i}", f"z{i}", f"m{i}")], "uid string")
+    got = {r.uid: (r.index, r.cyclic) for r in graph.store_order(edges, units).collect()}
+    waits, above = {r.uid: 0 for r in units.collect()}, {}
+    for s, d, _ in rows:
+        waits[s] += 1
+        above.setdefault(d, []).append(s)
+    order = graph.kahn(waits, above)
+    rest = sorted(set(waits) - set(order))
+    assert got == {u: (i, i >= len(order)) for i, u in enumerate(order + rest)}
+    assert 0 < calls.value < 10
+
+
+def test_small_documents_are_followed_together(spark, monkeypatch):
+    calls = counted(spark, monkeypatch, imports)
+    units = spark.range(900).select((F.col("id") / 3).cast("int").alias("doc"), (F.col("id") % 3).cast("int").alias("pos"), F.concat(F.lit("l"), F.col("id") % 3).alias("label"), F.concat(F.lit("u"), "id").alias("uid"))
+    refs = units.select("doc", "pos", F.lit("deps").alias("kind"), F.lit(0).alias("at"), F.concat(F.lit("l"), (F.col("pos") + 1) % 3).alias("label"), F.lit(None).cast("string").alias("uid"))
+    edges, said = imports.resolved(units, refs)
+    assert {(r.code, r.doc, r.pos) for r in said.collect()} == {("E061", d, 2) for d in range(300)}
+    assert edges.count() == 600 and 0 < calls.value < 10
