@@ -112,7 +112,7 @@ def resolved(units: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
                         stack.append((r.to, iter(own.get(r.to, ()))))
         return pd.DataFrame(found, columns=["doc", "pos", "kind", "at"])
 
-    dropped = written(grouped(inner.join(mixed, "doc", "left_semi"), "doc", back, ", ".join(f"{c} {types[c]}" for c in ("doc", "pos", "kind", "at"))))
+    dropped = written(grouped(inner.join(mixed, "doc", "left_semi"), "doc", back, ", ".join(f"{c} {types[c]}" for c in ("doc", "pos", "kind", "at")), known))
     key = ["doc", "pos", "kind", "at"]
     names = units.select("doc", "pos", "uid")
     target = F.coalesce("named", F.when(F.col("label").isNull(), F.col("uid")))
