@@ -114,3 +114,20 @@ def test_small_scopes_are_packed_together(spark, monkeypatch):
     # 1 for 4 tokens beats 0.6 for 5; the next best that fits is the gist of the second
     assert {(r.scope, r.uid, r.level) for r in got.collect()} == {(s, f"u{3 * s + k}", 0) for s in range(300) for k in (1, 2)}
     assert 0 < calls.value < 10
+
+
+def test_rounds_do_not_shuffle_the_edges_again(spark):
+    end = lambda by: F.concat(F.lit("u:"), F.xxhash64(F.col("id") + by))
+    rest = spark.range(1_000, 60_000).select(end(0).alias("src"), end(1_000_000).alias("dst"))
+    edges = T.written(rest.union(spark.range(20).select(end(0), end(1))).withColumn("kind", F.lit("deps")))
+    roots = spark.range(1).select(end(0).alias("uid"))
+    size = moved(spark, lambda: T.written(edges.select("src", "dst").repartition(4, "src")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for walk in (graph.closure, lambda e, r: graph.trace(e, r)):
+            got = []
+            assert moved(spark, lambda: got.extend(walk(edges, roots).collect())) < 2 * size  # noqa: B023
+            names = [r.uid for r in spark.range(21).select(end(0).alias("uid")).collect()]
+            assert {r.uid: r.level for r in got} == {u: i for i, u in enumerate(names)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
