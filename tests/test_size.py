@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from evidra.operators import graph, pack, render
+from evidra.operators import graph, pack, render, salience
 from evidra.sources import imports
 from evidra.sources import store as T
 
@@ -131,3 +131,39 @@ def test_rounds_do_not_shuffle_the_edges_again(spark):
             assert {r.uid: r.level for r in got} == {u: i for i, u in enumerate(names)}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def plain_rank(units, pairs, seeds, n=32):
+    nodes = sorted({*units, *(x for p in pairs for x in p)})
+    out = {u: [d for s, d in pairs if s == u] for u in nodes}
+    start = {u: (u in seeds) / max(1, len(seeds)) for u in nodes}
+    rank = dict(start)
+    for _ in range(n):
+        lost = sum(rank[u] for u in nodes if not out[u])
+        new = {u: 0.15 * start[u] + 0.85 * lost * start[u] for u in nodes}
+        for u in nodes:
+            for d in out[u]:
+                new[d] += 0.85 * rank[u] / len(out[u])
+        rank = new
+    top = max(rank.values(), default=0)
+    return {u: r / top if top else 0.0 for u, r in rank.items()}
+
+
+def test_rank_of_rings_absent_ends_and_seeds(spark):
+    units = [f"u{i}" for i in range(12)]
+    pairs = {("u0", "u1"), ("u1", "u2"), ("u2", "u0"), ("u3", "u0"), ("u3", "x"), ("y", "u4"), ("u5", "u5"), ("u6", "u7"), ("u7", "u8"), ("u8", "u9"), ("u3", "u9"), ("u9", "u10")}
+    own = spark.createDataFrame([(u,) for u in [*units, "u3"]], "uid string")
+    edges = spark.createDataFrame([(*p, k) for p in sorted(pairs) for k in ("deps", "grounds")] + [("u11", "u0", "rebuts")], "src string, dst string, kind string")
+    for seeds in (None, ["u3", "u3", "y", "nobody"]):
+        got = {r.uid: r["rank"] for r in salience.pagerank(own, edges, None if seeds is None else spark.createDataFrame([(u,) for u in seeds], "uid string")).collect()}
+        want = plain_rank(units, pairs, set(seeds or units))
+        assert got.keys() == want.keys() and all(abs(got[u] - want[u]) < 1e-12 for u in want)
+    assert salience.pagerank(own.limit(0), edges.limit(0)).collect() == []
+
+
+def test_rank_moves_what_walks_reach(spark):
+    name = lambda by: F.concat(F.lit("some unit of a long name:"), F.xxhash64(F.col("id") + by))
+    units = T.written(spark.range(20_000).select(name(0).alias("uid")))
+    edges = T.written(spark.range(19_000).select(name(0).alias("src"), name(1_000).alias("dst"), F.lit("deps").alias("kind")).where("xxhash64(src) % 2 = 0"))
+    size = moved(spark, lambda: T.written(edges.union(units.selectExpr("uid", "uid", "uid"))))
+    assert moved(spark, lambda: noop(salience.pagerank(units, edges))) < 8 * size
