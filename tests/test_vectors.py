@@ -1,6 +1,9 @@
 """The vector index against all pairs."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 
 from evidra.operators import retrieve, vectors
 
@@ -68,3 +71,17 @@ def test_given_vectors(spark):
     index, true = vectors.build(v), retrieve.nearest(v, q, 5).cache()
     assert {tuple(r) for r in vectors.search(index, q, 5).collect()} == {tuple(r) for r in true.collect()}
     assert vectors.recall(vectors.search(index, q, 5, probes=16, exact=False), true) >= 0.9
+
+
+def test_scoring_holds_a_tile_however_many_queries(monkeypatch):
+    rng = np.random.default_rng(3)
+    lists = lambda n: pa.array(list(rng.integers(-5, 6, (n, 6)).astype(float)), pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9000)), lists(9000)], ["uid", "embedding"])
+    asked = pa.table({"query": pa.array(range(0, 6000, 2)), "vector": lists(3000)})
+    tracemalloc.start()
+    got = [r for b in retrieve._scored(asked, 4)(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6  # a whole block of scores alone takes 200 MB
+    monkeypatch.setattr(retrieve, "TILE", 4096)
+    assert got == [r for b in retrieve._scored(asked, 4)(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns))] and len(got) > 10_000
