@@ -167,3 +167,32 @@ def test_rank_moves_what_walks_reach(spark):
     edges = T.written(spark.range(19_000).select(name(0).alias("src"), name(1_000).alias("dst"), F.lit("deps").alias("kind")).where("xxhash64(src) % 2 = 0"))
     size = moved(spark, lambda: T.written(edges.union(units.selectExpr("uid", "uid", "uid"))))
     assert moved(spark, lambda: noop(salience.pagerank(units, edges))) < 8 * size
+
+
+def test_levels_and_cycles_write_names_once(spark):
+    # lines of four rest on each other, every seventh goes round; names are long, so what moves them again is seen
+    name = lambda by: F.concat(F.lit("a unit of a name that is long:"), F.xxhash64(F.col("id") + by), F.xxhash64(F.col("id") + by + 1_000_000))
+    rows = spark.range(40_000)
+    edges = T.written(rows.where("id % 4 < 3").union(rows.where("id % 28 = 3")).select(name(0).alias("src"), F.when(F.col("id") % 4 < 3, name(1)).otherwise(name(-2)).alias("dst"), F.lit("deps").alias("kind")))
+    size = moved(spark, lambda: T.written(edges.select("src", "dst").repartition(4, "src")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = []
+        assert moved(spark, lambda: got.append({r.uid: r.level for r in graph.levels(edges).collect()})) < 2 * size
+        assert moved(spark, lambda: got.append({r.uid: r.on_path for r in graph.cycles(edges, ("deps",)).collect()})) < 2 * size
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    at = {r.uid: r.id for r in rows.select("id", name(0).alias("uid")).collect()}
+    assert {at[u]: n for u, n in got[0].items()} == {i: 3 - i % 4 for i in range(40_000) if i // 4 % 7}
+    assert {at[u]: n for u, n in got[1].items()} == {i: i % 4 > 0 for i in range(40_000) if i // 4 % 7 == 0}
+
+
+def test_names_with_one_number_get_others(spark, monkeypatch):
+    real = T.coded
+    for module in (graph, salience):
+        # in the first turn all names have one of two numbers
+        monkeypatch.setattr(module, "coded", lambda c, turn: F.length(c).cast("long") if turn == 1 else real(c, turn))
+    edges = spark.createDataFrame([("a", "bb", "deps"), ("bb", "c", "deps"), ("c", "dd", "deps"), ("c", "dd", "grounds"), ("e", "e", "deps")], "src string, dst string, kind string")
+    assert {tuple(r) for r in graph.levels(edges).collect()} == {("a", 3), ("bb", 2), ("c", 1), ("dd", 0)}
+    assert {tuple(r) for r in graph.cycles(edges, ("deps", "grounds")).collect()} == {("e", True)}
+    assert len(salience.pagerank(edges.selectExpr("src uid"), edges, iterations=2).collect()) == 5
