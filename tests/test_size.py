@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from evidra.operators import graph, pack, render, salience
+from evidra.operators import graph, merge, pack, render, salience
 from evidra.sources import imports
 from evidra.sources import store as T
 
@@ -196,3 +196,21 @@ def test_names_with_one_number_get_others(spark, monkeypatch):
     assert {tuple(r) for r in graph.levels(edges).collect()} == {("a", 3), ("bb", 2), ("c", 1), ("dd", 0)}
     assert {tuple(r) for r in graph.cycles(edges, ("deps", "grounds")).collect()} == {("e", True)}
     assert len(salience.pagerank(edges.selectExpr("src uid"), edges, iterations=2).collect()) == 5
+
+
+def test_statuses_settle_without_names(spark):
+    name = lambda by: F.concat(F.lit("a unit of a name that is long:"), F.xxhash64(F.col("id") + by), F.xxhash64(F.col("id") + by + 1_000_000))
+    rows = spark.range(40_000)
+    # fours rest on each other; the last of every fifth four is speculative, so those above it fall
+    units = T.written(rows.select(name(0).alias("uid"), F.when(F.col("id") % 20 == 19, 1).otherwise(3).alias("status"), F.lit(None).cast("string").alias("source")))
+    edges = T.written(rows.where("id % 4 < 3").select(name(0).alias("src"), name(1).alias("dst"), F.lit("grounds").alias("kind")))
+    size = moved(spark, lambda: T.written(units.selectExpr("uid src", "uid dst", "'' kind").union(edges).repartition(4, "src")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = []
+        n = moved(spark, lambda: got.extend(merge.monotone(units, edges).collect()))
+        assert n < 2 * size, (n, size)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    uid = {r.id: r.uid for r in rows.select("id", name(0).alias("uid")).collect()}
+    assert {tuple(r) for r in got} == {(uid[i], 3, 1, uid[i + 1]) for i in range(40_000) if i % 20 in (16, 17, 18)}
