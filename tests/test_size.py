@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from evidra.operators import graph, merge, pack, render, salience
+from evidra.operators import graph, merge, pack, render, salience, thread
 from evidra.sources import imports
 from evidra.sources import store as T
 
@@ -214,3 +214,37 @@ def test_statuses_settle_without_names(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     uid = {r.id: r.uid for r in rows.select("id", name(0).alias("uid")).collect()}
     assert {tuple(r) for r in got} == {(uid[i], 3, 1, uid[i + 1]) for i in range(40_000) if i % 20 in (16, 17, 18)}
+
+
+def test_obligations_shuffle_no_edges_to_other_kinds(spark):
+    members = T.written(spark.range(6_000).select((F.col("id") / 6).cast("int").alias("scope"), F.concat(F.lit("m:"), "id").alias("uid")))
+    # sixes in which each rebuts the next, and many edges to units that are no members
+    rebuts = spark.range(6_000).where("id % 6 < 5").select(F.concat(F.lit("m:"), F.col("id") + 1).alias("src"), F.concat(F.lit("m:"), "id").alias("dst"), F.lit("rebuts").alias("kind"))
+    other = spark.range(300_000).select(F.concat(F.lit("m:"), F.col("id") % 6_000).alias("src"), F.concat(F.lit("p:"), F.xxhash64("id")).alias("dst"), F.lit("deps").alias("kind"))
+    edges = T.written(rebuts.union(other))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = []
+        least = moved(spark, lambda: noop(pack.needs(members, T.written(rebuts))))
+        assert moved(spark, lambda: got.extend(pack.needs(members, edges).collect())) < least + 1_000_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {(i // 6, f"m:{i}", level, f"m:{j}") for i in range(6_000) for j in range(i + 1, i // 6 * 6 + 6) for level in (0, 1)}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_obligations_by_numbers_are_those_by_names(spark):
+    rows = [(s, f"m:{s}-{i}", 4 + i, 9 + i, 9 + i, 1, 0.5, True) for s in range(40) for i in range(7)]
+    units = spark.createDataFrame(rows, "scope int, uid string, cost0 int, cost1 int, cost2 int, top int, salience double, inside boolean")
+    edges = spark.createDataFrame([(f"m:{s}-{i}", f"m:{s}-{(i * k + s) % 7}", kind) for s in range(40) for i in range(7) for k, kind in ((2, "rebuts"), (3, "deps")) if (s + i * k) % 3], "src string, dst string, kind string")
+    needed = {}
+    for r in pack.needs(units, edges).collect():
+        needed.setdefault((r.scope, r.uid, r.level), set()).add(r.need)
+    own, turn = pack.numbered(units)
+    by = pack.obliged(own, turn, edges)
+    cost = {u: c for _, u, c, *_ in rows}
+    for r in pack.obligations(own, by).collect():
+        need = needed.get((r.scope, r.uid, r.level), set())
+        assert (r.n_needs, r.closure_cost) == (len(need), cost[r.uid] + 5 * (r.level == 1) + sum(cost[n] for n in need))
+    held = units.where("cost0 % 2 = 0")
+    assert sorted(pack.dropped(held, own, by).collect()) == sorted(pack.dropped(held, units, pack.needs(units, edges)).collect())
