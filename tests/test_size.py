@@ -248,3 +248,55 @@ def test_obligations_by_numbers_are_those_by_names(spark):
         assert (r.n_needs, r.closure_cost) == (len(need), cost[r.uid] + 5 * (r.level == 1) + sum(cost[n] for n in need))
     held = units.where("cost0 % 2 = 0")
     assert sorted(pack.dropped(held, own, by).collect()) == sorted(pack.dropped(held, units, pack.needs(units, edges)).collect())
+
+
+def test_what_is_compacted_shuffles_no_other_kinds(spark):
+    units = T.written(spark.range(200_000).select(F.concat(F.lit("l:"), F.xxhash64("id")).alias("uid")).union(spark.range(1_000).select(F.concat(F.lit("o:"), "id"))))
+    name = lambda by: F.concat(F.lit("o:"), F.col("id") + by)
+    some = spark.range(999)
+    few = some.select(name(1).alias("src"), name(0).alias("dst"), F.lit("supersedes").alias("kind"))
+    few = few.union(some.where("id % 5 = 1").select(F.concat(F.lit("l:"), "id"), name(0), F.lit("grounds"))).union(some.where("id % 5 = 2").select(name(0), F.concat(F.lit("l:"), "id"), F.lit("retracts")))
+    few = few.union(some.where("id % 5 = 3").select(name(0), F.concat(F.lit("c:"), "id"), F.lit("grounds"))).union(some.where("id % 10 = 4").select(name(0), name(-4), F.lit("deps")))
+    edges = T.written(few.union(spark.range(200_000).select(F.concat(F.lit("l:"), F.xxhash64("id")), F.concat(F.lit("p:"), F.xxhash64("id")), F.lit("deps"))))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = []
+        assert moved(spark, lambda: got.extend(merge.compactable(units, edges).collect())) < 1_500_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # a retraction is another relation too, so what it names is referenced; what a superseded unit rests on is not
+    assert {tuple(r) for r in got} == {(f"o:{i}", "referenced" if i % 5 in (1, 2) else "dropped") for i in range(999)}
+
+
+def test_references_are_dealt_once_by_each_end(spark):
+    name = lambda kind, by: F.concat(F.lit(kind + ":a unit of a name that is long:"), F.xxhash64(F.col("id") + by), F.xxhash64(F.col("id") + by + 1_000_000))
+    rows = spark.range(40_000)
+    units = T.written(rows.select(name("o", 0).alias("uid")))
+    refs = rows.select(name("o", 0).alias("src"), name("o", 1).alias("dst"), F.lit("deps").alias("kind"))
+    edges = T.written(refs.union(rows.where("id % 100 = 0").select(name("o", 5), name("o", 0), F.lit("supersedes"))))
+    size = moved(spark, lambda: noop(refs.repartition(4, "src")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = []
+        assert moved(spark, lambda: got.extend(merge.relink(units, edges).collect())) < 3.6 * size
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    fates = [r.fate for r in got]
+    assert len(got) == 40_000 - 400 and fates.count("dangling") == 1 and fates.count("moved") == 399
+
+
+def test_repair_deals_deps_once(spark):
+    name = lambda by: F.concat(F.lit("s:a unit of a name that is long:"), F.xxhash64(F.col("id") + by), F.lit("-"), F.col("id") + by)
+    units = T.written(spark.range(60_000).select(name(0).alias("uid")))
+    # each needs the next one, up to the fifth of ten; few are steps
+    deps = T.written(spark.range(60_000).where("id % 10 <> 4").select(name(0).alias("src"), name(1).alias("dst"), F.lit("deps").alias("kind")))
+    size = moved(spark, lambda: noop(deps.select("src", "dst").repartition(4, "src")))
+    steps = T.written(spark.range(60_000).where("id % 1000 = 0").select(F.col("id").alias("scope"), F.lit(1).alias("pos"), F.lit("support").alias("role"), name(0).alias("uid")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = []
+        n = moved(spark, lambda: got.extend(thread.repaired(steps, deps, units).collect()))
+        assert n < 4.5 * size, (n, size)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r.scope, r.pos, int(r.uid.split("-")[-1])) for r in got} == {(s, 5 - k, s + k) for s in range(0, 60_000, 1000) for k in range(5)}
