@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import kept, small_join, text_of
+from .common import kept, released, small_join, text_of
 from .quality_rules import NO_HOST
 from .tokens import slices, words_of
 
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "digest", "fine", "clean")), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(number, pa.int32()))], ["id", "digest", "fine", "clean", "features"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.select("id", "digest", "fine", "clean", "text").mapInArrow(run, f"id {kind}, digest long, fine boolean, clean boolean, features array<int>").dropDuplicates(["id", "digest"]).toArrow().sort_by([("id", "ascending"), ("digest", "ascending")])
+    found = rows.select("id", "digest", "fine", "clean", "text").mapInArrow(released(run), f"id {kind}, digest long, fine boolean, clean boolean, features array<int>").dropDuplicates(["id", "digest"]).toArrow().sort_by([("id", "ascending"), ("digest", "ascending")])
     lists = found.column("features").combine_chunks()
     lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
     offsets, number = lists.offsets.to_numpy(), lists.values.to_numpy()
@@ -201,7 +201,7 @@ def evidence(docs: DataFrame, model: Both, id_col: str, host_col: str, path_col:
             del batch, texts
             pa.default_memory_pool().release_unused()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def strength(groups: DataFrame, mean) -> float:

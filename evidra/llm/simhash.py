@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import kept, small_join, text_of
+from .common import kept, released, small_join, text_of
 from .components import components
 from .tokens import slices
 
@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = _fold(np.array(hashes, "<u8"), np.concatenate([[0], ends[:-1]]), ends)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(hashed, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(released(hashed), f"doc_id {kind}, fp long")
 
 
 def _remainder(words: np.ndarray) -> np.ndarray:
@@ -141,7 +141,7 @@ def golay_keys(fps: DataFrame) -> DataFrame:
             row, key = np.concatenate([r for r, _ in out]), np.concatenate([k for _, k in out])
             yield pa.RecordBatch.from_arrays([pa.array(fp[row]), pa.array(key)], ["fp", "key"])
 
-    return fps.select("fp").mapInArrow(made, "fp long, key long")
+    return fps.select("fp").mapInArrow(released(made), "fp long, key long")
 
 
 def _segments(fp: np.ndarray) -> list[np.ndarray]:
@@ -174,7 +174,7 @@ def split_keys(full: DataFrame) -> DataFrame:
             at, split = np.concatenate([r for r, _ in out]), np.concatenate([x for _, x in out])
             yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(key[at]), pa.array(split)], ["fp", "key", "split"])
 
-    return full.select("fp", "key").mapInArrow(made, "fp long, key long, split long")
+    return full.select("fp", "key").mapInArrow(released(made), "fp long, key long, split long")
 
 
 def links(fps: DataFrame, paired: int = PAIRED) -> DataFrame:
