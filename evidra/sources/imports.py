@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import graph, merge
-from .store import grouped, written
+from .store import grouped, kin, sifted, written
 
 LEDGER = "at bigint, provider string, model string, task string, run string, input_tokens bigint, output_tokens bigint, retries int, estimated boolean"
 
@@ -124,15 +124,18 @@ def resolved(units: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def bundle(units: DataFrame, edges: DataFrame, roots: DataFrame, include_retracted: bool = False) -> DataFrame:
     """(uid): what the roots reach over all edges and units hold; retracted ones only while another of them rests on them."""
-    kept = written(graph.closure(edges, roots, None).select("uid").join(units.select("uid"), "uid", "left_semi"))
+    kept = written(graph.closure(edges, roots, None, units=units).select("uid"))
     if include_retracted:
         return kept
-    retracted = edges.where("kind = 'retracts'").select(F.col("dst").alias("uid")).distinct().join(kept, "uid", "left_semi")
+    retracted = kin(edges.where("kind = 'retracts'").select(F.col("dst").alias("uid")), kept, "uid").distinct()
+    retracted = written(retracted.join(kept, "uid", "left_semi"))
     # retracted units are looked at in the order of their names: one that a dropped one alone rests on stays, if it comes first
-    refs = edges.where("kind in ('grounds', 'deps') and src <> dst").select(F.col("src").alias("holder"), F.col("dst").alias("uid")).distinct().join(kept.select(F.col("uid").alias("holder")), "holder", "left_semi")
-    refs = refs.join(retracted, "uid", "left_semi").join(retracted.select(F.col("uid").alias("holder"), F.lit(True).alias("shaky")), "holder", "left")
+    refs = kin(edges.where("kind in ('grounds', 'deps') and src <> dst").select(F.col("src").alias("holder"), F.col("dst").alias("uid")), retracted, "uid")
+    refs = sifted(refs, retracted, ["uid"]).join(retracted, "uid").distinct().join(kept.select(F.col("uid").alias("holder")), "holder", "left_semi")
     refs = written(refs)
     gone = written(retracted.join(refs.select("uid"), "uid", "left_anti"))
+    if gone.isEmpty():
+        return kept
     while True:
         held = refs.join(gone.select(F.col("uid").alias("holder"), F.lit(True).alias("gone")), "holder", "left").where("gone is null or holder > uid")
         new = written(retracted.join(held.select("uid"), "uid", "left_anti").join(gone, "uid", "left_anti"))
