@@ -114,15 +114,20 @@ def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
         try:
             yield from work(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; other systems have none
-            if trim:
-                trim(0)
+            trimmed()
 
     return run
 
 
+def trimmed() -> None:
+    """Give memory that Python and Arrow hold unused back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; other systems have none
+    if trim:
+        trim(0)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, or the empty one for a null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import kept, released, small_join, text_of
+from .common import kept, released, small_join, text_of, trimmed
 from .quality_rules import NO_HOST
 from .tokens import slices, words_of
 
@@ -45,6 +45,10 @@ LEAST_ROWS = 5
 LEAST_ERRORS = 3.5
 #: Log odds of a class that has all labels, or of both if there are none.
 SURE = 4.0
+#: Rows of the sample whose features are counted at a time.
+COUNTED_ROWS = 1000
+#: Features that a step of the fit sums up at a time.
+SUMMED = 1 << 19
 #: Strengths of a prior in documents, least and most.
 STRENGTH = (2.0, 10_000.0)
 THRESHOLD = 0.5
@@ -106,17 +110,41 @@ class Both:
         return -np.log(np.expm1(against))
 
 
+def _counts(rows: list[np.ndarray], width: int, some: int = COUNTED_ROWS) -> np.ndarray:
+    """How many rows hold each feature, some rows at a time: the driver copies no more."""
+    out = np.zeros(width, np.int64)
+    for at in range(0, len(rows), some):
+        out += np.bincount(np.concatenate(rows[at : at + some]), minlength=width)
+    return out
+
+
 def telling(rows: list[np.ndarray], good: np.ndarray, width: int) -> np.ndarray:
     """Which features are frequent enough and differ enough between the classes."""
-    owner = np.repeat(good, [len(r) for r in rows])
-    number = np.concatenate(rows)
-    yes, no = (np.bincount(number[owner == x], minlength=width) for x in (1, 0))
+    yes, no = (_counts([r for r, g in zip(rows, good) if g == x], width) for x in (1, 0))
     n_yes, n_no = good.sum(), len(good) - good.sum()
     share = (yes + no) / len(good)
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_yes + 1 / n_no))
     return (yes + no >= min(LEAST_ROWS, 1 + len(rows) // 100)) & (np.abs(yes / n_yes - no / n_no) >= LEAST_ERRORS * error)
 
 
+def _told(rows: list[np.ndarray], told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the rows' telling features and their rows."""
+    sizes = [int(np.count_nonzero(told[r])) for r in rows]
+    number, at = np.empty(sum(sizes), np.int32), 0
+    for r, n in zip(rows, sizes):
+        number[at : at + n] = r[told[r]]
+        at += n
+    return number, np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+
+
+def _summed(to: np.ndarray, of: np.ndarray, weights: np.ndarray, width: int) -> np.ndarray:
+    """The sums of weights[of] by to, some features at a time."""
+    out = np.zeros(width)
+    for at in range(0, len(to), SUMMED):
+        out += np.bincount(to[at : at + SUMMED], weights=weights[of[at : at + SUMMED]], minlength=width)
+    return out
+
+
 def fit(rows: list[np.ndarray], good: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> Model:
     """Penalised logistic regression by accelerated gradient steps scaled by each feature's count."""
     width = (1 << WORD_BITS) + SHAPES * LEVELS
@@ -124,23 +152,21 @@ def fit(rows: list[np.ndarray], good: np.ndarray, penalty: float = PENALTY, step
     if not len(rows) or good.min() == good.max():
         return Model(weights, SURE if not len(rows) or good.max() else -SURE)
     told = telling(rows, good, width)
-    rows = [r[told[r]] for r in rows]
-    number, offsets = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    owner = np.repeat(np.arange(len(rows)), np.diff(offsets))
+    number, owner = _told(rows, told)
     # classes weigh alike
     weigh = np.where(good, 0.5 / good.mean(), 0.5 / (1 - good.mean()))
-    scale = np.bincount(number, minlength=width)
+    scale = _counts([number[at : at + SUMMED] for at in range(0, len(number), SUMMED)], width, 1)
     root = np.sqrt(scale + penalty)
     # steps in coordinates z = root * weight, whose curvature is at most that of the longest row
-    spread = np.bincount(owner, weights=1 / root[number] ** 2, minlength=len(rows))
-    step = 1 / (0.25 * max((np.bincount(number, weights=spread[owner] * weigh[owner], minlength=width) / root**2).max(), 1e-9) * 4 + penalty / (penalty + 1))
+    spread = _summed(owner, number, 1 / root**2, len(rows))
+    step = 1 / (0.25 * max((_summed(number, owner, spread * weigh, width) / root**2).max(), 1e-9) * 4 + penalty / (penalty + 1))
     z = last = np.zeros(width)
     b = last_b = 0.0
     for i in range(steps):
         ahead, ahead_b = z + i / (i + 3) * (z - last), b + i / (i + 3) * (b - last_b)
-        sums = np.bincount(owner, weights=(ahead / root)[number], minlength=len(rows))
+        sums = _summed(owner, number, ahead / root, len(rows))
         off = weigh * (1 / (1 + np.exp(-np.clip(sums + ahead_b, -30, 30))) - good)
-        slope = np.bincount(number, weights=off[owner], minlength=width) / root + penalty * ahead / root**2
+        slope = _summed(number, owner, off, width) / root + penalty * ahead / root**2
         last, last_b = z, b
         z, b = ahead - step * slope, ahead_b - off.sum() / (0.25 * weigh.sum()) * 0.5
     return Model(z / root, b)
@@ -171,18 +197,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "digest", "fine", "clean")), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(number, pa.int32()))], ["id", "digest", "fine", "clean", "features"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.select("id", "digest", "fine", "clean", "text").mapInArrow(released(run), f"id {kind}, digest long, fine boolean, clean boolean, features array<int>").dropDuplicates(["id", "digest"]).toArrow().sort_by([("id", "ascending"), ("digest", "ascending")])
-    lists = found.column("features").combine_chunks()
-    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-    offsets, number = lists.offsets.to_numpy(), lists.values.to_numpy()
-    rows, parts = [number[a:b] for a, b in zip(offsets[:-1], offsets[1:])], []
+    found = rows.select("id", "digest", "fine", "clean", "text").mapInArrow(released(run), f"id {kind}, digest long, fine boolean, clean boolean, features array<int>").dropDuplicates(["id", "digest"]).toArrow()
+    order = pc.sort_indices(found.select(["id", "digest"]), sort_keys=[("id", "ascending"), ("digest", "ascending")]).to_numpy()
+    # rows are parts of what came, in their order: a sorted table would be a copy
+    rows = [own for chunk in found.column("features").chunks for own in _parts(chunk)]
+    rows, parts = [rows[i] for i in order], []
     for name in ("fine", "clean"):
         marked = found.column(name).to_pylist()
+        marked = [marked[i] for i in order]
         own = [i for i, m in enumerate(marked) if m is not None]
         parts.append(fit([rows[i] for i in own], np.array([marked[i] for i in own], float)))
+    del found, rows, order
+    trimmed()  # the driver lives on
     return Both(parts)
 
 
+def _parts(lists: pa.ListArray) -> list[np.ndarray]:
+    """Each list's values, not copied."""
+    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+
 def evidence(docs: DataFrame, model: Both, id_col: str, host_col: str, path_col: str, text_col: str, whole: bool = False) -> DataFrame:
     """doc_id, host, path and log odds of every row; with whole, its columns as the struct row."""
     site = [F.coalesce(F.col(c).cast("string"), F.lit(NO_HOST)).alias(n) for c, n in ((host_col, "host"), (path_col, "path"))]
