@@ -350,3 +350,17 @@ def test_views_register(spark):
     for stores in ((a, b), (b, a), (b, a, b, a)):
         assert rows(merge.views_register(*stores), "view", "roots", "profile") == want
     assert rows(merge.views_register(a), "view", "roots", "profile") == rows(a, "view", "roots", "profile")
+
+
+def test_traces_meet_attestations_without_broadcast(spark):
+    e = spark.createDataFrame([("a", "b", "grounds"), ("b", "c", "deps"), ("c", "d", "grounds")], "src string, dst string, kind string")
+    who = spark.createDataFrame([("a", "m", 2, None), ("a", "l", 1, None), ("c", "k", 3, "p")], "uid string, agent string, hop int, parent string")
+    roots = spark.createDataFrame([("a",)], "uid string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        want = {("a", 0, "root", "l,m", 1), ("b", 1, "grounds", None, None), ("c", 2, "deps", "k", 3), ("d", 3, "grounds", None, None)}
+        assert {tuple(r) for r in graph.trace(e, roots, who).collect()} == want
+        assert {tuple(r) for r in graph.trace(e, roots, who, "both").collect()} == want | {("p", 3, "parent", None, None)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
