@@ -364,3 +364,26 @@ def test_traces_meet_attestations_without_broadcast(spark):
         assert {tuple(r) for r in graph.trace(e, roots, who, "both").collect()} == want | {("p", 3, "parent", None, None)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_membership_follows_every_kind(spark, tmp_path):
+    from evidra import catalog
+    from evidra.sources import store as T
+
+    given = "/root/testdata/sf0.001"
+    for name in ("region", "nation", "supplier", "part", "orders", "lineitem"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{given}/{name}.parquet")
+    # most customers are gone, so their orders' lines are reached by warrants of parts alone
+    spark.read.parquet(f"{given}/customer.parquet").where("c_custkey % 10 = 1").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    d = str(tmp_path)
+    on = {}
+    for e in T.edges(spark, d).collect():
+        on.setdefault(e.src, []).append(e.dst)
+    there = {r.uid: r.kind for r in T.units(spark, d).select("uid", "kind").collect()}
+    seen = {u for u, kind in there.items() if kind == "claim"}
+    waiting = list(seen)
+    while waiting:
+        new = set(on.get(waiting.pop(), ())) - seen
+        seen |= new
+        waiting.extend(new)
+    assert sorted(r.uid for r in catalog.queries()["membership"](spark, d).collect()) == sorted(seen & there.keys())
