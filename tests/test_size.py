@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from evidra.operators import graph, merge, pack, render, salience, thread
+from evidra.operators import evaluate, graph, merge, pack, render, salience, thread
 from evidra.sources import imports
 from evidra.sources import store as T
 
@@ -353,3 +353,13 @@ def test_bundle_shuffles_edges_to_what_may_be_retracted_alone(spark):
     # every line that a root reaches is held by it, so it stays, with what it rests on
     reached = graph.closure(edges, roots, None, units=units).select("uid")
     assert found[0].count() == reached.count() and found[0].join(reached, "uid", "left_anti").count() == 0
+
+
+def test_hops_of_a_chain_are_worked_out_in_one_call(spark, monkeypatch):
+    calls = counted(spark, monkeypatch, pack)
+    members = spark.range(60).select((F.col("id") / 6).cast("int").alias("scope"), F.concat(F.lit("u"), "id").alias("uid"), F.lit("gist").alias("gist"), F.lit("body").alias("body"), F.lit(None).cast("string").alias("detail"), (F.col("id") % 6 / 8).alias("salience"))
+    edges = spark.createDataFrame([("u0", "u1", "rebuts")], "src string, dst string, kind string")
+    left = evaluate.chain(members, edges, hops=3).collect()
+    assert calls.value == 1
+    # a gist costs 3 tokens, a body 3 more: six tenths of 36 are 22
+    assert all(sum(r.tokens for r in left if (r.scope, r.hop) == (s, h)) == (36, 21, 21, 21)[h] for s in range(10) for h in range(4))
