@@ -363,3 +363,13 @@ def test_hops_of_a_chain_are_worked_out_in_one_call(spark, monkeypatch):
     assert calls.value == 1
     # a gist costs 3 tokens, a body 3 more: six tenths of 36 are 22
     assert all(sum(r.tokens for r in left if (r.scope, r.hop) == (s, h)) == (36, 21, 21, 21)[h] for s in range(10) for h in range(4))
+
+
+def test_obligations_of_packs_shuffle_no_edges_to_other_kinds(spark):
+    members = T.written(spark.range(2_000).select((F.col("id") / 4).cast("int").alias("scope"), F.concat(F.lit("u:"), "id").alias("uid")))
+    # every member also rests on what is in no scope
+    edges = spark.range(200_000).select(F.concat(F.lit("u:"), F.col("id") % 2_000).alias("src"), F.concat(F.lit("x:"), F.xxhash64("id")).alias("dst"), F.lit("deps").alias("kind"))
+    edges = T.written(edges.union(spark.range(0, 2_000, 4).select(F.concat(F.lit("u:"), "id"), F.concat(F.lit("u:"), F.col("id") + 1), F.lit("deps"))))
+    found = []
+    assert moved(spark, lambda: found.extend(pack.forced(members, edges, None, members).collect())) < 500_000
+    assert {tuple(r) for r in found} == {(i // 4, f"u:{i}", f"u:{i + 1}", "dep") for i in range(0, 2_000, 4)}
